@@ -18,7 +18,7 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT = 20, 30
 #: Metrics in thousandths (word_len: hundredths of a code point), with the least spread that counts for each.
-METRICS = {"symbols": 20, "dup_lines": 100, "repeats": 100, "upper": 60, "word_len": 80}
+METRICS = {"symbols": 15, "dup_lines": 100, "repeats": 100, "upper": 30, "word_len": 80}
 #: Metrics for which a value far below the lower quartile counts, too.
 BOTH_SIDES = ("word_len",)
 #: A threshold is the upper quartile plus so many spreads; a group with fewer rows uses its language's sketch.
@@ -57,7 +57,7 @@ def measured(docs: DataFrame) -> DataFrame:
     covered = F.aggregate(F.col("_twice"), first, lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
     return out.withColumns(
         {
-            "word_chars": count(WHITE).cast("long"),
+            "word_chars": F.length(F.translate(text, WHITE, "")).cast("long"),
             "n_symbols": count(SYMBOLS).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
