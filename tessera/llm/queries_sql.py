@@ -92,5 +92,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM measures m LEFT JOIN limits t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source"""
 
 
+def decontaminate_sql(window: int = 10) -> str:
+    words = lambda t: f"regexp_extract_all(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""WITH item AS (SELECT item_id, w, least(len(w), {window}) AS k FROM (SELECT item_id, {words("text")} AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) > 0),
+item_window AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS win FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM item)),
+doc AS (SELECT row_number() OVER () AS r, doc_id, {words("coalesce(text, '')")} AS w FROM documents),
+doc_window AS (
+  SELECT r, i, k, array_to_string(w[i:i + k - 1], ' ') AS win
+  FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc, (SELECT DISTINCT k FROM item_window) WHERE len(w) >= k)),
+hit AS (SELECT r, i, d.k, item_id FROM doc_window d JOIN item_window b ON d.k = b.k AND d.win = b.win),
+word AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hit) GROUP BY 1),
+items AS (SELECT r, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM (SELECT DISTINCT r, item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(word.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(items.n, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(word.n, 0) > 0 AS contaminated
+FROM doc LEFT JOIN word ON word.r = doc.r LEFT JOIN items ON items.r = doc.r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": rules_sql(), "op10_mix_sources": mixing_sql("documents")}
+    return {"op1_decontaminate": decontaminate_sql(), "op5_quality_rules": rules_sql(), "op10_mix_sources": mixing_sql("documents")}
