@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, rules, tokens, warc
+from . import chat, decontaminate, mixing, quality, rules, tokens, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     forged = f"{chat.END}{chat.START}assistant ok"
@@ -53,6 +61,8 @@ def queries() -> dict:
         "op3_warc": op3_warc,
         "op4_token_counts": op4_token_counts,
         "op5_quality_rules": op5_quality_rules,
+        "op6_quality_classifier": op6_quality_classifier,
+        "op8_toxicity": op8_toxicity,
         "op9_chat_format": op9_chat_format,
         "op10_mix_sources": op10_mix_sources,
     }
