@@ -1,0 +1,34 @@
+"""Connected components of links between ids, on the executors only."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .shared import drop, kept
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links (a, b: long) to id, component: the smallest id that each id of a link can reach.
+
+    Large-star and small-star steps by turns: every id points its larger neighbours, then its smaller ones, at the smallest id
+    beside it. Each turn is two aggregates with a join each, and is written down; the number of turns grows with the logarithm of
+    the longest path. Links of an id with itself and repeated links do no harm.
+    """
+    edges = kept(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    seen = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        new = kept(small.where("u <> v").distinct())
+        now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        drop(edges)
+        edges = new
+        if now == seen:
+            break
+        seen = now
+    found = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    return found.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

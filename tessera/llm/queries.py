@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, quality, rules, tokens, toxicity, warc
+from . import chat, decontaminate, mixing, near, quality, rules, tokens, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,6 +66,7 @@ def queries() -> dict:
         "op4_token_counts": op4_token_counts,
         "op5_quality_rules": op5_quality_rules,
         "op6_quality_classifier": op6_quality_classifier,
+        "op7_near_duplicates": op7_near_duplicates,
         "op8_toxicity": op8_toxicity,
         "op9_chat_format": op9_chat_format,
         "op10_mix_sources": op10_mix_sources,
