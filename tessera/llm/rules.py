@@ -36,35 +36,40 @@ def bucket(v: Column) -> Column:
 def measured(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long) added.
 
-    n_repeat_words: the hash of each 8-word window of the text is sorted with its place, so that equal windows are neighbours;
-    the places of those are put in order again, and the words that they cover are counted.
+    n_repeat_words: words are hashed, then pairs of hashes one, two and four places apart, which gives each 8-word window of the
+    text a hash in three steps. Where these are not all distinct, they are sorted with their places, so that equal windows are
+    neighbours; the places of those are put in order again, and the words that they cover are counted.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    count = lambda kept: F.length(text) - F.length(F.translate(text, kept, ""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, WHITE, "")) > 0)
-    out = docs.withColumn("_words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    only = lambda kept: F.length(F.regexp_replace(text, f"[^{kept}]+", ""))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
+    bare = F.call_function("btrim", text, F.lit(WHITE))
+    out = docs.withColumn("_words", F.when(F.length(bare) > 0, F.split(bare, r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>")))
     out = out.withColumn("_lines", lines).withColumn("n_words", F.size("_words").cast("long"))
-    hashes = F.when(
-        F.col("n_words") > WINDOW,
-        F.transform(F.sequence(F.lit(1), F.size("_words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_words", i, WINDOW))),
-    )
-    out = out.withColumn("_hashes", hashes)
+    # Windows that would pass the end are cut off below: their hash lacks its second half.
+    out = out.withColumn("_h1", F.when(F.col("n_words") > WINDOW, F.transform("_words", lambda w: F.xxhash64(w))))
+    for step in (1, 2, 4):
+        h = F.col(f"_h{step}")
+        out = out.withColumn(f"_h{2 * step}", F.zip_with(h, F.slice(h, step + 1, F.size(h)), lambda x, y: F.xxhash64(x, y)))
+    out = out.withColumn("_hashes", F.slice("_h8", 1, F.size("_h8") - (WINDOW - 1)))
     placed = F.array_sort(F.transform(F.col("_hashes"), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     out = out.withColumn("_placed", F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), placed))
-    same = lambda j: F.get(F.col("_placed.h"), j)
+    # A column of its own: a field taken inside the comparison would be gathered anew for each element.
+    out = out.withColumn("_sorted", F.transform("_placed", lambda x: x["h"]))
+    same = lambda j: F.get(F.col("_sorted"), j)
     out = out.withColumn("_twice", F.array_sort(F.transform(F.filter(F.col("_placed"), lambda x, j: F.coalesce(x["h"] == same(j - 1), F.lit(False)) | F.coalesce(x["h"] == same(j + 1), F.lit(False))), lambda x: x["i"])))
     first = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
     covered = F.aggregate(F.col("_twice"), first, lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
     return out.withColumns(
         {
-            "word_chars": F.length(F.translate(text, WHITE, "")).cast("long"),
-            "n_symbols": count(SYMBOLS).cast("long"),
+            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+            "n_symbols": only(SYMBOLS).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
             "_n_lines": F.size("_lines").cast("long"),
-            "_n_upper": count("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long"),
+            "_n_upper": only("A-Z").cast("long"),
         }
-    ).drop("_words", "_lines", "_hashes", "_placed", "_twice")
+    ).drop("_words", "_lines", "_h1", "_h2", "_h4", "_h8", "_hashes", "_placed", "_sorted", "_twice")
 
 
 def metrics(counts: DataFrame) -> DataFrame:
