@@ -136,5 +136,15 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, b32 AS payload_di
 FROM digest JOIN bits USING (h) JOIN first USING (h)"""
 
 
+def passages_sql(window: int = 13) -> str:
+    return f"""WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) AS w FROM documents),
+win AS (SELECT r, doc_id, i, array_to_string(w[i:i + {window - 1}], ' ') AS win FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - {window - 2})) AS i FROM doc WHERE len(w) >= {window})),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + {window})) AS p FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY win) AS first FROM win) WHERE first < doc_id),
+word AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM doc),
+left_over AS (SELECT word.r, string_agg(word, ' ' ORDER BY word.p) AS kept, count(*) AS n FROM word ANTI JOIN gone ON word.r = gone.r AND word.p = gone.p GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM doc LEFT JOIN left_over ON left_over.r = doc.r"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc_sql(), "op9_chat_format": chat_sql(), "op1_decontaminate": decontaminate_sql(), "op5_quality_rules": rules_sql(), "op10_mix_sources": mixing_sql("documents")}
+    return {"op2_substring_dedup": passages_sql(), "op3_warc": warc_sql(), "op9_chat_format": chat_sql(), "op1_decontaminate": decontaminate_sql(), "op5_quality_rules": rules_sql(), "op10_mix_sources": mixing_sql("documents")}
