@@ -1,13 +1,71 @@
-"""A corpus pipeline of five stages over documents."""
+"""A corpus pipeline of five stages over documents. Each stage takes (spark, docs, sf_dir) and returns the documents it keeps,
+with the columns of documents; the last returns how often each of them is taken."""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, mixing, near, passages, quality
+from tessera.llm.shared import kept
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the classifier rejects (score below 0.5). Learns from the labels of documents that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.learn(docs, labels, ~quality.held_out(F.col("doc_id")))
+    return quality.scored(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates, the document of the smallest id stays. Rows that repeat an id and a text are one."""
+    docs = docs.select(*COLUMNS).withColumn("_row", F.xxhash64("text"))
+    found = near.duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").dropDuplicates(["doc_id", "_row"])
+    return named.join(found, "doc_id", "left_anti").unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts passages that a document of smaller id has, too. Documents of which no word stays go; others keep their text as it is
+    unless something was cut."""
+    out = passages.deduplicated(docs.select(*COLUMNS))
+    cut = F.col("n_removed") > 0
+    text = F.when(cut, F.col("kept_text")).otherwise(F.col("text"))
+    out = out.where(~cut | (F.col("n_removed") < F.col("n_words")))
+    return out.withColumn("n_chars", F.when(cut, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))).withColumn("text", text).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    rows = docs.select(F.struct("doc_id", *COLUMNS[2:]).alias("row"), "text")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.contamination(rows, items, id_col="row", keep_text=True).where("not contaminated")
+    return found.select("row.doc_id", "text", *[f"row.{c}" for c in COLUMNS[2:]])
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes: doc_id, source, size, source_size, target, taken."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicates),
+    ("substring_dedup", substring_dedup),
+    ("decontamination", decontamination),
+    ("source_mix", source_mix),
+]
+#: The first stage scores with a trained model, which SQL does not express; the whole is tested against a plain version instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents; each stage's result is written before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = kept(docs)
     return docs

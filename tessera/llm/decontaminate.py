@@ -128,7 +128,7 @@ def blocks(items: DataFrame, window: int, shingle: int, block_words: int) -> Ite
         yield Block(some, window, shingle)
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", item_cols: tuple[str, str] = ("item_id", "text")) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", item_cols: tuple[str, str] = ("item_id", "text"), keep_text: bool = False) -> DataFrame:
     """One row a document: id, n_words, n_hit, n_items, item_ids (sorted as strings), hit_spans (word positions [start, end)),
     contaminated.
 
@@ -136,7 +136,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     of an item (the whole item if it has fewer, but not none) that occurs in the document hits its words there. Null texts have
     no words and null item texts no windows; an item without an id hits words, but is not named or counted. Items that share an
     id count once. Document ids may be null or repeat if there is one block of items; otherwise rows are told apart by a number.
-    Empty documents give no rows, empty items no hits. Other columns are left aside.
+    Empty documents give no rows, empty items no hits. Other columns are left aside; the id may be a struct of several, and with
+    keep_text the text stays.
     """
     src = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
     ready = []
@@ -147,9 +148,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
         block.order(counts)
         ready.append(block)
     if len(ready) <= 1:
-        return joined(src, ready[0] if ready else None, id_col)
+        return joined(src, ready[0] if ready else None, id_col, keep_text)
     numbered = kept(src.withColumn("row", F.monotonically_increasing_id()))
-    parts = [kept(joined(numbered.select(F.struct("row", "id").alias("id"), "text"), b, id_col)) for b in ready]
+    parts = [kept(joined(numbered.select(F.struct("row", "id").alias("id"), "text"), b, id_col, False)) for b in ready]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -157,7 +158,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     last = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("int").alias("upto"))
     hit = F.aggregate("s", last, lambda a, x: F.struct((a["n"] + F.greatest(x["end"] - F.greatest(x["start"], a["upto"]), F.lit(0))).alias("n"), F.greatest(a["upto"], x["end"]).alias("upto")), lambda a: a["n"])
     merged = merged.withColumn("n_hit", hit)
-    return merged.select(F.col(id_col)["id"].alias(id_col), "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", F.col("s").alias("hit_spans"), (F.col("n_hit") > 0).alias("contaminated"))
+    if keep_text:
+        merged = merged.join(numbered.select("row", "text"), F.col(id_col)["row"] == F.col("row"))
+    return merged.select(F.col(id_col)["id"].alias(id_col), *["text"] * keep_text, "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", F.col("s").alias("hit_spans"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def corpus_counts(src: DataFrame, block: Block) -> DataFrame:
@@ -178,9 +181,9 @@ def corpus_counts(src: DataFrame, block: Block) -> DataFrame:
     return src.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
-def joined(src: DataFrame, block: Block | None, id_col: str) -> DataFrame:
+def joined(src: DataFrame, block: Block | None, id_col: str, keep_text: bool) -> DataFrame:
     schema = T.StructType([
-        T.StructField(id_col, src.schema["id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
+        T.StructField(id_col, src.schema["id"].dataType), *[T.StructField("text", T.StringType())] * keep_text, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
         T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("contaminated", T.BooleanType()),
     ])
 
@@ -208,7 +211,7 @@ def joined(src: DataFrame, block: Block | None, id_col: str) -> DataFrame:
                     spans[r] = [{"start": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
             n_hit = row_sums(hit.astype(np.int64), off)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(off), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(n_hit > 0)],
+                [batch.column(0), *[batch.column(1)] * keep_text, pa.array(np.diff(off), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(n_hit > 0)],
                 [f.name for f in schema],
             )
 
