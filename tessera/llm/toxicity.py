@@ -24,6 +24,8 @@ from .shared import kept
 SAMPLE = 10_000
 ORDERS, BUCKET_BITS, KEPT = (3, 4, 5, 6), 20, 4096
 SMOOTH, RIDGE, STEPS = 1.0, 0.1, 300
+#: Bytes of text that are looked at together: their n-grams of all orders are held at once.
+_BYTES = 1 << 20
 _BASE, _SPREAD = 0x9E3779B97F4A7C55, 0xD6E8FEB86659FD93
 
 
@@ -86,7 +88,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, 1 << BUCKET_BITS), np.int32)
         size = np.zeros(2, np.int64)
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", _BYTES):
             y = batch.column(1).to_numpy()
             row, f = grams(*code_points(batch.column(0)), None)
             for c in (0, 1):
@@ -114,7 +116,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     ratio = ratio[best]
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", _BYTES):
             row, g = grams(*code_points(batch.column(0)), table)
             cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(g, pa.int32()))], ["label", "f"])
@@ -160,7 +162,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     schema = T.StructType([src.schema["doc_id"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", _BYTES):
             p = model.score(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
