@@ -23,7 +23,7 @@ def blobs(spark):
 
 
 @pytest.mark.parametrize("make", [
-    lambda c: linear.LogisticRegression(c, "y"), lambda c: linear.LogisticRegression(c, "y", solver="gd", max_iter=15), lambda c: bayes.GaussianNB(c, "y"),
+    lambda c: linear.LogisticRegression(c, "y"), lambda c: linear.LogisticRegression(c, "y", solver="gd", lr=1.0, max_iter=60), lambda c: bayes.GaussianNB(c, "y"),
     lambda c: tree.DecisionTreeClassifier(c, "y", max_depth=4), lambda c: tree.DecisionTreeClassifier(c, "y", criterion="entropy", max_depth=2),
     lambda c: neighbors.KNNClassifier(c, "y", "row_id"), lambda c: tree.RandomForestClassifier(c, "y", max_depth=3, n_estimators=5, id_col="row_id"),
     lambda c: svm.SVC(c, "y", kernel="linear"), lambda c: svm.SVC(c, "y"), lambda c: tree.GradientBoostingClassifier(c, "y", "row_id", n_estimators=3, max_depth=2, learning_rate=0.5),
