@@ -890,6 +890,74 @@ for _name, _make, _sql in (
     register(f"op_schedule_{_name}", f"SELECT t AS epoch, round(CAST({_sql} AS DOUBLE), 9) AS lr FROM range(20) AS r(t)")(_rates(_make))
 
 
+# ---- recurrent layers: eight steps of one number, with fixed weights ----
+
+CELLS = {
+    "rnn": ([0.5], [0.3], [0.1]),
+    "lstm": ([0.5, -0.3, 0.8, 0.2], [0.1, 0.2, -0.4, 0.3], [0.0, 0.5, 0.0, -0.1]),
+    "gru": ([0.5, -0.3, 0.8], [0.1, 0.2, -0.4], [0.0, 0.5, 0.0]),
+}
+
+
+def _recurrent(name: str):
+    def run(spark, d):
+        import numpy as np
+        import pandas as pd
+
+        from ..nn import layers
+
+        net = {"rnn": layers.RNN, "lstm": layers.LSTM, "gru": layers.GRU}[name](1, 1, batch_first=True)
+        net.load({f"cell0_0.{k}": np.reshape(v, (1, -1)) if k != "bias" else v for k, v in zip(("w_ih", "w_hh", "bias"), CELLS[name], strict=True)})
+
+        def score(batches):
+            for b in batches:
+                out = net.forward(np.stack(b["e"].to_numpy()).astype(float)[:, :, None])[0][:, -1, 0] if len(b) else []
+                yield pd.DataFrame({"vec_id": b["vec_id"], "h": out})
+
+        return _array(spark, d).mapInPandas(score, "vec_id long, h double").select("vec_id", rounded("h").alias("h"))
+
+    return run
+
+
+def _gate(name: str, k: int, h: str = "h") -> str:
+    w, u, b = CELLS[name]
+    return f"({w[k]} * x + {u[k]} * {h} + {b[k]})"
+
+
+_SEQ = "WITH RECURSIVE e AS (SELECT vec_id, CAST(j AS INTEGER) AS t, embedding[CAST(j AS INTEGER) + 1]::DOUBLE AS x FROM embeddings, range(8) AS q(j)), r AS (SELECT vec_id, -1 AS t, 0.0::DOUBLE AS h, 0.0::DOUBLE AS c FROM embeddings UNION ALL SELECT vec_id, t, {0} FROM (SELECT vec_id, t, h, {1} FROM (SELECT r.vec_id, e.t, r.h, r.c, e.x FROM r JOIN e ON e.vec_id = r.vec_id AND e.t = r.t + 1))) SELECT vec_id, round(h, 6) + 0.0 AS h FROM r WHERE t = 7"
+_S = "(1 / (1 + exp(-{0})))".format
+register("op_nn_rnn", _SEQ.format("n, c", f"c, tanh({_gate('rnn', 0)}) AS n"))(_recurrent("rnn"))
+register("op_nn_lstm", _SEQ.format("o * tanh(n), n", f"{_S(_gate('lstm', 3))} AS o, {_S(_gate('lstm', 1))} * c + {_S(_gate('lstm', 0))} * tanh({_gate('lstm', 2)}) AS n"))(_recurrent("lstm"))
+register("op_nn_gru", _SEQ.format("(1 - z) * n + z * h, 0.0", f"{_S(_gate('gru', 1))} AS z, tanh({CELLS['gru'][0][2]} * x + {CELLS['gru'][2][2]} + {_S(_gate('gru', 0))} * ({CELLS['gru'][1][2]} * h)) AS n"))(_recurrent("gru"))
+
+
+@register("op_nn_dropout")
+def _dropout(spark, d):
+    """Dropped with probability 0.5 by a hash of row and column, scaled by 2: the expectation stays."""
+    drop = lambda c: F.when(F.pmod(F.xxhash64("vec_id", F.lit(c)), F.lit(1000)) >= 500, F.col(c) * 2).otherwise(0.0)
+    return d4(spark, d).select("vec_id", *[drop(c).alias(c) for c in D4])
+
+
+@register("op_schedule_plateau", "SELECT t AS epoch, round(CASE WHEN t < 8 THEN 1.0 WHEN t < 11 THEN 0.1 WHEN t < 14 THEN 0.01 WHEN t < 17 THEN 0.001 ELSE CASE WHEN t < 20 THEN 0.0001 END END::DOUBLE, 9) AS lr FROM range(20) AS r(t)")
+def _plateau(spark, d):
+    """The metric falls until epoch 5 and stays: after more than two bad epochs the rate falls."""
+    from ..nn import optim
+
+    o = optim.SGD({"w": 0.0}, 1.0)
+    s, rows = optim.ReduceLROnPlateau(o, patience=2), []
+    for t in range(20):
+        s.step(float(max(10 - t, 5)))
+        rows.append((t, o.lr))
+    return spark.createDataFrame(rows, "epoch long, lr double").select("epoch", rounded("lr", 9).alias("lr"))
+
+
+@register("op_nn_clip_grad_norm", f"WITH t AS {_E8}, n AS (SELECT sqrt(sum(v * v)) AS n FROM t) SELECT i0, i1, round(v * least(1, 1.0 / (n + 1e-6)), 8) + 0.0 AS v FROM t, n")
+def _clip_norm(spark, d):
+    t = e8(spark, d)
+    n = t.agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
+    return t.crossJoin(F.broadcast(n)).select("i0", "i1", rounded(F.col("v") * F.least(F.lit(1.0), 1 / (F.col("n") + 1e-6)), 8).alias("v"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
