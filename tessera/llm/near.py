@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .flat import LOWER, chunks, hash_windows, hash_words, mix, ranges, strings, window_starts, words
 from .graph import components
 from .quality import later_in_row
-from .shared import drop, kept
+from .shared import kept
 
 SHINGLE, PERCENT = 5, 75
 BANDS, BAND_ROWS = 32, 4
@@ -118,10 +118,8 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, src: DataFrame, percent: int = PERCENT) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets agree by ``percent`` of their union. Texts travel to pairs, each pair once."""
-    named = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "id")
-    texts = kept(src.join(named, "id").dropDuplicates(["id"]))
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
@@ -134,16 +132,19 @@ def verified(pairs: DataFrame, src: DataFrame, percent: int = PERCENT) -> DataFr
             ok = pa.array((100 * shared >= percent * union) & (union > 0))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
-    out = kept(two.mapInArrow(run, "a long, b long"))
-    drop(texts)
-    return out
+    return kept(two.mapInArrow(run, "a long, b long").distinct())
 
 
-def stars(buckets: DataFrame) -> DataFrame:
-    """Each class against the first and the last class of each of its buckets (bucket, id): a < b, distinct."""
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """bucket, id, low, high (the bucket's least and greatest id) of buckets that hold two classes or more."""
+    buckets = classes.select("id", F.explode("bands").alias("bucket"))
     ends = buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     # A frequent bucket's rows are spread by Spark's skew handling: the other side has one row.
-    rows = buckets.join(ends, "bucket")
+    return buckets.join(ends, "bucket")
+
+
+def stars(rows: DataFrame) -> DataFrame:
+    """Each class against the first and the last class of each of its buckets: a < b, distinct."""
     low = rows.where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b"))
     high = rows.where("id < high and id > low").select(F.col("id").alias("a"), F.col("high").alias("b"))
     return low.unionByName(high).distinct()
@@ -154,16 +155,19 @@ def duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
 
     Sets: distinct shingles of 5 words (A-Z lower-cased; words end at ASCII white space); a text of 1 to 4 words is one shingle;
     null, empty and white texts have none, link with nothing and are kept. Rows link if 100 * |A & B| >= percent * |A | B|. Rows
-    with a null id link with nothing: their component is null and they are kept. Rows that repeat an id and a text share its
-    result. Ids must be integers. Empty tables give empty results; other columns are left aside.
+    with a null id link with nothing: their component is null and they are kept. Rows of one id are one document: what any of
+    its texts links is linked. Ids must be integers. Empty tables give empty results; other columns are left aside.
     """
     src = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     rows = kept(summaries(src))
     full = rows.where("n > 0 and id is not null")
     keys = ["n", "set_a", "set_b"]
     classes = kept(full.groupBy(*keys).agg(F.min("id").alias("id"), F.count("*").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    buckets = classes.select("id", F.explode("bands").alias("bucket"))
-    links = linked(buckets, classes, src, percent)
+    shared = kept(shared_buckets(classes))
+    # The texts of all classes that have a candidate, picked once. The hint keeps one plan for every size of input.
+    named = shared.select("id").distinct().hint("merge")
+    texts = kept(src.withColumn("th", F.xxhash64("text")).join(named, "id").dropDuplicates(["id", "th"]).select("id", "text"))
+    links = linked(shared, classes, texts, percent)
     found = components(links)
     placed = classes.where("size > 1").select(*keys, "id").unionByName(classes.where("size = 1").join(found.select("id"), "id", "left_semi").select(*keys, "id"))
     placed = placed.join(found, "id", "left").select(*keys, F.coalesce("component", "id").alias("component"))
@@ -172,22 +176,20 @@ def duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id",
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
 
 
-def linked(buckets: DataFrame, classes: DataFrame, src: DataFrame, percent: int) -> DataFrame:
+def linked(shared: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Verified links that connect all classes that any link connects."""
-    first = kept(plausible(stars(buckets), classes, percent))
-    links = verified(first, src, percent)
-    drop(first)
-    return links.unionByName(kept(crossing(buckets, classes, links, src, percent)))
+    links = verified(plausible(stars(shared), classes, percent), texts, percent)
+    return links.unionByName(kept(crossing(shared, classes, links, texts, percent)))
 
 
-def crossing(buckets: DataFrame, classes: DataFrame, links: DataFrame, src: DataFrame, percent: int) -> DataFrame:
+def crossing(shared: DataFrame, classes: DataFrame, links: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Verified links (a < b) that connect what is connected in buckets that hold several components.
 
     Their rows go to pairs of blocks of at most about BLOCK classes. First the classes of two blocks are compared by their
     sketches; only those that have a plausible partner of another component come again with their texts, and their block pair then
     verifies plausible pairs, but for those that links of the same block pair have connected already.
     """
-    rows = buckets.join(components(links), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    rows = shared.join(components(links), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows")).where("x < y").select("bucket", "rows")
     inside = rows.join(mixed, "bucket").join(classes.select("id", F.col("n").alias("size"), "bands", "sketch"), "id")
     n = F.ceil(F.col("rows") / BLOCK).cast("int")
@@ -197,7 +199,6 @@ def crossing(buckets: DataFrame, classes: DataFrame, links: DataFrame, src: Data
     names = ["bucket", "p", "q", "own", "id", "component", "size", "bands", "sketch"]
     schema = "bucket long, p int, q int, own int, id long, component long, size long, bands array<long>, sketch binary"
     some = kept(in_blocks(inside, lambda t: [t.take(np.unique(np.concatenate(list(partners(t, percent)) + [np.zeros(0, np.int64)])))], names, schema))
-    texts = kept(src.join(some.select("id").distinct(), "id").dropDuplicates(["id"]))
     return in_blocks(some.join(texts, "id").select(*names, "text"), lambda t: [spanning(t, percent)], ["a", "b"], "a long, b long").distinct()
 
 
