@@ -25,6 +25,8 @@ BINS, COARSE = 32, 8
 ROUNDS, PAIR_ROUNDS, PAIRS = 120, 40, 4
 RATE, LEAST, RIDGE = 0.1, 10, 2.0
 REPEAT = 8
+#: Bytes of text whose features are worked out together.
+_BYTES = 1 << 20
 _CLASSES = {
     "upper": np.isin(np.arange(256), [*range(65, 91)]),
     "symbol": np.isin(np.arange(256), [*b"#*$%&<>@^~\\{}[]_=+"]),
@@ -216,7 +218,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
     names = [f"f{i}" for i in range(len(FEATURES))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", _BYTES):
             x = features(batch.column(0))
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c) for c in x.T)], ["label", *names])
 
@@ -230,13 +232,13 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "qual
 def scored(docs: DataFrame, model: Additive) -> DataFrame:
     """docs with score and predicted added (columns of these names give way). Null texts are empty texts; rows are independent."""
     rest = [c for c in docs.columns if c not in ("score", "predicted")]
-    src = docs.select(*rest, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text_"))
+    src = docs.select(*rest)
     schema = T.StructType([*docs.select(*rest).schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "_text_"):
-            p = model.score(features(batch.column(len(rest))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*rest, "score", "predicted"])
+        for batch in chunks(batches, "text", _BYTES):
+            p = model.score(features(batch.column(rest.index("text"))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*rest, "score", "predicted"])
 
     return src.mapInArrow(run, schema)
 
