@@ -29,6 +29,8 @@ class _Neighbors:
     weights: str = "uniform"
     metric: str = "euclidean"
     p: float = 2
+    #: Queries are rows of the training table too, and no row is its own neighbour.
+    others_only: bool = False
 
     def fit(self, df: DataFrame):
         self.train_ = df.select(F.col(self.id_col).alias("_t_id"), F.col(self.label).alias("_t_y"), *[F.col(c).alias(f"_t_{c}") for c in self.cols])
@@ -37,6 +39,8 @@ class _Neighbors:
     def kneighbors(self, df: DataFrame) -> DataFrame:
         """query id, neighbour id, y, distance, rank (ties by neighbour id)."""
         pairs = df.select(F.col(self.id_col).alias("_q_id"), *self.cols).crossJoin(self.train_)
+        if self.others_only:
+            pairs = pairs.where(~F.col("_q_id").eqNullSafe(F.col("_t_id")))
         pairs = pairs.select("_q_id", "_t_id", "_t_y", distance(self.cols, self.metric, self.p).alias("d"))
         w = Window.partitionBy("_q_id").orderBy("d", "_t_id")
         near = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= self.n_neighbors)

@@ -650,7 +650,7 @@ _NEAR = f"t AS {_D4}, n AS (SELECT q.vec_id, t.vec_id AS other, t.label, {_far('
 def _knn(spark, d, cls, **options):
     df = d4(spark, d)
     asked = F.pmod("vec_id", F.lit(20)) == 0
-    return cls(D4, "label", "vec_id", **options).fit(df.where(~asked)), df.where(asked)
+    return cls(D4, "label", "vec_id", others_only=True, **options).fit(df), df.where(asked)
 
 
 @register("op_model_knn_neighbors", f"WITH {_NEAR} SELECT vec_id, other AS neighbor, label AS y, round(d, 6) AS distance, CAST(k AS INTEGER) AS rank FROM n WHERE k <= 5")

@@ -21,3 +21,27 @@ def vectors(spark, tmp_path_factory):
 def test_kernel_machines_score_every_row(spark, vectors, name):
     d, ids, _, _ = vectors
     assert sorted(r["vec_id"] for r in queries()[name](spark, d).collect()) == ids.tolist()
+
+
+def nearest(ids, x, wide):
+    """Five nearest other rows of each id divisible by 20, as (id, distance), by brute force over the first ``wide`` values."""
+    out = {}
+    for i in np.flatnonzero(ids % 20 == 0):
+        d = np.sqrt(((x[:, :wide] - x[i, :wide]) ** 2).sum(1))
+        out[int(ids[i])] = [(int(ids[j]), d[j]) for j in np.lexsort((ids, d)) if j != i][:5]
+    return out
+
+
+def test_neighbours_among_all_rows(spark, vectors):
+    d, ids, x, y = vectors
+    want, label = nearest(ids, x, 4), dict(zip(ids.tolist(), y.tolist(), strict=True))
+    assert any(j % 20 == 0 for near in want.values() for j, _ in near)
+    got = {}
+    for r in sorted(queries()["op_model_knn_neighbors"](spark, d).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["vec_id"], []).append((r["neighbor"], r["distance"]))
+    assert got == {k: [(j, pytest.approx(f, abs=1e-6)) for j, f in near] for k, near in want.items()}
+    votes = {k: [label[j] for j, _ in near] for k, near in want.items()}
+    classes = {r["vec_id"]: r["prediction"] for r in queries()["op_model_knn_classifier"](spark, d).collect()}
+    assert classes == {k: min(v, key=lambda c: (-v.count(c), c)) for k, v in votes.items()}
+    means = {r["vec_id"]: r["prediction"] for r in queries()["op_model_knn_regressor"](spark, d).collect()}
+    assert means == {k: pytest.approx(sum(label[j] / f for j, f in near) / sum(1 / f for _, f in near), abs=1e-4) for k, near in want.items()}
