@@ -45,3 +45,11 @@ def test_neighbours_among_all_rows(spark, vectors):
     assert classes == {k: min(v, key=lambda c: (-v.count(c), c)) for k, v in votes.items()}
     means = {r["vec_id"]: r["prediction"] for r in queries()["op_model_knn_regressor"](spark, d).collect()}
     assert means == {k: pytest.approx(sum(label[j] / f for j, f in near) / sum(1 / f for _, f in near), abs=1e-4) for k, near in want.items()}
+
+
+def test_im2col_unfolds_every_image(spark, vectors):
+    d, ids, x, _ = vectors
+    got = {(r["n"], r["oh"], r["ow"], r["kh"], r["kw"]): (r["h"], r["w"], r["v"]) for r in queries()["op_nn_im2col"](spark, d).collect()}
+    places = [(oh, ow, kh, kw) for oh in range(6) for ow in range(6) for kh in range(3) for kw in range(3)]
+    want = {(int(n), *p): (p[0] + p[2], p[1] + p[3], pytest.approx(v.reshape(8, 8)[p[0] + p[2], p[1] + p[3]], abs=1e-6)) for n, v in zip(ids, x, strict=True) for p in places}
+    assert got == want
