@@ -52,7 +52,7 @@ class Pieces:
             self.slot_key[at], self.slot_id[at], self.probes = key, i, max(self.probes, n)
         # Answers to "does this piece stay as it is after that one": what a slot held is worked out anew when it is asked again.
         self.pair_key, self.pair_fits = np.full(1 << _PAIRS, -1, np.int64), np.zeros(1 << _PAIRS, bool)
-        self.slow: dict[tuple[int, str], np.ndarray] = {}
+        self.blanks = np.zeros(0, np.int32)
 
     def find(self, key: np.ndarray) -> np.ndarray:
         at = (key >> np.uint64(64 - _SLOTS)).astype(np.int64)
@@ -164,16 +164,11 @@ class Pieces:
                 last.append(-1)
         return np.diff(np.array(count, np.int32))
 
-    def spaced(self, spaces: int, word: str) -> np.ndarray:
-        """The same after two or more spaces, whose pieces tie in rank: each prefix as the tokenizer gives it."""
-        if (spaces, word) not in self.slow:
-            if len(self.slow) >= 20_000:
-                self.slow.clear()
-            text = " " * (spaces - 1) + word
-            got = [len(x) for x in self.sp.encode([text[:i] for i in range(len(text) + 1)], num_threads=1)]
-            got[0] = 1
-            self.slow[spaces, word] = np.diff(np.array([0, *got], np.int32))
-        return self.slow[spaces, word]
+    def blank(self, n: int) -> np.ndarray:
+        """The same for n spaces. A longer run's differences begin with those of a shorter one."""
+        if n > len(self.blanks):
+            self.blanks = self.one(SPACE * (2 * n))
+        return self.blanks[:n]
 
     def deltas(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """For all code points of all rows: by how much each changes its row's count; and where each row begins (n + 1)."""
@@ -209,35 +204,29 @@ class Pieces:
             while s > off[row] and is_space[s - 1]:
                 s -= 1
             at_start = s == off[row]
-            d = self.spaced(e - s + 1 + at_start, "") if e - s + 1 + at_start > 1 else np.ones(1, np.int32)
-            self._put(out, int(cp_at[s]), d, at_start)
+            self._put(out, int(cp_at[s]), self.blank(e - s + 1 + at_start), at_start)
         # A text that begins with other white space: the tokenizer's own space is a token.
         other = off[:-1][(off[1:] > off[:-1])]
         other = other[gap_byte[other] & ~is_space[other]]
         out[cp_at[other]] += 1
         if not len(starts):
             return out, rows
-        h = hash_words(buf, starts, ends)
-        for k in (0, 1):
-            pick = np.flatnonzero(spaces == k)
-            if not len(pick):
-                continue
-            _, first, uid = np.unique(h[pick], return_index=True, return_inverse=True)
-            s, e = starts[pick[first]], ends[pick[first]]
-            joined = bytes(buf[ranges(s, e - s)]).decode()
-            cps = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
-            size = cp_at[e] - cp_at[s]
-            u_off = np.concatenate(([0], np.cumsum(size + k)))
-            seg = np.full(int(u_off[-1]), ord(SPACE), np.int64)
-            seg[ranges(u_off[:-1] + k, size)] = cps
-            d = self.table(seg, u_off)
-            own = opens[pick] & (k == 1)  # the space is not in the text
-            to, n = cp_at[starts[pick]] - k + own, (size + k)[uid] - own
-            out[ranges(to, n)] = d[ranges(u_off[:-1][uid] + own, n)]
-            out[to[own]] += d[u_off[:-1][uid][own]]
-        for i in np.flatnonzero(spaces > 1).tolist():
-            d = self.spaced(int(spaces[i]), bytes(buf[starts[i] : ends[i]]).decode())
-            self._put(out, int(cp_at[starts[i]] - before[i]), d, bool(opens[i]))
+        # Pieces of spaces only rank below all others and no piece has a space after another character or two before one, so a
+        # word and its spaces are one segment like any other.
+        h = hash_words(buf, starts, ends) + spaces.astype(np.uint64) * np.uint64(_BASE)
+        _, first, uid = np.unique(h, return_index=True, return_inverse=True)
+        s, e, k = starts[first], ends[first], spaces[first]
+        joined = bytes(buf[ranges(s, e - s)]).decode()
+        cps = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64)
+        size = cp_at[e] - cp_at[s]
+        u_off = np.concatenate(([0], np.cumsum(size + k)))
+        seg = np.full(int(u_off[-1]), ord(SPACE), np.int64)
+        seg[ranges(u_off[:-1] + k, size)] = cps
+        d = self.table(seg, u_off)
+        # Where a text opens, the segment's first space is not in it.
+        to, n = cp_at[starts] - before, (size + k)[uid] - opens
+        out[ranges(to, n)] = d[ranges(u_off[:-1][uid] + opens, n)]
+        out[to[opens]] += d[u_off[:-1][uid][opens]]
         return out, rows
 
     @staticmethod
