@@ -7,6 +7,22 @@ from pyspark.sql import functions as F
 
 from .shared import drop, kept
 
+#: A node with more edges than this, and than a 10,000th of all, has its edges dealt to several parts.
+PART = 256
+
+
+def beside(edges: DataFrame, least: DataFrame, part: int) -> DataFrame:
+    """edges (u, v) with m of least (u, m, n) added, where n is the number of edges of u.
+
+    A node of many edges is joined in parts of about ``part`` edges. No more nodes than edges / part have parts, so with ``part``
+    a 10,000th of all edges or more, the table of these nodes has 10,000 rows at most and is broadcast.
+    """
+    many = F.broadcast(least.where(F.col("n") > part).select(F.col("u").alias("many"), F.ceil(F.col("n") / part).cast("int").alias("parts")))
+    left = edges.join(many, F.col("u") == F.col("many"), "left")
+    left = left.select("u", "v", F.coalesce(F.pmod(F.xxhash64("v"), "parts"), F.lit(0)).cast("int").alias("at"))
+    right = least.select("u", "m", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / part).cast("int") - 1)).alias("at"))
+    return left.join(right, ["u", "at"]).select("u", "v", "m")
+
 
 def components(links: DataFrame) -> DataFrame:
     """links (a, b: long) to id, component: the smallest id that each id of a link can reach.
@@ -18,14 +34,16 @@ def components(links: DataFrame) -> DataFrame:
     edges = kept(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     while True:
+        part = max(PART, 2 * edges.count() // 10_000)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("v"), F.count("*").alias("n")).select("u", F.least("u", "v").alias("m"), "n")
+        large = beside(both, least, part).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = kept(large.distinct())
+        lower = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = beside(large, lower, part).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         new = kept(small.where("u <> v").distinct())
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        drop(edges)
+        drop(edges, large)
         edges = new
         if now == seen:
             break

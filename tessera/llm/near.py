@@ -24,16 +24,19 @@ from pyspark.sql import functions as F
 from .flat import LOWER, chunks, hash_windows, hash_words, mix, ranges, strings, window_starts, words
 from .graph import components
 from .quality import later_in_row
-from .shared import kept
+from .shared import drop, kept
 
 SHINGLE, PERCENT = 5, 75
 BANDS, BAND_ROWS = 32, 4
 #: A pair whose signatures agree in fewer coordinates than this, less so many deviations, is no link: with 128 coordinates one
 #: pair in 10**5 of the least similarity falls below that, about as many as share no band.
 DEVIATIONS = 4.3
+KEYS = ["n", "set_a", "set_b"]
 _CELL_BITS = 20
 #: Classes of one bucket that are compared at once where a bucket holds several components.
 BLOCK = 512
+#: Coordinates of the sketch that the smaller buckets within a larger one have in common.
+DEEP_ROWS = 3
 
 
 @lru_cache(maxsize=1)
@@ -76,6 +79,13 @@ def signatures(x: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(h).view(np.int64), (out & np.uint32(0xFF)).astype(np.uint8)
 
 
+def wrapped_sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Sums of values[off[i]:off[i+1]] modulo 2**64."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=total[1:])
+    return total[off[1:]] - total[off[:-1]]
+
+
 def least_equal(percent: int) -> int:
     """Coordinates in which a link's signatures agree at least, but for rare chance."""
     n, j = BANDS * BAND_ROWS, percent / 100
@@ -83,20 +93,19 @@ def least_equal(percent: int) -> int:
 
 
 def summaries(src: DataFrame) -> DataFrame:
-    """id, n (size of the set), set_a, set_b (128 bits that only equal sets share), bands, sketch."""
+    """src (id, th, text) to id, th, n (size of the set), set_a, set_b (128 bits that only equal sets share), bands, sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            x, off = shingles(batch.column(1))
+            x, off = shingles(batch.column(2))
             n = batch.num_rows
-            total = lambda v: np.diff(np.concatenate(([0], np.cumsum(v, dtype=np.uint64))).astype(np.uint64)[off])  # noqa: B023, E731
             bands, sketch = signatures(x, off)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(off), pa.int64()), pa.array(total(mix(x)).view(np.int64)), pa.array(total(mix(x ^ np.uint64(0x5DEECE66D))).view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(bands.ravel())), pa.array([r.tobytes() for r in sketch], pa.binary())],
-                ["id", "n", "set_a", "set_b", "bands", "sketch"],
-            )
+            sets = [pa.array(wrapped_sums(mix(x ^ np.uint64(salt)), off).view(np.int64)) for salt in (0, 0x5DEECE66D)]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
+            sketches = pa.array([r.tobytes() for r in sketch], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.diff(off), pa.int64()), *sets, lists, sketches], ["id", "th", *KEYS, "bands", "sketch"])
 
-    return src.mapInArrow(run, "id long, n long, set_a long, set_b long, bands array<long>, sketch binary")
+    return src.mapInArrow(run, "id long, th long, n long, set_a long, set_b long, bands array<long>, sketch binary")
 
 
 def bytes_of(col: pa.Array) -> np.ndarray:
@@ -135,12 +144,20 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
     return kept(two.mapInArrow(run, "a long, b long").distinct())
 
 
-def shared_buckets(classes: DataFrame) -> DataFrame:
-    """bucket, id, low, high (the bucket's least and greatest id) of buckets that hold two classes or more."""
-    buckets = classes.select("id", F.explode("bands").alias("bucket"))
-    ends = buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+def shared_buckets(rows: DataFrame) -> DataFrame:
+    """rows (bucket, id) with low, high (the bucket's least and greatest id), of buckets that hold two classes or more."""
+    ends = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     # A frequent bucket's rows are spread by Spark's skew handling: the other side has one row.
-    return buckets.join(ends, "bucket")
+    return rows.join(ends, "bucket")
+
+
+def deeper(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows (bucket, id) to smaller buckets (bucket, id): those that agree in DEEP_ROWS more coordinates of the sketch, for each
+    group of so many. A pair at the least similarity shares none of its buckets' 42 with a chance of 2 in 10**10."""
+    groups = BANDS * BAND_ROWS // DEEP_ROWS
+    inside = rows.join(classes.select("id", "sketch"), "id").withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    part = F.substring("sketch", F.col("nth") * DEEP_ROWS + 1, F.lit(DEEP_ROWS))
+    return inside.select(F.xxhash64("bucket", "nth", part).alias("bucket"), "id")
 
 
 def stars(rows: DataFrame) -> DataFrame:
@@ -150,56 +167,129 @@ def stars(rows: DataFrame) -> DataFrame:
     return low.unionByName(high).distinct()
 
 
-def duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs to id, n_shingles, component_id (the least id that links reach), kept (the id is its component's).
+def grouped(docs: DataFrame, percent: int, id_col: str, text_col: str, by_text: bool) -> tuple[DataFrame, DataFrame]:
+    """All rows (id, th: the text's hash, n, set_a, set_b), and of each set that several rows or links have its component:
+    the least id, and a number (group), as in ``by_text`` several components may have one least id.
 
-    Sets: distinct shingles of 5 words (A-Z lower-cased; words end at ASCII white space); a text of 1 to 4 words is one shingle;
-    null, empty and white texts have none, link with nothing and are kept. Rows link if 100 * |A & B| >= percent * |A | B|. Rows
-    with a null id link with nothing: their component is null and they are kept. Rows of one id are one document: what any of
-    its texts links is linked. Ids must be integers. Empty tables give empty results; other columns are left aside.
+    Classes bear a number of their own, so that one id may stand for several. Unless ``by_text``, the classes of one id are linked.
     """
     src = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    src = src.select("id", F.xxhash64("text").alias("th"), "text")
     rows = kept(summaries(src))
     full = rows.where("n > 0 and id is not null")
-    keys = ["n", "set_a", "set_b"]
-    classes = kept(full.groupBy(*keys).agg(F.min("id").alias("id"), F.count("*").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
-    shared = kept(shared_buckets(classes))
-    # The texts of all classes that have a candidate, picked once. The hint keeps one plan for every size of input.
-    named = shared.select("id").distinct().hint("merge")
-    texts = kept(src.withColumn("th", F.xxhash64("text")).join(named, "id").dropDuplicates(["id", "th"]).select("id", "text"))
+    first = F.min(F.struct("id", "th")).alias("first")
+    classes = full.groupBy(*KEYS).agg(first, F.count("*").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = kept(classes.select(F.monotonically_increasing_id().alias("id"), F.col("first.id").alias("doc"), F.col("first.th").alias("th"), *KEYS, "size", "bands", "sketch"))
+    shared = kept(shared_buckets(classes.select("id", F.explode("bands").alias("bucket"))))
+    # The texts of all classes that have a candidate, picked once: one row each. The hint keeps one plan for every size of input.
+    named = classes.join(shared.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("class"), F.col("doc").alias("id"), "th").hint("merge")
+    texts = kept(src.join(named, ["id", "th"]).dropDuplicates(["class"]).select(F.col("class").alias("id"), "text"))
     links = linked(shared, classes, texts, percent)
-    found = components(links)
-    placed = classes.where("size > 1").select(*keys, "id").unionByName(classes.where("size = 1").join(found.select("id"), "id", "left_semi").select(*keys, "id"))
-    placed = placed.join(found, "id", "left").select(*keys, F.coalesce("component", "id").alias("component"))
-    out = rows.select("id", *keys).join(placed, keys, "left")
+    found = components(links if by_text else links.unionByName(of_one_id(full, classes)))
+    drop(shared, texts, links)
+    least = found.join(classes.select("id", "doc"), "id").groupBy("component").agg(F.min("doc").alias("least"))
+    found = found.join(least, "component")
+    placed = classes.where("size > 1").unionByName(classes.where("size = 1").join(found.select("id"), "id", "left_semi").select(*classes.columns))
+    placed = placed.withColumnRenamed("id", "class").join(found.withColumnRenamed("id", "class"), "class", "left")
+    return rows, placed.select(*KEYS, F.coalesce("least", "doc").alias("component"), F.coalesce("component", "class").alias("group"))
+
+
+def of_one_id(full: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a < b) of the classes of each id that has several."""
+    name = F.xxhash64(*KEYS)
+    several = full.groupBy("id").agg(F.min(name).alias("x"), F.max(name).alias("y")).where("x < y").select("id")
+    held = full.select("id", *KEYS).join(several, "id").distinct().withColumnRenamed("id", "doc_id").join(classes.select("id", *KEYS), KEYS).select("doc_id", "id")
+    least = held.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return held.join(least, "doc_id").where("a < id").select("a", F.col("id").alias("b")).distinct()
+
+
+def placed_rows(docs: DataFrame, percent: int, id_col: str, text_col: str, by_text: bool) -> DataFrame:
+    """id, th, n, component (null for a null id, the id itself for a row without shingles) and group (null for a row alone)."""
+    rows, placed = grouped(docs, percent, id_col, text_col, by_text)
     own = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")))
-    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
+    return rows.select("id", "th", *KEYS).join(placed, KEYS, "left").select("id", "th", "n", own.alias("component"), "group")
+
+
+def duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs to id, n_shingles, component_id (the least id that links reach), kept (the id is its component's).
+
+    Sets: distinct shingles of 5 words (A-Z lower-cased; words end at ASCII white space); a text of 1 to 4 words is one shingle;
+    null, empty and white texts have none, link with nothing and are kept. Rows link if 100 * |A & B| >= percent * |A | B|. Rows
+    with a null id link with nothing: their component is null and they are kept. Rows of one id are one document: what any of
+    its texts links is linked, and all its rows with shingles have one component. Ids must be integers. Empty tables give empty
+    results; other columns are left aside.
+    """
+    out = placed_rows(docs, percent, id_col, text_col, False)
+    kind = docs.schema[id_col].dataType
+    return out.select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+
+
+def survivors(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near duplicates, all columns as they are: of each group of linked texts the row of the least id stays.
+
+    Links as in ``duplicates``, but between texts: where rows of one id hold different texts, each text is a document of its own,
+    so that no text is lost with another one of its id (of several such texts in one group, that of the least hash stays). Rows
+    that repeat an id and a text are one row. Rows with a null id and rows without shingles all stay, but for such repeats of an id.
+    """
+    out = placed_rows(docs, percent, id_col, text_col, True).where("id is not null")
+    rows = kept(out.groupBy("id", "th", "component", "group").agg(F.count("*").alias("rows")))
+    # A component's rows of its least id: one row, but for ids that several texts share.
+    heads = rows.where("group is not null and id = component").groupBy("group").agg(F.min("th").alias("head"))
+    judged = rows.join(heads, "group", "left").withColumn("stays", F.expr("group is null or (id = component and th = head)"))
+    gone = kept(judged.where("not stays or rows > 1").select(F.col("id").alias("_id"), F.col("th").alias("_th")))
+    again = kept(judged.where("stays and rows > 1").select(F.col("id").alias("_id"), F.col("th").alias("_th")))
+    named = docs.select(F.struct(*docs.columns).alias("_row"), docs[id_col].cast("long").alias("_id"), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("_th"))
+    once = named.join(gone, ["_id", "_th"], "left_anti").select("_row.*")
+    return once.unionByName(named.join(again, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select("_row.*"))
 
 
 def linked(shared: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Verified links that connect all classes that any link connects."""
+    """Verified links that connect all classes that any link connects.
+
+    After the stars, what is left are buckets that hold several components. Those of at most BLOCK classes are compared as they
+    are. The rows of larger ones go to the smaller buckets of ``deeper``, which are joined by stars again; only such of these as
+    still hold several components are compared, in blocks.
+    """
     links = verified(plausible(stars(shared), classes, percent), texts, percent)
-    return links.unionByName(kept(crossing(shared, classes, links, texts, percent)))
+    rows = mixed(shared, links)
+    wide = rows.where(F.col("rows") > BLOCK)
+    small = rows.where(F.col("rows") <= BLOCK).withColumn("deep", F.lit(False))
+    used = [rows]
+    if not wide.isEmpty():
+        shared = kept(shared_buckets(deeper(wide.select("bucket", "id"), classes)))
+        links = links.unionByName(verified(plausible(stars(shared), classes, percent), texts, percent))
+        used += [shared, mixed(shared, links)]
+        small = small.unionByName(used[-1].withColumn("deep", F.lit(True)))
+    links = links.unionByName(crossing(small, classes, texts, percent))
+    drop(*used)
+    return links
+
+
+def mixed(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """bucket, id, component, rows (of the bucket) for the buckets that hold several components."""
+    rows = shared.join(components(links), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    several = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows"))
+    return kept(rows.join(several.where("x < y").select("bucket", "rows"), "bucket"))
 
 
-def crossing(shared: DataFrame, classes: DataFrame, links: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Verified links (a < b) that connect what is connected in buckets that hold several components.
+def crossing(rows: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Verified links (a < b) that connect what is connected in the buckets of rows (bucket, id, component, rows, deep).
 
-    Their rows go to pairs of blocks of at most about BLOCK classes. First the classes of two blocks are compared by their
-    sketches; only those that have a plausible partner of another component come again with their texts, and their block pair then
-    verifies plausible pairs, but for those that links of the same block pair have connected already.
+    Rows go to pairs of blocks of at most about BLOCK classes. First the classes of two blocks are compared by their sketches;
+    only those that have a plausible partner of another component come again with their texts, and their block pair then verifies
+    plausible pairs, but for those that links of the same block pair have connected already.
     """
-    rows = shared.join(components(links), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows")).where("x < y").select("bucket", "rows")
-    inside = rows.join(mixed, "bucket").join(classes.select("id", F.col("n").alias("size"), "bands", "sketch"), "id")
     n = F.ceil(F.col("rows") / BLOCK).cast("int")
-    inside = inside.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    inside = rows.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    inside = inside.join(classes.select("id", F.col("n").alias("size"), "bands", "sketch"), "id")
     inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    inside = inside.select("bucket", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "component", "size", "bands", "sketch")
-    names = ["bucket", "p", "q", "own", "id", "component", "size", "bands", "sketch"]
-    schema = "bucket long, p int, q int, own int, id long, component long, size long, bands array<long>, sketch binary"
+    names = ["bucket", "p", "q", "own", "deep", "id", "component", "size", "bands", "sketch"]
+    inside = inside.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).select(*names)
+    schema = "bucket long, p int, q int, own int, deep boolean, id long, component long, size long, bands array<long>, sketch binary"
     some = kept(in_blocks(inside, lambda t: [t.take(np.unique(np.concatenate(list(partners(t, percent)) + [np.zeros(0, np.int64)])))], names, schema))
-    return in_blocks(some.join(texts, "id").select(*names, "text"), lambda t: [spanning(t, percent)], ["a", "b"], "a long, b long").distinct()
+    links = kept(in_blocks(some.join(texts, "id").select(*names, "text"), lambda t: [spanning(t, percent)], ["a", "b"], "a long, b long").distinct())
+    drop(some)
+    return links
 
 
 def in_blocks(rows: DataFrame, work, names: list[str], schema: str) -> DataFrame:
@@ -228,9 +318,9 @@ def in_blocks(rows: DataFrame, work, names: list[str], schema: str) -> DataFrame
 
 
 def partners(t: pa.Table, percent: int, component: np.ndarray | None = None) -> Iterator[np.ndarray]:
-    """For each row of the first block: itself and its plausible partners of other components whose first common band is this
-    bucket. component may change between the steps."""
-    bucket, p, q = (t.column(c)[0].as_py() for c in ("bucket", "p", "q"))
+    """For each row of the first block: itself and its plausible partners of other components; unless the bucket is a deeper one,
+    those whose first common band it is. component may change between the steps."""
+    bucket, p, q, deep = (t.column(c)[0].as_py() for c in ("bucket", "p", "q", "deep"))
     own, ids, size = (t.column(c).to_numpy() for c in ("own", "id", "size"))
     comp = t.column("component").to_numpy() if component is None else component
     bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
@@ -243,9 +333,9 @@ def partners(t: pa.Table, percent: int, component: np.ndarray | None = None) ->
         other = other[100 * np.minimum(size[other], size[i]) >= percent * np.maximum(size[other], size[i])]
         other = other[(sketch[other] == sketch[i]).sum(axis=1) >= least]
         same = bands[other] == bands[i]
-        other = other[same.any(axis=1)]
-        same = bands[other] == bands[i]
-        other = other[bands[i][same.argmax(axis=1)] == bucket] if len(other) else other
+        other, same = other[same.any(axis=1)], same[same.any(axis=1)]
+        if not deep and len(other):
+            other = other[bands[i][same.argmax(axis=1)] == bucket]
         if len(other):
             yield np.concatenate(([i], other))
 

@@ -227,6 +227,87 @@ def test_near_against_all_pairs(spark):
     assert got == brute_components(rows)
 
 
+def test_near_ids_that_repeat(spark):
+    rnd = random.Random(3)
+    a, b = (" ".join(f"{c}{rnd.randint(0, 999)}" for _ in range(40)) for c in "ab")
+    rows = [(1, a), (5, a), (5, b), (7, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in near.duplicates(docs).collect()} == {(1, 1, True), (5, 1, False), (7, 1, False)}
+    assert sorted(map(tuple, near.survivors(clash(docs)).select("doc_id", "text").collect())) == [(1, a), (5, b)]
+
+
+def union_find(links, ids):
+    parent = {i: i for i in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    return {i: root(i) for i in ids}
+
+
+def test_near_random_ids_that_repeat(spark):
+    rnd = random.Random(12)
+    base = [[f"v{rnd.randint(0, 3000)}" for _ in range(rnd.randint(30, 90))] for _ in range(60)]
+    rows = []
+    for _ in range(260):
+        w = list(rnd.choice(base))
+        for _ in range(rnd.choice([0, 0, 1, 2, 4])):
+            w[rnd.randrange(len(w))] = f"new{rnd.randint(0, 10**6)}"
+        rows.append((rnd.randint(0, 180), " ".join(w)))
+    rows += rows[:20] + [(3, ""), (5, None), (4, " \n")]
+    sets = [shingle_set(t) for _, t in rows]
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if sets[i] and sets[j] and 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    by_id = union_find([(rows[i][0], rows[j][0]) for i, j in close], {i for i, _ in rows})
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in near.duplicates(docs).collect()}
+    assert got == {(d, len(x), by_id[d] if x else d) for (d, _), x in zip(rows, sets, strict=True)}
+    of = union_find(close, range(len(rows)))
+    least = {}
+    for i, r in of.items():
+        least[r] = min(least.get(r, rows[i][0]), rows[i][0])
+    want = {}
+    for i, (d, t) in enumerate(rows):
+        if sets[i] and d == least[of[i]]:
+            want.setdefault(of[i], set()).add((d, t))
+    left = [tuple(r) for r in near.survivors(docs).collect()]
+    assert len(left) == len(set(left)) and {x for x in left if not shingle_set(x[1])} == {(3, ""), (5, None), (4, " \n")}
+    left = [x for x in left if shingle_set(x[1])]
+    assert len(left) == len(want) and all(sum(x in some for x in left) == 1 for some in want.values())
+
+
+def test_near_in_large_mixed_buckets(spark, monkeypatch):
+    """Boilerplate that all texts share, in buckets larger than a block."""
+    monkeypatch.setattr(near, "BLOCK", 8)
+    rnd = random.Random(21)
+    common = [f"c{i}" for i in range(120)]
+    rows, some = [], None
+    for i in range(160):
+        if i % 3 or some is None:
+            some = [f"o{rnd.randint(0, 10**6)}" for _ in range(rnd.randint(40, 90))]
+        w = common + list(some)
+        w[rnd.randrange(len(w))] = f"n{i}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.duplicates(docs).collect()}
+    assert got == brute_components(rows)
+
+
+def test_components_of_hot_nodes(spark, monkeypatch):
+    from tessera.llm import graph
+
+    monkeypatch.setattr(graph, "PART", 5)
+    rnd = random.Random(6)
+    links = [(0, i) for i in range(1, 90)] + [(400, i) for i in range(300, 390)] + [(i, i + 1) for i in range(500, 540)] + [(rnd.randint(600, 900), rnd.randint(600, 900)) for _ in range(200)] + [(7, 7)]
+    want = union_find(links, {x for p in links for x in p})
+    got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: c for i, c in want.items() if i in got} and all(i in got for i, c in want.items() if i != c)
+
+
 def brute_passages(rows, k=13):
     words = {i: t.split() for i, t in rows}
     first = {}
