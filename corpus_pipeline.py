@@ -20,11 +20,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document of the smallest id stays. Rows that repeat an id and a text are one."""
-    docs = docs.select(*COLUMNS).withColumn("_row", F.xxhash64("text"))
-    found = near.duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id", "_row"])
-    return named.join(found, "doc_id", "left_anti").unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """Of each group of near duplicates, the row of the smallest id stays. Rows that repeat an id and a text are one; texts that
+    share an id only are documents of their own, so that none is lost with another. Null ids and texts without words stay."""
+    return near.survivors(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
