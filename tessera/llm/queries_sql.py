@@ -47,27 +47,19 @@ FROM sized s JOIN plan{mixing.LEVELS} p ON s.source IS NOT DISTINCT FROM p.sourc
 
 def rules_sql() -> str:
     k, sym = rules.WINDOW, rules.SYMBOLS
-    m = {
-        "symbols": "coalesce(1000 * n_symbols // nullif(word_chars, 0), 0)",
-        "dup_lines": "coalesce(1000 * n_dup_lines // nullif(n_lines, 0), 0)",
-        "repeats": "coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0)",
-        "upper": "coalesce(1000 * n_upper // nullif(word_chars, 0), 0)",
-        "word_len": "coalesce(100 * word_chars // nullif(n_words, 0), 0)",
-    }
+    rate = {m: f"coalesce({unit} * {x} // nullif({y}, 0), 0)" for m, (x, y, unit, *_) in rules.METRICS.items()}
     step = lambda v: f"greatest(length(bin({v})) - 6, 0)"
-    pairs = " UNION ALL ".join(f"SELECT lang, source, '{name}' AS metric, {least} AS least, CAST((m_{name} >> {step(f'm_{name}')}) << {step(f'm_{name}')} AS BIGINT) AS bucket FROM measures WHERE NOT base_failed" for name, least in rules.METRICS.items())
-    own_merged = "".join(
-        f"""{name}_run AS (SELECT *, sum(n) OVER (PARTITION BY {by}, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}, metric) AS "rows" FROM {sketch}),
-{name} AS (SELECT {by}, metric, least, min(CASE WHEN 4 * upto >= {rules.LOW} * "rows" THEN bucket END) AS low,
-  min(CASE WHEN 4 * upto >= {rules.HIGH} * "rows" THEN bucket END) AS high, max("rows") AS "rows" FROM {name}_run GROUP BY ALL),
-"""
-        for name, by, sketch in (("own", "lang, source", "sketch"), ("merged", "lang", "lang_sketch"))
+    pairs = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, CAST((m_{m} >> {step(f'm_{m}')}) << {step(f'm_{m}')} AS BIGINT) AS bucket FROM measures WHERE NOT base_failed" for m in rules.METRICS)
+    room = f"{rules.SPREADS} * greatest(high - low, {rules.LEAST})"
+    limits = ", ".join(
+        [f"max(CASE WHEN metric = '{m}' THEN high + {room} END) AS t_{m}" for m in rules.HIGH_SIDE]
+        + [f"max(CASE WHEN metric = '{m}' THEN low - {room} END) AS l_{m}" for m in rules.LOW_SIDE]
     )
-    limits = ", ".join([f"max(CASE WHEN metric = '{x}' THEN high + {rules.SPREADS} * greatest(high - low, least) END) AS t_{x}" for x in rules.METRICS] + [f"max(CASE WHEN metric = '{x}' THEN low - {rules.SPREADS} * greatest(high - low, least) END) AS l_{x}" for x in rules.BOTH_SIDES])
-    fits = " AND ".join([f"m_{x} <= t_{x}" for x in rules.METRICS] + [f"m_{x} >= l_{x}" for x in rules.BOTH_SIDES])
+    side = lambda m, sign, order, limit: "{2} * ({0} {sign} {slack}) {order} {limit}_{m} * {1}".format(*rules.METRICS[m], sign=sign, slack=rules.SLACK, order=order, limit=limit, m=m)
+    fits = " AND ".join([side(m, "-", "<=", "t") for m in rules.HIGH_SIDE] + [side(m, "+", ">=", "l") for m in rules.LOW_SIDE])
     return f"""WITH split AS (
   SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
-    [x for x in string_split(coalesce(text, ''), chr(10)) if regexp_matches(x, '{WORD}')] AS lines FROM documents),
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines FROM documents),
 windows AS (SELECT r, i, array_to_string(w[i:i + {k - 1}], ' ') AS win FROM (SELECT r, w, unnest(range(1, len(w) - {k - 2})) AS i FROM split WHERE len(w) > {k})),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c FROM windows) WHERE c > 1),
 repeats AS (SELECT r, CAST(sum(least({k}, i - last)) AS BIGINT) AS n FROM (SELECT r, i, coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -{k}) AS last FROM twice) GROUP BY 1),
@@ -75,19 +67,25 @@ counts AS (
   SELECT split.r, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(translate(text, '{sym}', '')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
-    CAST(len(lines) AS BIGINT) AS n_lines, CAST(length(regexp_replace(text, '[^A-Z]', '', 'g')) AS BIGINT) AS n_upper
+    CAST(length(regexp_replace(text, '[^A-Z]', '', 'g')) AS BIGINT) AS _n_upper, CAST(length(text) - length(regexp_replace(text, '[{rules.MARKS}]', '', 'g')) AS BIGINT) AS _n_marks,
+    CAST(len(list_filter(w, lambda x: length(x) <= {rules.SHORT})) AS BIGINT) AS _n_short, CAST(len(list_distinct(w)) AS BIGINT) AS _n_distinct
   FROM split LEFT JOIN repeats ON repeats.r = split.r),
 measures AS (
   SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT} * n_words AS base_failed,
-    {", ".join(f"CAST({v} AS BIGINT) AS m_{n}" for n, v in m.items())} FROM counts),
+    {", ".join(f"CAST({v} AS BIGINT) AS m_{m}" for m, v in rate.items())} FROM counts),
 pairs AS ({pairs}),
-sketch AS (SELECT lang, source, metric, least, bucket, count(*) AS n FROM pairs GROUP BY ALL),
-lang_sketch AS (SELECT lang, metric, least, bucket, sum(n) AS n FROM sketch GROUP BY ALL),
-{own_merged}picked AS (
-  SELECT o.lang, o.source, o.metric, o.least, CASE WHEN o."rows" >= {rules.LEAST_ROWS} THEN o.low ELSE g.low END AS low,
-    CASE WHEN o."rows" >= {rules.LEAST_ROWS} THEN o.high ELSE g.high END AS high
-  FROM own o JOIN merged g ON o.lang IS NOT DISTINCT FROM g.lang AND o.metric = g.metric),
-limits AS (SELECT lang, source, {limits} FROM picked GROUP BY ALL)
+own AS (SELECT lang, source, metric, bucket, count(*) AS n FROM pairs GROUP BY ALL),
+whole AS (SELECT lang, metric, bucket, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang, metric) AS "rows" FROM own GROUP BY lang, metric, bucket),
+blended AS (
+  SELECT lang, source, metric, bucket, sum(n) AS n FROM (
+    SELECT lang, source, metric, bucket, n * {rules.UNIT} AS n FROM own
+    UNION ALL SELECT g.lang, g.source, metric, bucket, {rules.PRIOR * rules.UNIT} * n // "rows" FROM (SELECT DISTINCT lang, source FROM own) g JOIN whole w ON g.lang IS NOT DISTINCT FROM w.lang)
+  GROUP BY ALL),
+run AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, metric) AS "rows" FROM blended),
+quartiles AS (
+  SELECT lang, source, metric, min(CASE WHEN 4 * upto >= {rules.LOW} * "rows" THEN bucket END) AS low, min(CASE WHEN 4 * upto >= {rules.HIGH} * "rows" THEN bucket END) AS high
+  FROM run GROUP BY ALL),
+limits AS (SELECT lang, source, {limits} FROM quartiles GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce({fits}, false) AS kept
 FROM measures m LEFT JOIN limits t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source"""
 

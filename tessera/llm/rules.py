@@ -1,9 +1,11 @@
 """Quality rules with adaptive thresholds [DataFrame operations only].
 
-The base rules' counts are plain expressions over one row. For the rest, every metric of a row is a small integer; a quantile
-sketch is the histogram of its buckets (linear up to 32, then 32 buckets an octave: a relative error of 1/32 at most), so
-sketches of any two sets of rows merge by adding counts. Sketches are kept by language and source and merged over a language's
-sources where a source has few rows; a row is rejected where a metric lies far beyond the quartiles of its own group.
+The base rules' counts are plain expressions over one row. For the rest, every metric of a row is a small integer: a rate of
+counted things, or a mean. A quantile sketch is the histogram of its buckets (linear up to 32, then 32 buckets an octave: a
+relative error of 1/32 at most), so sketches of any two sets of rows merge by adding counts. Sketches are kept by language and
+source, and each is blended with the sketch of its whole language, which weighs as much as PRIOR rows: the fewer rows a source
+has, the more its thresholds are its language's. No threshold is fixed: a row is rejected where a metric lies so many interquartile
+ranges beyond the quartiles of its own group, and by more counted things than chance puts into a short text.
 """
 
 from __future__ import annotations
@@ -15,14 +17,29 @@ from .mixing import WORD, word_count
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+#: ASCII punctuation, as a character class's ranges.
+MARKS = "!-/:-@\\[-`{-~"
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT = 20, 30
-#: Metrics in thousandths (word_len: hundredths of a code point), with the least spread that counts for each.
-METRICS = {"symbols": 15, "dup_lines": 100, "repeats": 100, "upper": 30, "word_len": 80}
-#: Metrics for which a value far below the lower quartile counts, too.
-BOTH_SIDES = ("word_len",)
-#: A threshold is the upper quartile plus so many spreads; a group with fewer rows uses its language's sketch.
-SPREADS, LEAST_ROWS = 4, 50
+#: Metrics: what is counted, what it is divided by, in which unit (thousandths; word_len: hundredths of a code point), and
+#: whether a low and a high value count against a row. All of them have a spread in ordinary text, so that quartiles tell it.
+METRICS = {
+    "punctuation": ("_n_marks", "word_chars", 1000, False, True),
+    "upper": ("_n_upper", "word_chars", 1000, False, True),
+    "short_words": ("_n_short", "n_words", 1000, True, True),
+    "word_len": ("word_chars", "n_words", 100, True, True),
+    "distinct": ("_n_distinct", "n_words", 1000, True, False),
+}
+LOW_SIDE = [m for m, (*_, low, _) in METRICS.items() if low]
+HIGH_SIDE = [m for m, (*_, high) in METRICS.items() if high]
+#: Code points of a short word.
+SHORT = 3
+#: A threshold is a quartile and so many interquartile ranges (of LEAST units or more) beyond it.
+SPREADS, LEAST = 6, 2
+#: So many counted things must be too many or too few.
+SLACK = 10
+#: The language's sketch weighs as many rows as this; rows of a blended sketch are counted in parts of 1/UNIT.
+PRIOR, UNIT = 50, 1000
 #: The quartiles of the sketches, as numerators of quarters.
 LOW, HIGH = 1, 3
 
@@ -66,51 +83,51 @@ def measured(docs: DataFrame) -> DataFrame:
             "n_symbols": only(SYMBOLS).cast("long"),
             "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
             "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-            "_n_lines": F.size("_lines").cast("long"),
             "_n_upper": only("A-Z").cast("long"),
+            "_n_marks": only(MARKS).cast("long"),
+            "_n_short": F.size(F.filter("_words", lambda w: F.length(w) <= SHORT)).cast("long"),
+            "_n_distinct": F.size(F.array_distinct("_words")).cast("long"),
         }
     ).drop("_words", "_lines", "_h1", "_h2", "_h4", "_h8", "_hashes", "_placed", "_sorted", "_twice")
 
 
 def metrics(counts: DataFrame) -> DataFrame:
-    """counts with m_<metric> (long) for each of METRICS."""
-    part = lambda a, b, unit: F.coalesce(F.expr(f"{unit} * {a} div nullif({b}, 0)"), F.lit(0)).cast("long")
-    return counts.withColumns(
-        {
-            "m_symbols": part("n_symbols", "word_chars", 1000),
-            "m_dup_lines": part("n_dup_lines", "_n_lines", 1000),
-            "m_repeats": part("n_repeat_words", "n_words", 1000),
-            "m_upper": part("_n_upper", "word_chars", 1000),
-            "m_word_len": part("word_chars", "n_words", 100),
-        }
-    )
-
-
-def thresholds(measures: DataFrame, spreads: int = SPREADS, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """lang, source, t_<metric> and, for BOTH_SIDES, l_<metric> (long): one row for each language and source of the rows that pass the base rules."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(f"m_{m}")).alias("bucket"), F.lit(least).alias("least")) for m, least in METRICS.items()]))
-    sketch = measures.where(~F.col("base_failed")).select("lang", "source", pairs.alias("p")).groupBy("lang", "source", "p.metric", "p.least", "p.bucket").agg(F.count("*").alias("n"))
-    own = quartiles(sketch, ["lang", "source"])
-    merged = quartiles(sketch.groupBy("lang", "metric", "least", "bucket").agg(F.sum("n").alias("n")), ["lang"])
-    both = own.alias("o").join(merged.alias("g"), F.col("o.lang").eqNullSafe(F.col("g.lang")) & (F.col("o.metric") == F.col("g.metric")))
-    pick = lambda c: F.when(F.col("o.rows") >= least_rows, F.col(f"o.{c}")).otherwise(F.col(f"g.{c}"))
-    room = spreads * F.greatest(pick("high") - pick("low"), F.col("o.least"))
-    of = lambda m, value, name: F.max(F.when(F.col("o.metric") == m, value)).cast("long").alias(name)
-    limits = [of(m, pick("high") + room, f"t_{m}") for m in METRICS] + [of(m, pick("low") - room, f"l_{m}") for m in BOTH_SIDES]
-    return both.groupBy(F.col("o.lang").alias("lang"), F.col("o.source").alias("source")).agg(*limits)
-
-
-def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """low, high and rows of each group's sketch. A group has a bounded number of buckets, so its window is small."""
-    w = Window.partitionBy(*by, "metric")
-    run = F.sum("n").over(w.orderBy("bucket"))
-    placed = sketch.select(*by, "metric", "least", "bucket", run.alias("upto"), F.sum("n").over(w).alias("rows"))
+    """counts with m_<metric> (long) for each of METRICS; 0 where there is nothing to divide by."""
+    return counts.withColumns({f"m_{m}": F.coalesce(F.expr(f"{unit} * {a} div nullif({b}, 0)"), F.lit(0)).cast("long") for m, (a, b, unit, *_) in METRICS.items()})
+
+
+def sketches(measures: DataFrame) -> DataFrame:
+    """lang, source, metric, bucket, n of the rows that pass the base rules."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(f"m_{m}")).alias("bucket")) for m in METRICS]))
+    return measures.where(~F.col("base_failed")).select("lang", "source", pairs.alias("p")).groupBy("lang", "source", "p.metric", "p.bucket").agg(F.count("*").alias("n"))
+
+
+def blended(own: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """Sketches with each language's sketch mixed into those of its sources, n in parts of 1/UNIT."""
+    whole = own.groupBy("lang", "metric", "bucket").agg(F.sum("n").alias("n"))
+    rows = whole.groupBy("lang", "metric").agg(F.sum("n").alias("rows"))
+    whole = whole.alias("w").join(rows.alias("r"), F.col("w.lang").eqNullSafe(F.col("r.lang")) & (F.col("w.metric") == F.col("r.metric")))
+    share = F.expr(f"{prior * UNIT} * w.n div r.rows").alias("n")
+    shares = whole.select(F.col("w.lang").alias("of"), "w.metric", "w.bucket", share)
+    groups = own.select("lang", "source").distinct()
+    added = groups.join(shares, F.col("lang").eqNullSafe(F.col("of"))).select("lang", "source", "metric", "bucket", "n")
+    return own.withColumn("n", F.col("n") * UNIT).unionByName(added).groupBy("lang", "source", "metric", "bucket").agg(F.sum("n").alias("n"))
+
+
+def thresholds(measures: DataFrame, spreads: int = SPREADS, prior: int = PRIOR) -> DataFrame:
+    """lang, source, t_<metric> for HIGH_SIDE and l_<metric> for LOW_SIDE (long): one row for each language and source of the rows
+    that pass the base rules. A group's sketch has a bounded number of buckets, so its window is small."""
+    w = Window.partitionBy("lang", "source", "metric")
+    placed = blended(sketches(measures), prior).select("*", F.sum("n").over(w.orderBy("bucket")).alias("upto"), F.sum("n").over(w).alias("rows"))
     at = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("rows"), F.col("bucket")))
-    return placed.groupBy(*by, "metric", "least").agg(at(LOW).alias("low"), at(HIGH).alias("high"), F.max("rows").alias("rows"))
+    of = placed.groupBy("lang", "source", "metric").agg(at(LOW).alias("low"), at(HIGH).alias("high"))
+    room = spreads * F.greatest(F.col("high") - F.col("low"), F.lit(LEAST))
+    pick = lambda m, value, name: F.max(F.when(F.col("metric") == m, value)).cast("long").alias(name)
+    return of.groupBy("lang", "source").agg(*[pick(m, F.col("high") + room, f"t_{m}") for m in HIGH_SIDE], *[pick(m, F.col("low") - room, f"l_{m}") for m in LOW_SIDE])
 
 
-def judge(docs: DataFrame, spreads: int = SPREADS, least_rows: int = LEAST_ROWS, store=None) -> DataFrame:
-    """docs (doc_id, text, lang, source) to one row each: doc_id, lang, source, the base counts, base_failed, m_*, t_*, kept.
+def judge(docs: DataFrame, spreads: int = SPREADS, prior: int = PRIOR, store=None) -> DataFrame:
+    """docs (doc_id, text, lang, source) to one row each: doc_id, lang, source, the base counts, base_failed, m_*, t_*, l_*, kept.
 
     Null texts are empty: no words, base_failed. Null languages and sources are groups like others. Rows that share a doc_id
     are judged one by one. An empty table gives an empty result; other columns are left aside. store: what keeps the measures,
@@ -120,13 +137,16 @@ def judge(docs: DataFrame, spreads: int = SPREADS, least_rows: int = LEAST_ROWS,
 
     base = measured(docs.select("doc_id", "text", "lang", "source")).drop("text")
     base = base.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
-    rows = (store or keep)(metrics(base).drop("_n_lines", "_n_upper"))
-    t = thresholds(rows, spreads, least_rows)
+    rows = (store or keep)(metrics(base))
+    t = thresholds(rows, spreads, prior)
     # One row for each language and source; beyond the session's limit Spark joins by a shuffle instead.
     out = rows.alias("r").join(t.alias("t"), F.col("r.lang").eqNullSafe(F.col("t.lang")) & F.col("r.source").eqNullSafe(F.col("t.source")), "left")
     fits = F.lit(True)
-    for m in METRICS:
-        fits = fits & (F.col(f"r.m_{m}") <= F.col(f"t.t_{m}"))
-    for m in BOTH_SIDES:
-        fits = fits & (F.col(f"r.m_{m}") >= F.col(f"t.l_{m}"))
-    return out.select("r.*", *[f"t.t_{m}" for m in METRICS], *[f"t.l_{m}" for m in BOTH_SIDES], (~F.col("r.base_failed") & F.coalesce(fits, F.lit(False))).alias("kept"))
+    for m in HIGH_SIDE:
+        a, b, unit, *_ = METRICS[m]
+        fits = fits & (unit * (F.col(f"r.{a}") - SLACK) <= F.col(f"t.t_{m}") * F.col(f"r.{b}"))
+    for m in LOW_SIDE:
+        a, b, unit, *_ = METRICS[m]
+        fits = fits & (unit * (F.col(f"r.{a}") + SLACK) >= F.col(f"t.l_{m}") * F.col(f"r.{b}"))
+    told = [f"r.{c}" for c in rows.columns if not c.startswith("_")]
+    return out.select(*told, *[f"t.t_{m}" for m in HIGH_SIDE], *[f"t.l_{m}" for m in LOW_SIDE], (~F.col("r.base_failed") & F.coalesce(fits, F.lit(False))).alias("kept"))
