@@ -23,7 +23,7 @@ ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4F
 _powers: dict[int, np.ndarray] = {}
 

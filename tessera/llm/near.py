@@ -33,10 +33,8 @@ BANDS, BAND_ROWS = 32, 4
 DEVIATIONS = 4.3
 KEYS = ["n", "set_a", "set_b"]
 _CELL_BITS = 20
-#: Classes of one bucket that are compared at once where a bucket holds several components.
-BLOCK = 512
-#: Coordinates of the sketch that the smaller buckets within a larger one have in common.
-DEEP_ROWS = 3
+#: Classes of one bucket whose sketches, and whose texts, are compared at once where a bucket holds several components.
+SKETCH_BLOCK, TEXT_BLOCK = 4096, 512
 
 
 @lru_cache(maxsize=1)
@@ -151,15 +149,6 @@ def shared_buckets(rows: DataFrame) -> DataFrame:
     return rows.join(ends, "bucket")
 
 
-def deeper(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """rows (bucket, id) to smaller buckets (bucket, id): those that agree in DEEP_ROWS more coordinates of the sketch, for each
-    group of so many. A pair at the least similarity shares none of its buckets' 42 with a chance of 2 in 10**10."""
-    groups = BANDS * BAND_ROWS // DEEP_ROWS
-    inside = rows.join(classes.select("id", "sketch"), "id").withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    part = F.substring("sketch", F.col("nth") * DEEP_ROWS + 1, F.lit(DEEP_ROWS))
-    return inside.select(F.xxhash64("bucket", "nth", part).alias("bucket"), "id")
-
-
 def stars(rows: DataFrame) -> DataFrame:
     """Each class against the first and the last class of each of its buckets: a < b, distinct."""
     low = rows.where("id > low").select(F.col("low").alias("a"), F.col("id").alias("b"))
@@ -244,24 +233,11 @@ def survivors(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", t
 
 
 def linked(shared: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Verified links that connect all classes that any link connects.
-
-    After the stars, what is left are buckets that hold several components. Those of at most BLOCK classes are compared as they
-    are. The rows of larger ones go to the smaller buckets of ``deeper``, which are joined by stars again; only such of these as
-    still hold several components are compared, in blocks.
-    """
+    """Verified links that connect all classes that any link connects: the stars, and what connects components within a bucket."""
     links = verified(plausible(stars(shared), classes, percent), texts, percent)
     rows = mixed(shared, links)
-    wide = rows.where(F.col("rows") > BLOCK)
-    small = rows.where(F.col("rows") <= BLOCK).withColumn("deep", F.lit(False))
-    used = [rows]
-    if not wide.isEmpty():
-        shared = kept(shared_buckets(deeper(wide.select("bucket", "id"), classes)))
-        links = links.unionByName(verified(plausible(stars(shared), classes, percent), texts, percent))
-        used += [shared, mixed(shared, links)]
-        small = small.unionByName(used[-1].withColumn("deep", F.lit(True)))
-    links = links.unionByName(crossing(small, classes, texts, percent))
-    drop(*used)
+    links = links.unionByName(crossing(rows, classes, texts, percent))
+    drop(rows)
     return links
 
 
@@ -273,27 +249,42 @@ def mixed(shared: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def crossing(rows: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Verified links (a < b) that connect what is connected in the buckets of rows (bucket, id, component, rows, deep).
+    """Verified links (a < b) that connect what is connected in the buckets of rows (bucket, id, component, rows).
 
-    Rows go to pairs of blocks of at most about BLOCK classes. First the classes of two blocks are compared by their sketches;
-    only those that have a plausible partner of another component come again with their texts, and their block pair then verifies
-    plausible pairs, but for those that links of the same block pair have connected already.
+    First the sketches of a bucket's classes are compared, in pairs of blocks of SKETCH_BLOCK. Only classes that have a plausible
+    partner of another component in a pair of blocks come again, with their texts; these are compared in pairs of smaller blocks,
+    and plausible pairs are verified, but for those that links of the same pair of blocks have connected already.
     """
-    n = F.ceil(F.col("rows") / BLOCK).cast("int")
-    inside = rows.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    inside = inside.join(classes.select("id", F.col("n").alias("size"), "bands", "sketch"), "id")
-    inside = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    names = ["bucket", "p", "q", "own", "deep", "id", "component", "size", "bands", "sketch"]
-    inside = inside.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).select(*names)
-    schema = "bucket long, p int, q int, own int, deep boolean, id long, component long, size long, bands array<long>, sketch binary"
-    some = kept(in_blocks(inside, lambda t: [t.take(np.unique(np.concatenate(list(partners(t, percent)) + [np.zeros(0, np.int64)])))], names, schema))
-    links = kept(in_blocks(some.join(texts, "id").select(*names, "text"), lambda t: [spanning(t, percent)], ["a", "b"], "a long, b long").distinct())
+    inside = rows.withColumn("key", F.col("bucket")).join(classes.select("id", F.col("n").alias("size"), "bands", "sketch"), "id")
+    schema = "key long, p int, q int, own int, bucket long, id long, component long, size long, bands array<long>, sketch binary"
+    names = [x.split()[0] for x in schema.split(", ")]
+    some = kept(in_blocks(paired(inside, SKETCH_BLOCK, names), lambda t: [t.take(with_partner(t, percent))], names, schema))
+    again = some.withColumn("key", F.xxhash64("key", "p", "q"))
+    sizes = again.groupBy("key").agg(F.count("*").alias("rows"))
+    again = paired(again.join(sizes, "key"), TEXT_BLOCK, names).join(texts, "id").select(*names, "text")
+    links = kept(in_blocks(again, lambda t: [spanning(t, percent)], ["a", "b"], "a long, b long").distinct())
     drop(some)
     return links
 
 
+def paired(rows: DataFrame, block: int, names: list[str]) -> DataFrame:
+    """rows (key, rows: of the key) dealt to blocks of at most about ``block`` rows, once for each pair of blocks p <= q."""
+    n = F.ceil(F.col("rows") / block).cast("int")
+    dealt = rows.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return dealt.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).select(*names)
+
+
+def with_partner(t: pa.Table, percent: int) -> np.ndarray:
+    """The rows of one pair of blocks that ``partners`` names."""
+    named = np.zeros(t.num_rows, bool)
+    for rows in partners(t, percent):
+        named[rows] = True
+    return np.flatnonzero(named)
+
+
 def in_blocks(rows: DataFrame, work, names: list[str], schema: str) -> DataFrame:
-    """work(table) for the rows of each bucket and pair of blocks, one after another."""
+    """work(table) for the rows of each key and pair of blocks, one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, key = [], None
@@ -314,13 +305,14 @@ def in_blocks(rows: DataFrame, work, names: list[str], schema: str) -> DataFrame
         if held:
             yield from out()
 
-    return rows.repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q").mapInArrow(run, schema)
+    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, schema)
 
 
 def partners(t: pa.Table, percent: int, component: np.ndarray | None = None) -> Iterator[np.ndarray]:
-    """For each row of the first block: itself and its plausible partners of other components; unless the bucket is a deeper one,
-    those whose first common band it is. component may change between the steps."""
-    bucket, p, q, deep = (t.column(c)[0].as_py() for c in ("bucket", "p", "q", "deep"))
+    """For each row of the first block: itself and its plausible partners of other components whose first common band is this
+    bucket. component may change between the steps."""
+    p, q = (t.column(c)[0].as_py() for c in ("p", "q"))
+    bucket = t.column("bucket").to_numpy()
     own, ids, size = (t.column(c).to_numpy() for c in ("own", "id", "size"))
     comp = t.column("component").to_numpy() if component is None else component
     bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
@@ -334,8 +326,7 @@ def partners(t: pa.Table, percent: int, component: np.ndarray | None = None) ->
         other = other[(sketch[other] == sketch[i]).sum(axis=1) >= least]
         same = bands[other] == bands[i]
         other, same = other[same.any(axis=1)], same[same.any(axis=1)]
-        if not deep and len(other):
-            other = other[bands[i][same.argmax(axis=1)] == bucket]
+        other = other[bands[i][same.argmax(axis=1)] == bucket[i]] if len(other) else other
         if len(other):
             yield np.concatenate(([i], other))
 

@@ -282,7 +282,8 @@ def test_near_random_ids_that_repeat(spark):
 
 def test_near_in_large_mixed_buckets(spark, monkeypatch):
     """Boilerplate that all texts share, in buckets larger than a block."""
-    monkeypatch.setattr(near, "BLOCK", 8)
+    monkeypatch.setattr(near, "SKETCH_BLOCK", 32)
+    monkeypatch.setattr(near, "TEXT_BLOCK", 8)
     rnd = random.Random(21)
     common = [f"c{i}" for i in range(120)]
     rows, some = [], None
