@@ -1,15 +1,19 @@
 """Layers with forward and backward passes on Arrow batches.
 
 A network is trained data-parallel: parameters go to the executors with the task, each task sums the gradients of its rows, and
-the driver adds one vector a task. Scoring maps batches. Images are rows of flat arrays in channel, height, width order."""
+these vectors are added up in few tasks before the driver gets them. Nothing depends on how rows are dealt to tasks: batch
+normalisation uses the moments of all rows (a pass over the data for each of its sums), and dropout draws by step and row. Scoring
+maps batches. Images are rows of flat arrays in channel, height, width order."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Activations and their derivatives, given input and output.
 ACTIVATIONS: dict[str, tuple[Callable, Callable]] = {
@@ -55,6 +59,17 @@ class Module:
                 where = where.children[p]
             getattr(where, kind)[name] = np.asarray(v, float).reshape(np.shape(getattr(where, kind)[name]))
 
+    def modules(self, path: str = "") -> Iterator[tuple[str, Module]]:
+        """All modules with their paths, this one first."""
+        yield path, self
+        for name, child in self.children.items():
+            yield from child.modules(f"{path}.{name}" if path else name)
+
+    def take_gradients(self, grads: dict[str, np.ndarray]) -> None:
+        """Gradients by name, as they come from ``gradient_step``, into the modules."""
+        for path, m in self.modules():
+            m.grads = {k: grads[f"{path}.{k}" if path else k] for k in m.params}
+
     def train(self, on: bool = True) -> Module:
         self.training = on
         for c in self.children.values():
@@ -91,23 +106,31 @@ class Activation(Module):
 
 
 class Softmax(Module):
+    def __init__(self, axis: int = -1):
+        super().__init__(axis=axis)
+        self.axis = axis
+
     def forward(self, x):
-        e = np.exp(x - x.max(-1, keepdims=True))
-        self.y = e / e.sum(-1, keepdims=True)
+        e = np.exp(x - x.max(self.axis, keepdims=True))
+        self.y = e / e.sum(self.axis, keepdims=True)
         return self.y
 
     def backward(self, g):
-        return self.y * (g - (g * self.y).sum(-1, keepdims=True))
+        return self.y * (g - (g * self.y).sum(self.axis, keepdims=True))
 
 
 class LogSoftmax(Module):
+    def __init__(self, axis: int = -1):
+        super().__init__(axis=axis)
+        self.axis = axis
+
     def forward(self, x):
-        x = x - x.max(-1, keepdims=True)
-        self.y = x - np.log(np.exp(x).sum(-1, keepdims=True))
+        x = x - x.max(self.axis, keepdims=True)
+        self.y = x - np.log(np.exp(x).sum(self.axis, keepdims=True))
         return self.y
 
     def backward(self, g):
-        return g - np.exp(self.y) * g.sum(-1, keepdims=True)
+        return g - np.exp(self.y) * g.sum(self.axis, keepdims=True)
 
 
 class Dense(Module):
@@ -190,7 +213,18 @@ class MaxPool2d(Module):
         return out[:, :, p : out.shape[2] - p, p : out.shape[3] - p]
 
 
+class Needs(Exception):
+    """Raised inside a task where a layer cannot go on before sums over all rows are known: their name and this batch's part."""
+
+    def __init__(self, layer: Module, name: str, sums: np.ndarray):
+        super().__init__(name)
+        self.layer, self.name, self.sums = layer, name, sums
+
+
 class _BatchNorm(Module):
+    """Normalises by the moments of the batch. In distributed training the batch is the whole table: ``known`` then holds its mean
+    and variance and the backward pass's means, and what it does not hold yet is asked for (``Needs``)."""
+
     axes: tuple[int, ...] = (0,)
 
     def __init__(self, num_features: int, eps: float = 1e-5, momentum: float = 0.1):
@@ -198,15 +232,29 @@ class _BatchNorm(Module):
         self.eps, self.momentum = eps, momentum
         self.params = {"gamma": np.ones(num_features), "beta": np.zeros(num_features)}
         self.state = {"mean": np.zeros(num_features), "var": np.ones(num_features)}
+        self.known: dict[str, np.ndarray] | None = None
 
     def _wide(self, v):
         return v.reshape([-1 if k == 1 else 1 for k in range(len(self.axes) + 1)])
 
+    def _mean(self, name: str, *values: np.ndarray) -> np.ndarray:
+        """Means of each of the values over the batch, in one vector."""
+        if self.known is None:
+            return np.concatenate([v.mean(self.axes) for v in values])
+        if name not in self.known:
+            raise Needs(self, name, np.append(np.concatenate([v.sum(self.axes) for v in values]), values[0].size / len(self.state["mean"])))
+        return self.known[name]
+
+    def update(self, mean: np.ndarray, var: np.ndarray) -> None:
+        for k, v in (("mean", mean), ("var", var)):
+            self.state[k] = (1 - self.momentum) * self.state[k] + self.momentum * v
+
     def forward(self, x):
         if self.training:
-            mean, var = x.mean(self.axes), x.var(self.axes)
-            for k, v in (("mean", mean), ("var", var)):
-                self.state[k] = (1 - self.momentum) * self.state[k] + self.momentum * v
+            mean = self._mean("mean", x)
+            var = self._mean("var", (x - self._wide(mean)) ** 2)
+            if self.known is None:
+                self.update(mean, var)
         else:
             mean, var = self.state["mean"], self.state["var"]
         self.inv = self._wide(1 / np.sqrt(var + self.eps))
@@ -218,7 +266,8 @@ class _BatchNorm(Module):
         g = g * self._wide(self.params["gamma"])
         if not self.training:
             return g * self.inv
-        return self.inv * (g - g.mean(self.axes, keepdims=True) - self.z * (g * self.z).mean(self.axes, keepdims=True))
+        one, two = np.split(self._mean("back", g, g * self.z), 2)
+        return self.inv * (g - self._wide(one) - self.z * self._wide(two))
 
 
 class BatchNorm1d(_BatchNorm):
@@ -230,16 +279,27 @@ class BatchNorm2d(_BatchNorm):
 
 
 class Dropout(Module):
-    """Scaled when training, nothing otherwise."""
+    """Scaled when training, nothing otherwise. With ``keys``, a number for each row, a row's mask follows from its number alone."""
 
     def __init__(self, p: float = 0.5, seed: int = 0):
         super().__init__(p=p, seed=seed)
         if not 0 <= p < 1:
             raise ValueError("p must lie in [0, 1)")
-        self.p, self.rng, self.mask = p, np.random.default_rng(seed), None
+        self.p, self.seed, self.rng, self.mask = p, seed, np.random.default_rng(seed), None
+        self.keys: np.ndarray | None = None
+
+    def _uniform(self, shape) -> np.ndarray:
+        if self.keys is None:
+            return self.rng.random(shape)
+        size = int(np.prod(shape[1:], dtype=np.int64))
+        # The outputs of a splitmix64 generator that starts at the row's number.
+        x = self.keys.astype(np.uint64)[:, None] + np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(float).reshape(shape) / (1 << 53)
 
     def forward(self, x):
-        self.mask = (self.rng.random(x.shape) >= self.p) / (1 - self.p) if self.training and self.p else None
+        self.mask = (self._uniform(x.shape) >= self.p) / (1 - self.p) if self.training and self.p else None
         return x if self.mask is None else x * self.mask
 
     def backward(self, g):
@@ -501,54 +561,118 @@ def logits_cross_entropy(z: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarra
     return float((np.maximum(z, 0) - z * y + np.log1p(np.exp(-np.abs(z)))).sum()), _sig(z) - y
 
 
-def gradient_step(model: Module, df: DataFrame, features: str, label: str, loss: Callable) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss over all rows and the mean gradient of each parameter. Each task returns one row: its sums."""
-    names = list(model.named())
+def _set_keys(model: Module, rows: np.ndarray, step: int) -> None:
+    """Numbers of the rows for the dropout layers: by row, step, layer and seed."""
+    for k, (_, m) in enumerate(model.modules()):
+        if isinstance(m, Dropout):
+            salt = (k + 1) * 0xD6E8FEB86659FD93 + step * 0xC2B2AE3D27D4EB4F + m.seed * 0xA0761D6478BD642F
+            m.keys = rows.astype(np.int64).view(np.uint64) ^ np.uint64(salt & 0xFFFFFFFFFFFFFFFF)
+
+
+def _row_number(df: DataFrame, key: str | None, *columns: str) -> Column:
+    """A hash of the row's key, or of the columns where it has none."""
+    return F.xxhash64(key) if key else F.xxhash64(*columns)
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, n, grads = 0.0, 0, None
+def _added(parts: DataFrame) -> dict[str, np.ndarray]:
+    """Sums of the vectors (name, v) by name: first in few tasks, then on the driver."""
+
+    def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
         for b in batches:
-            if len(b):
-                value, g = loss(model.forward(np.stack(b[features].to_numpy()).astype(float)), b[label].to_numpy(float))
-                model.backward(g)
-                own = model.named("grads")
-                flat = np.concatenate([np.ravel(own[k]) for k in names])
-                total, n, grads = total + value, n + len(b), flat if grads is None else grads + flat
-        if n:
-            yield pd.DataFrame({"loss": [total], "n": [n], "grads": [grads]})
-
-    rows = df.select(features, label).mapInPandas(run, "loss double, n long, grads array<double>").collect()
-    n = max(sum(r["n"] for r in rows), 1)
-    flat = sum((np.array(r["grads"]) for r in rows), np.zeros(model.count_parameters())) / n
-    out, at = {}, 0
+            for name, v in zip(b["name"], b["v"], strict=True):
+                sums[name] = sums[name] + v if name in sums else np.array(v, float)
+        if sums:
+            yield pd.DataFrame({"name": list(sums), "v": list(sums.values())})
+
+    few = max(1, math.isqrt(parts.sparkSession.sparkContext.defaultParallelism))
+    out: dict[str, np.ndarray] = {}
+    for r in parts.repartition(few).mapInPandas(total, "name string, v array<double>").collect():
+        v = np.array(r["v"])
+        out[r["name"]] = out[r["name"]] + v if r["name"] in out else v
+    return out
+
+
+def gradient_step(model: Module, df: DataFrame, features: str, label: str, loss: Callable, step: int = 0, key: str | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss over all rows and the mean gradient of each parameter; the modules hold the gradients, too.
+
+    The result does not depend on partitions. Each batch normalisation asks for three sums over all rows (mean, variance, and what
+    its backward pass needs), each of which is a pass over the data; its running statistics move once a step. A row's dropout
+    follows from ``step`` and its key (without one: its features and label).
+    """
+    names = list(model.named())
+    norms = {path: m for path, m in model.modules() if isinstance(m, _BatchNorm)}
+    model.train()
+    rows = df.select(features, label, _row_number(df, key, features, label).alias("_row"))
+    for m in norms.values():
+        m.known = {}
+    while True:
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums: dict[str, np.ndarray] = {}
+            paths = {id(m): path for path, m in model.modules()}
+            for b in batches:
+                if not len(b):
+                    continue
+                x, y = np.stack(b[features].to_numpy()).astype(float), b[label].to_numpy()
+                _set_keys(model, b["_row"].to_numpy(), step)
+                try:
+                    value, g = loss(model.forward(x), np.stack(y).astype(float) if y.dtype == object else y.astype(float))
+                    model.backward(g)
+                    own = model.named("grads")
+                    name, v = "", np.concatenate([[value, len(b)], *[np.ravel(own[k]) for k in names]])
+                except Needs as e:
+                    name, v = f"{e.name} {paths[id(e.layer)]}", e.sums
+                sums[name] = sums[name] + v if name in sums else v
+            yield pd.DataFrame({"name": list(sums), "v": list(sums.values())})
+
+        got = _added(rows.mapInPandas(run, "name string, v array<double>"))
+        asked = [name for name in got if name]
+        if not asked:
+            break
+        for name in asked:
+            what, _, path = name.partition(" ")
+            norms[path].known[what] = got[name][:-1] / got[name][-1]
+    for m in norms.values():
+        if m.known:
+            m.update(m.known["mean"], m.known["var"])
+        m.known = None
+    total = got.get("", np.zeros(2 + model.count_parameters()))
+    n = max(total[1], 1)
+    out, at = {}, 2
     for k in names:
         v = model.named()[k]
-        out[k] = flat[at : at + v.size].reshape(v.shape)
+        out[k] = (total[at : at + v.size] / n).reshape(v.shape)
         at += v.size
-    return sum(r["loss"] for r in rows) / n, out
+    model.take_gradients(out)
+    return float(total[0] / n), out
 
 
-def fit(model: Module, df: DataFrame, features: str, label: str, loss: Callable, optimizer, steps: int) -> list[float]:
-    """Full-batch training: the optimizer's params are the model's by name. Returns the losses."""
+def fit(model: Module, df: DataFrame, features: str, label: str, loss: Callable, optimizer, steps: int, batches: Callable[[int], DataFrame] | None = None, key: str | None = None) -> list[float]:
+    """Training: the optimizer's params are the model's by name. Returns the losses.
+
+    Each step is over the whole table, or with ``batches``, over the rows that it gives for the step's number: a mini-batch, such
+    as one batch_id of ``batches`` in operators.resample.
+    """
     losses = []
-    for _ in range(steps):
-        value, grads = gradient_step(model, df, features, label, loss)
+    for t in range(steps):
+        value, grads = gradient_step(model, df if batches is None else batches(t), features, label, loss, t, key)
         optimizer.step(grads)
         model.load(optimizer.params)
         losses.append(value)
     return losses
 
 
-def predict(model: Module, df: DataFrame, features: str, output: str = "output") -> DataFrame:
-    """df with an array of the model's outputs, in evaluation mode."""
-    from pyspark.sql.functions import pandas_udf
-
-    model.eval()
+def predict(model: Module, df: DataFrame, features: str, output: str = "output", training: bool = False, key: str | None = None, step: int = 0) -> DataFrame:
+    """df with an array of the model's outputs, in evaluation mode; or in training mode, where dropout follows from ``step`` and
+    the row's key (without one: its features)."""
+    model.train(training)
 
-    @pandas_udf("array<double>")
-    def score(x: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<double>")
+    def score(x: pd.Series, row: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=object)
+        _set_keys(model, row.to_numpy(), step)
         return pd.Series(list(model.forward(np.stack(x.to_numpy()).astype(float)).reshape(len(x), -1)))
 
-    return df.withColumn(output, score(features))
+    return df.withColumn(output, score(F.col(features), _row_number(df, key, features)))

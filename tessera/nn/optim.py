@@ -144,18 +144,23 @@ def clip_grad_value(grads: dict[str, np.ndarray], value: float) -> None:
 
 
 class LRScheduler:
-    """step() moves to the next epoch and sets the optimizer's rate. The constructor takes the first step, to epoch 0."""
+    """step() moves to the next epoch and sets each group's rate, from its own base rate (``base``) and its rate so far (``lr``).
+    The constructor takes the first step, to epoch 0."""
 
     def __init__(self, optimizer: Optimizer, last_epoch: int = -1):
-        self.optimizer, self.base, self.epoch = optimizer, optimizer.lr, last_epoch
+        self.optimizer, self.base, self.epoch = optimizer, [g["lr"] for g in optimizer.groups], last_epoch
         self.step()
 
-    def rate(self) -> float:
+    def rate(self, base: float, lr: float) -> float:
         raise NotImplementedError
 
+    def rates(self) -> list[float]:
+        return [self.rate(b, g["lr"]) for b, g in zip(self.base, self.optimizer.groups, strict=True)]
+
     def step(self) -> None:
         self.epoch += 1
-        self.optimizer.lr = self.rate()
+        for g, rate in zip(self.optimizer.groups, self.rates(), strict=True):
+            g["lr"] = rate
 
 
 class StepLR(LRScheduler):
@@ -163,8 +168,8 @@ class StepLR(LRScheduler):
         self.size, self.gamma = step_size, gamma
         super().__init__(optimizer)
 
-    def rate(self):
-        return self.optimizer.lr * (self.gamma if self.epoch > 0 and self.epoch % self.size == 0 else 1)
+    def rate(self, base, lr):
+        return lr * (self.gamma if self.epoch > 0 and self.epoch % self.size == 0 else 1)
 
 
 class MultiStepLR(LRScheduler):
@@ -172,8 +177,8 @@ class MultiStepLR(LRScheduler):
         self.milestones, self.gamma = set(milestones), gamma
         super().__init__(optimizer)
 
-    def rate(self):
-        return self.optimizer.lr * (self.gamma if self.epoch in self.milestones else 1)
+    def rate(self, base, lr):
+        return lr * (self.gamma if self.epoch in self.milestones else 1)
 
 
 class ExponentialLR(LRScheduler):
@@ -181,8 +186,8 @@ class ExponentialLR(LRScheduler):
         self.gamma = gamma
         super().__init__(optimizer)
 
-    def rate(self):
-        return self.optimizer.lr * (self.gamma if self.epoch > 0 else 1)
+    def rate(self, base, lr):
+        return lr * (self.gamma if self.epoch > 0 else 1)
 
 
 class CosineAnnealingLR(LRScheduler):
@@ -190,8 +195,8 @@ class CosineAnnealingLR(LRScheduler):
         self.T, self.low = T_max, eta_min
         super().__init__(optimizer)
 
-    def rate(self):
-        return self.low + (self.base - self.low) * (1 + math.cos(math.pi * self.epoch / self.T)) / 2
+    def rate(self, base, lr):
+        return self.low + (base - self.low) * (1 + math.cos(math.pi * self.epoch / self.T)) / 2
 
 
 class CosineAnnealingWarmRestarts(LRScheduler):
@@ -207,8 +212,8 @@ class CosineAnnealingWarmRestarts(LRScheduler):
             self.place, self.T = self.place - self.T, self.T * self.mult
         super().step()
 
-    def rate(self):
-        return self.low + (self.base - self.low) * (1 + math.cos(math.pi * self.place / self.T)) / 2
+    def rate(self, base, lr):
+        return self.low + (base - self.low) * (1 + math.cos(math.pi * self.place / self.T)) / 2
 
 
 class LinearLR(LRScheduler):
@@ -216,25 +221,26 @@ class LinearLR(LRScheduler):
         self.a, self.b, self.n = start_factor, end_factor, total_iters
         super().__init__(optimizer)
 
-    def rate(self):
-        return self.base * (self.a + (self.b - self.a) * min(self.epoch, self.n) / self.n)
+    def rate(self, base, lr):
+        return base * (self.a + (self.b - self.a) * min(self.epoch, self.n) / self.n)
 
 
 class WarmupScheduler(LRScheduler):
-    """Up to the base rate in warmup_epochs; then what after_scheduler says, which is stepped with each epoch, too."""
+    """Up to the base rates in warmup_epochs; then what after_scheduler says, which is stepped with each epoch, too."""
 
     def __init__(self, optimizer, warmup_epochs: int, after_scheduler: LRScheduler | None = None):
         self.n, self.after = warmup_epochs, after_scheduler
         super().__init__(optimizer)
 
-    def rate(self):
-        if self.epoch < self.n:
-            return self.base * (self.epoch + 1) / self.n
-        if self.after is None:
-            return self.base
-        rate = self.after.rate()
+    def rate(self, base, lr):
+        return base * min(self.epoch + 1, self.n) / self.n if self.n else base
+
+    def rates(self):
+        if self.epoch < self.n or self.after is None:
+            return super().rates()
+        rates = self.after.rates()
         self.after.step()
-        return rate
+        return rates
 
 
 class ReduceLROnPlateau:
@@ -249,4 +255,6 @@ class ReduceLROnPlateau:
             return
         self.bad += 1
         if self.bad > self.patience:
-            self.optimizer.lr, self.bad = max(self.optimizer.lr * self.factor, self.min_lr), 0
+            self.bad = 0
+            for g in self.optimizer.groups:
+                g["lr"] = max(g["lr"] * self.factor, self.min_lr)

@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.cut import cut
+from .components import components
+from .linear import summed
 from .neighbors import distance
 
 
+def squares(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Squared distances of rows and points."""
+    return np.stack([((x - m) ** 2).sum(axis=1) for m in points], axis=1)
+
+
 @dataclass
 class KMeans:
     """Lloyd steps from k-means++ (or random, or given) centroids; the best of n_init starts. labels are those of the last
@@ -25,14 +34,21 @@ class KMeans:
     n_init: int = 10
     random_state: int = 0
 
-    def _squares(self, centroids: list[list[float]]) -> list[Column]:
-        return [sum(((F.col(c).cast("double") - float(m)) * (F.col(c).cast("double") - float(m)) for c, m in zip(self.cols, point, strict=True)), F.lit(0.0)) for point in centroids]
+    def _nearest(self, centroids: list[list[float]]) -> Column:
+        """label (the first of the nearest) and squared distance d of each row, batch by batch."""
+        points = np.array(centroids, float)
+
+        @F.pandas_udf("label int, d double")
+        def nearest(x: pd.Series) -> pd.DataFrame:
+            d = squares(np.stack(x.to_numpy()).astype(float), points) if len(x) else np.zeros((0, len(points)))
+            return pd.DataFrame({"label": d.argmin(axis=1), "d": d.min(axis=1)})
+
+        return nearest(F.array(*[F.col(c).cast("double") for c in self.cols]))
 
     def assign(self, df: DataFrame, centroids: list[list[float]] | None = None) -> DataFrame:
         """df with label (the first of the nearest) and its squared distance."""
-        d = self._squares(self.cluster_centers_ if centroids is None else centroids)
-        best = F.array_min(F.array(*[F.struct(x.alias("d"), F.lit(i).alias("i")) for i, x in enumerate(d)]))
-        return df.withColumn("_b", best).withColumn("label", F.col("_b.i")).withColumn("squared_distance", F.col("_b.d")).drop("_b")
+        best = self._nearest(self.cluster_centers_ if centroids is None else centroids)
+        return df.withColumn("_b", best).withColumn("label", F.col("_b.label")).withColumn("squared_distance", F.col("_b.d")).drop("_b")
 
     def _start(self, df: DataFrame, seed: int) -> list[list[float]]:
         if not isinstance(self.init, str):
@@ -44,23 +60,36 @@ class KMeans:
         found = [list(df.agg(F.min_by(point, u).alias("p")).first()["p"])]
         while len(found) < self.n_clusters:
             # The least of -ln(u) / weight is a draw in proportion to the weights, here squared distances.
-            d = F.least(*self._squares(found)) if len(found) > 1 else self._squares(found)[0]
+            d = F.col("_d")
             v = (F.pmod(F.xxhash64(F.lit(seed), F.lit(len(found)), self.id_col), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
-            got = df.agg(F.min_by(point, F.when(d > 0, F.try_divide(-F.ln(v), d))).alias("p")).first()["p"]
+            got = df.withColumn("_d", self._nearest(found)["d"]).agg(F.min_by(point, F.when(d > 0, F.try_divide(-F.ln(v), d))).alias("p")).first()["p"]
             if got is None:
                 break
             found.append(list(got))
         return found
 
     def step(self, df: DataFrame, centroids: list[list[float]]) -> tuple[list[list[float]], float]:
-        """One assignment and move, and the assignment's inertia. An empty cluster takes the row farthest from its centroid."""
-        a = self.assign(df, centroids)
-        rows = a.groupBy("label").agg(F.sum("squared_distance").alias("i"), *[F.avg(F.col(c).cast("double")).alias(c) for c in self.cols]).collect()  # one row a cluster
-        new = {r["label"]: [r[c] for c in self.cols] for r in rows}
-        if len(new) < len(centroids):
+        """One assignment and move, and the assignment's inertia: one pass, from which each task returns a cluster's rows and sums.
+        An empty cluster takes the row farthest from its centroid."""
+        k, p, points = len(centroids), len(self.cols), np.array(centroids, float)
+
+        def work(x: np.ndarray) -> np.ndarray:
+            d = squares(x, points)
+            label = d.argmin(axis=1)
+            sums = np.zeros((k, p + 1))
+            for i in range(k):
+                mine = label == i
+                sums[i, 0], sums[i, 1:] = mine.sum(), x[mine].sum(axis=0)
+            return np.append(sums.ravel(), d.min(axis=1).sum() if len(d) else 0.0)
+
+        got = summed(df, [F.col(c) for c in self.cols], work)
+        sums = got[:-1].reshape(k, p + 1)
+        new = [(s[1:] / s[0]).tolist() if s[0] else None for s in sums]
+        if None in new:
+            a = self.assign(df, centroids)
             far = list(a.agg(F.max_by(F.struct(*[F.col(c).cast("double") for c in self.cols]), F.struct("squared_distance", self.id_col)).alias("p")).first()["p"])
-            new |= {k: far for k in range(len(centroids)) if k not in new}
-        return [new[k] for k in range(len(centroids))], sum(r["i"] for r in rows)
+            new = [far if v is None else v for v in new]
+        return new, float(got[-1])
 
     def fit(self, df: DataFrame):
         best = None
@@ -85,7 +114,8 @@ class KMeans:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """d0, d1, ..: distances to the centroids."""
-        return df.select("*", *[F.sqrt(d).alias(f"d{i}") for i, d in enumerate(self._squares(self.cluster_centers_))])
+        far = lambda m: F.sqrt(sum(((F.col(c).cast("double") - float(v)) * (F.col(c).cast("double") - float(v)) for c, v in zip(self.cols, m, strict=True)), F.lit(0.0)))
+        return df.select("*", *[far(m).alias(f"d{i}") for i, m in enumerate(self.cluster_centers_)])
 
     def score(self, df: DataFrame) -> float:
         return -self.assign(df).agg(F.sum("squared_distance")).first()[0]
@@ -117,22 +147,16 @@ class DBSCAN:
     def fit_predict(self, df: DataFrame) -> DataFrame:
         """df with label and is_core."""
         near = cut(self.neighbors(df))
-        core = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= self.min_samples).select("a")
-        inner = near.join(core, "a").join(core.select(F.col("a").alias("b")), "b").select("a", "b")
-        labels = cut(core.select("a", F.col("a").alias("l")))
-        while True:
-            # Least label of the neighbours, then that label's own label: chains shorten by half and more.
-            low = inner.join(labels.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("l"))
-            jump = low.alias("x").join(low.select(F.col("a").alias("k"), F.col("l").alias("m")), F.col("x.l") == F.col("k")).select("x.a", F.least("l", "m").alias("l"))
-            new = cut(jump)
-            changed = new.join(labels.withColumnRenamed("l", "old"), "a").where("l <> old").limit(1).count()
-            labels = new
-            if not changed:
-                break
+        core = cut(near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= self.min_samples).select("a"))
+        # A link of two core rows is needed in one direction only.
+        inner = near.where("a < b").join(core, "a").join(core.select(F.col("a").alias("b")), "b").select("a", "b")
+        found = components(inner)
+        labels = core.join(found, core["a"] == found["id"], "left").select("a", F.coalesce("component", "a").alias("l"))
+        labels = cut(labels)
         roots = labels.select("l").distinct()
         from .ordered import running
 
-        named = running(roots, F.col("l"), [F.col("l")], {"label": F.lit(1)}).select(F.col("l"), (F.col("label") - 1).cast("int").alias("label"))
+        named = running(roots, [F.col("l")], {"label": F.lit(1)}).select(F.col("l"), (F.col("label") - 1).cast("int").alias("label"))
         cores = labels.join(named, "l").select("a", "label")
         border = near.join(cores.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("low"))
         out = df.join(cores, df[self.id_col] == cores["a"], "left").select(*[df[c] for c in df.columns], F.col("label").alias("_core"))

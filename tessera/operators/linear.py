@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,17 +18,43 @@ def moments(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray]:
     return row["n"], np.array([row[f"m{i}"] or 0.0 for i in range(len(cols))])
 
 
+def summed(df: DataFrame, cols: list[Column], work: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of work(x) over all batches x of the columns (rows by columns, doubles; rows with a null are left out).
+
+    Each task adds up one vector, whatever its rows; vectors are then added up in about the square root of so many tasks, so
+    that the driver gets few of them. An empty table gives work(no rows).
+    """
+    names = [f"c{i}" for i in range(len(cols))]
+    rows = df.select(*[c.cast("double").alias(n) for c, n in zip(cols, names, strict=True)]).dropna()
+
+    def batches(vectors: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for v in vectors:
+            total = v if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["v"])
+
+    def each(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(work(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)) for b in source if b.num_rows)
+
+    def added(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(v for b in source for v in b.column(0).flatten().to_numpy().reshape(b.num_rows, -1))
+
+    parts = rows.mapInArrow(each, "v array<double>")
+    few = math.ceil(math.sqrt(max(1, df.sparkSession.sparkContext.defaultParallelism)))
+    got = parts.repartition(few).mapInArrow(added, "v array<double>").toArrow().column("v").to_pylist()
+    return np.sum(np.array(got), axis=0) if got else work(np.zeros((0, len(cols))))
+
+
 def gram(df: DataFrame, cols: list[str], center: np.ndarray | None = None, weight: Column | None = None) -> np.ndarray:
-    """Sums of products of all pairs of columns, less their centres: one aggregate, partial sums on the map side."""
-    center = np.zeros(len(cols)) if center is None else center
-    x = [F.col(c).cast("double") - float(m) for c, m in zip(cols, center, strict=True)]
-    w = F.lit(1.0) if weight is None else weight
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    row = df.agg(*[F.sum(w * x[i] * x[j]).alias(f"s{i}_{j}") for i, j in pairs]).first()
-    out = np.zeros((len(cols), len(cols)))
-    for i, j in pairs:
-        out[i, j] = out[j, i] = row[f"s{i}_{j}"] or 0.0
-    return out
+    """Sums of products of all pairs of columns, less their centres: a matrix product for each batch."""
+    center = np.zeros(len(cols)) if center is None else np.asarray(center, float)
+
+    def work(x: np.ndarray) -> np.ndarray:
+        y = x[:, :-1] - center
+        return ((y * x[:, -1:]).T @ y).ravel()
+
+    return summed(df, [*map(F.col, cols), F.lit(1.0) if weight is None else weight], work).reshape(len(cols), len(cols))
 
 
 def dot(cols: list[str], weights, bias: float = 0.0) -> Column:
@@ -163,34 +192,34 @@ class LogisticRegression:
 
     def _sums(self, df: DataFrame, n: int, newton: bool):
         """Gradient and, for each class, curvature (for several classes an upper bound of it: the block diagonal, doubled)."""
-        x = [F.col(c).cast("double") for c in self.cols] + [F.lit(1.0)]
-        probs = self._probs(training=True)
-        names = [self.classes_[1]] if len(self.classes_) == 2 else self.classes_
-        aggs = []
-        for c, (prob, name) in enumerate(zip(probs, names, strict=True)):
-            e = prob - F.when(F.col(self.label) == F.lit(name), 1.0).otherwise(0.0)
-            aggs += [F.sum(e * x[i]).alias(f"g{c}_{i}") for i in range(len(x))]
+        k, p, coef = len(self.classes_), len(self.cols) + 1, self.coef_
+        rows, ovr = len(coef), self.multi_class == "ovr"
+
+        def work(v: np.ndarray) -> np.ndarray:
+            x = np.column_stack([v[:, :-1], np.ones(len(v))])
+            z = x @ coef.T
+            if rows == 1 or ovr:
+                prob = np.where(z >= 0, 1 / (1 + np.exp(-np.abs(z))), 1 - 1 / (1 + np.exp(-np.abs(z))))
+            else:
+                e = np.exp(z - z.max(axis=1, keepdims=True)) if len(z) else z
+                prob = e / e.sum(axis=1, keepdims=True)
+            mine = v[:, -1:] == (np.array([1.0]) if rows == 1 else np.arange(k))
+            out = [((prob - mine).T @ x).ravel()]
             if newton:
-                v = prob * (1 - prob)
-                aggs += [F.sum(v * x[i] * x[j]).alias(f"h{c}_{i}_{j}") for i in range(len(x)) for j in range(i, len(x))]
-        row = df.agg(*aggs).first()
-        grad = np.array([[row[f"g{c}_{i}"] for i in range(len(x))] for c in range(len(names))]) / n
-        hess = np.zeros((len(names), len(x), len(x)))
-        if newton:
-            for c in range(len(names)):
-                for i in range(len(x)):
-                    for j in range(i, len(x)):
-                        hess[c, i, j] = hess[c, j, i] = row[f"h{c}_{i}_{j}"] / n * (1 if len(names) == 1 or self.multi_class == "ovr" else 2)
-        return grad, hess
-
-    def _probs(self, training: bool = False) -> list[Column]:
+                out += [((x * (prob[:, c] * (1 - prob[:, c]))[:, None]).T @ x).ravel() for c in range(rows)]
+            return np.concatenate(out)
+
+        number = F.array_position(F.array(*map(F.lit, self.classes_)), F.col(self.label)) - 1
+        got = summed(df, [*map(F.col, self.cols), number], work) / n
+        hess = got[rows * p :].reshape(rows, p, p) * (1 if rows == 1 or ovr else 2) if newton else np.zeros((rows, p, p))
+        return got[: rows * p].reshape(rows, p), hess
+
+    def _probs(self) -> list[Column]:
         from ..functions.elementwise import sigmoid
 
         z = [dot(self.cols, w[:-1], w[-1]) for w in self.coef_]
         if len(z) == 1:
-            return [sigmoid(z[0])] if training else [1 - sigmoid(z[0]), sigmoid(z[0])]
-        if training and self.multi_class == "ovr":
-            return [sigmoid(v) for v in z]
+            return [1 - sigmoid(z[0]), sigmoid(z[0])]
         top = F.greatest(*z)
         e = [F.exp(v - top) for v in z]
         total = sum(e[1:], e[0])

@@ -150,7 +150,7 @@ def classification_report(df: DataFrame, y: str, p: str, target_names: list[str]
 def roc_curve(df: DataFrame, y: str, score: str, id_col: str) -> DataFrame:
     """rank, fpr, tpr, threshold: one point a row by falling score (ties by id), after (0, 0) at the greatest score plus 1."""
     pos = F.col(y).cast("double")
-    run = running(df.select(F.col(y), F.col(score), F.col(id_col)), -F.col(score), [F.col(score).desc(), F.col(id_col)], {"tp": pos, "rank": F.lit(1)})
+    run = running(df.select(F.col(y), F.col(score), F.col(id_col)), [F.col(score).desc(), F.col(id_col)], {"tp": pos, "rank": F.lit(1)})
     total = df.agg(F.sum(pos).alias("p"), F.count("*").alias("n"), F.max(score).alias("top"))
     total = total.withColumn("p", F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), F.col("p")).otherwise(F.raise_error(F.lit("roc_curve needs both classes")).cast("double")))
     points = run.crossJoin(F.broadcast(total)).select(F.col("rank").cast("long"), ((F.col("rank") - F.col("tp")) / (F.col("n") - F.col("p"))).alias("fpr"), (F.col("tp") / F.col("p")).alias("tpr"), F.col(score).cast("double").alias("threshold"))
@@ -161,14 +161,14 @@ def roc_curve(df: DataFrame, y: str, score: str, id_col: str) -> DataFrame:
 def roc_auc_score(df: DataFrame, y: str, score: str, id_col: str) -> DataFrame:
     """The trapezoids under the curve. A step is either up or right, so their sum is that of the heights where it goes right."""
     pos = F.col(y).cast("double")
-    run = running(df.select(F.col(y), F.col(score), F.col(id_col)), -F.col(score), [F.col(score).desc(), F.col(id_col)], {"tp": pos})
+    run = running(df.select(F.col(y), F.col(score), F.col(id_col)), [F.col(score).desc(), F.col(id_col)], {"tp": pos})
     return run.agg((F.sum((1 - pos) * F.col("tp")) / (F.sum(pos) * F.sum(1 - pos))).alias("auc"))
 
 
 def average_precision_score(df: DataFrame, y: str, score: str, id_col: str) -> DataFrame:
     """Trapezoids of precision over recall, beginning at (0, 1): a step counts where recall grows, which is at positives."""
     pos = F.col(y).cast("double")
-    run = running(df.select(F.col(y), F.col(score), F.col(id_col)), -F.col(score), [F.col(score).desc(), F.col(id_col)], {"tp": pos, "rank": F.lit(1)})
+    run = running(df.select(F.col(y), F.col(score), F.col(id_col)), [F.col(score).desc(), F.col(id_col)], {"tp": pos, "rank": F.lit(1)})
     before = F.when(F.col("rank") > 1, F.try_divide(F.col("tp") - pos, F.col("rank") - 1)).otherwise(1.0)
     step = pos * (F.col("tp") / F.col("rank") + before) / 2
     return run.agg((F.sum(step) / F.sum(pos)).alias("average_precision"))

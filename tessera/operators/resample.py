@@ -4,44 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import position, shuffle_key
+from .ordered import position
 
 
 def train_test_split(df: DataFrame, id_col: str, test_size: float = 0.2, shuffle: bool = True, random_state: int = 0, stratify: str | None = None) -> DataFrame:
     """df with is_test: the first max(1, floor(n * test_size)) rows of the order (of each class, if stratified) are the test."""
-    seed = random_state if shuffle else None
-    if stratify is None:
-        placed = position(df, id_col, seed)
-        n = F.lit(df.count())
-        return placed.withColumn("is_test", F.col("_pos") < F.greatest(F.lit(1), F.floor(n * test_size))).drop("_pos")
-    w = Window.partitionBy(stratify)
-    order = shuffle_key(seed, F.col(id_col)) if shuffle else F.col(id_col)
-    nth, n = F.row_number().over(w.orderBy(order)), F.count("*").over(w)
-    return df.withColumn("is_test", nth <= F.greatest(F.lit(1), F.floor(n * test_size)))
+    placed = position(df, id_col, random_state if shuffle else None, within=stratify)
+    return placed.withColumn("is_test", F.col("_pos") < F.greatest(F.lit(1), F.floor(F.col("_n") * test_size))).drop("_pos", "_n")
+
+
+def _folds(placed: DataFrame, n_splits: int) -> DataFrame:
+    """Contiguous folds of the positions; the first n % n_splits hold one row more."""
+    small, more = F.floor(F.col("_n") / n_splits), F.pmod("_n", F.lit(n_splits))
+    edge = more * (small + 1)
+    later = more + F.floor((F.col("_pos") - edge) / F.greatest(small, F.lit(1)))
+    return placed.withColumn("fold", F.when(F.col("_pos") < edge, F.floor(F.col("_pos") / (small + 1))).otherwise(later).cast("int")).drop("_pos", "_n")
 
 
 def kfold(df: DataFrame, id_col: str, n_splits: int = 5, shuffle: bool = False, random_state: int = 0) -> DataFrame:
     """df with fold (0..n_splits-1): contiguous in the order, the first n % n_splits folds hold one row more."""
-    n = df.count()
-    placed = position(df, id_col, random_state if shuffle else None)
-    small, more = divmod(n, n_splits)
-    edge = more * (small + 1)
-    fold = F.when(F.col("_pos") < edge, F.floor(F.col("_pos") / (small + 1))).otherwise(more + F.floor((F.col("_pos") - edge) / max(small, 1)))
-    return placed.withColumn("fold", fold.cast("int")).drop("_pos")
+    return _folds(position(df, id_col, random_state if shuffle else None), n_splits)
 
 
 def stratified_kfold(df: DataFrame, id_col: str, label_col: str, n_splits: int = 5, shuffle: bool = False, random_state: int = 0) -> DataFrame:
-    """The same within each class."""
-    order = shuffle_key(random_state, F.col(id_col)) if shuffle else F.col(id_col)
-    w = Window.partitionBy(label_col).orderBy(order)
-    return df.withColumn("fold", (F.ntile(n_splits).over(w) - 1).cast("int"))
+    """The same within each class. A class may hold any share of the rows: its parts are counted and numbered apart."""
+    return _folds(position(df, id_col, random_state if shuffle else None, within=label_col), n_splits)
 
 
 def leave_one_out(df: DataFrame, id_col: str) -> DataFrame:
-    return position(df, id_col, name="fold")
+    return position(df, id_col, name="fold").drop("_n")
 
 
 def batches(df: DataFrame, id_col: str, batch_size: int = 32, shuffle: bool = False, drop_last: bool = False, random_state: int = 0) -> DataFrame:
@@ -49,8 +43,8 @@ def batches(df: DataFrame, id_col: str, batch_size: int = 32, shuffle: bool = Fa
     placed = position(df, id_col, random_state if shuffle else None)
     out = placed.withColumn("batch_id", F.floor(F.col("_pos") / batch_size)).withColumn("place", F.pmod("_pos", F.lit(batch_size)))
     if drop_last:
-        out = out.where(F.col("batch_id") < df.count() // batch_size)
-    return out.drop("_pos")
+        out = out.where(F.col("batch_id") < F.floor(F.col("_n") / batch_size))
+    return out.drop("_pos", "_n")
 
 
 def collate(batched: DataFrame, columns: list[str]) -> DataFrame:

@@ -1,11 +1,12 @@
 """Kernel machines. Training solves the dual on one machine, so the rows must not be more than ``max_rows`` (an error, never a
-sample); scoring is an expression over the support vectors."""
+sample); scoring is a kernel product with the support vectors, batch by batch."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +40,19 @@ class _Kernel:
         return {"linear": lambda: s, "poly": lambda: (self.gamma_ * s + self.coef0) ** self.degree, "sigmoid": lambda: np.tanh(self.gamma_ * s + self.coef0)}[self.kernel]()
 
     def _column(self, weights: np.ndarray, vectors: np.ndarray, bias: float) -> Column:
-        x = F.array(*[F.col(c).cast("double") for c in self.cols])
-        sv = F.array(*[F.struct(F.lit(float(w)).alias("w"), F.array(*map(F.lit, map(float, v))).alias("v")) for w, v in zip(weights, vectors, strict=True)])
-        dots = lambda v: F.aggregate(F.zip_with(x, v, lambda a, b: a * b), F.lit(0.0), lambda s, t: s + t)
-        far = lambda v: F.aggregate(F.zip_with(x, v, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, t: s + t)
-        k = {"linear": dots, "rbf": lambda v: F.exp(-self.gamma_ * far(v)), "poly": lambda v: F.pow(self.gamma_ * dots(v) + self.coef0, F.lit(float(self.degree))), "sigmoid": lambda v: F.tanh(self.gamma_ * dots(v) + self.coef0)}[self.kernel]
-        return F.aggregate(sv, F.lit(float(bias)), lambda s, e: s + e["w"] * k(e["v"]))
+        """The machine's value for each row, in Arrow batches: kernel products of some rows at a time, so memory stays bounded."""
+        step = max(1, (1 << 22) // max(len(vectors), 1))
+
+        @F.pandas_udf("double")
+        def value(x: pd.Series) -> pd.Series:
+            out = np.full(len(x), float(bias))
+            if len(vectors):
+                for a in range(0, len(x), step):
+                    rows = np.stack(x[a : a + step].to_numpy()).astype(float)
+                    out[a : a + step] += self._gram(rows, vectors) @ weights
+            return pd.Series(out)
+
+        return value(F.array(*[F.col(c).cast("double") for c in self.cols]))
 
 
 def dual(k: np.ndarray, y: np.ndarray, c: float, tol: float, max_iter: int) -> tuple[np.ndarray, float]:

@@ -86,25 +86,28 @@ def _elementwise(name: str) -> None:
 for _name in ELEMENTWISE:
     _elementwise(_name)
 
-# ---- softmax, reductions and shapes over the first eight dimensions of embeddings ----
+# ---- softmax, reductions and shapes over embeddings ----
 
-_E8 = "(SELECT vec_id AS i0, CAST(j AS BIGINT) AS i1, CAST(embedding[CAST(j AS INTEGER) + 1] AS DOUBLE) AS v FROM embeddings, range(8) AS t(j))"
+#: Values of an embedding.
+WIDE = 64
 
+_LONG = "(SELECT vec_id AS i0, CAST(j AS BIGINT) AS i1, CAST(embedding[CAST(j AS INTEGER) + 1] AS DOUBLE) AS v FROM embeddings, range(64) AS t(j))"
 
-def e8(spark: SparkSession, d: str) -> DataFrame:
-    return T.from_arrays(table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("e")), "vec_id", "e")
+
+def long(spark: SparkSession, d: str) -> DataFrame:
+    return T.from_arrays(table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("e")), "vec_id", "e")
 
 
 def _array(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("e"))
+    return table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("e"))
 
 
-@register("op_fn_softmax", f"WITH t AS {_E8}, e AS (SELECT *, exp(v - max(v) OVER (PARTITION BY i0)) AS x FROM t) SELECT i0 AS vec_id, i1 AS j, round(x / sum(x) OVER (PARTITION BY i0), 6) AS p FROM e")
+@register("op_fn_softmax", f"WITH t AS {_LONG}, e AS (SELECT *, exp(v - max(v) OVER (PARTITION BY i0)) AS x FROM t) SELECT i0 AS vec_id, i1 AS j, round(x / sum(x) OVER (PARTITION BY i0), 6) AS p FROM e")
 def _softmax(spark, d):
     return _array(spark, d).select("vec_id", F.posexplode(E.softmax(F.col("e"))).alias("j", "p")).select("vec_id", F.col("j").cast("long").alias("j"), rounded("p").alias("p"))
 
 
-@register("op_fn_log_softmax", f"WITH t AS {_E8} SELECT i0 AS vec_id, i1 AS j, round(v - m - ln(sum(exp(v - m)) OVER (PARTITION BY i0)), 6) AS p FROM (SELECT *, max(v) OVER (PARTITION BY i0) AS m FROM t)")
+@register("op_fn_log_softmax", f"WITH t AS {_LONG} SELECT i0 AS vec_id, i1 AS j, round(v - m - ln(sum(exp(v - m)) OVER (PARTITION BY i0)), 6) AS p FROM (SELECT *, max(v) OVER (PARTITION BY i0) AS m FROM t)")
 def _log_softmax(spark, d):
     return _array(spark, d).select("vec_id", F.posexplode(E.log_softmax(F.col("e"))).alias("j", "p")).select("vec_id", F.col("j").cast("long").alias("j"), rounded("p").alias("p"))
 
@@ -113,47 +116,47 @@ for _how, _agg in (("sum", "sum"), ("mean", "avg"), ("max", "max")):
     for _axis, _key in ((0, "i1"), (1, "i0")):
 
         def _reduce(spark, d, how=_how, axis=_axis):
-            return T.reduce_axes(e8(spark, d), how, axis).select("i0", rounded("v").alias("v"))
+            return T.reduce_axes(long(spark, d), how, axis).select("i0", rounded("v").alias("v"))
 
-        register(f"op_tensor_{_how}_axis{_axis}", f"WITH t AS {_E8} SELECT {_key} AS i0, round({_agg}(v), 6) + 0.0 AS v FROM t GROUP BY 1")(_reduce)
+        register(f"op_tensor_{_how}_axis{_axis}", f"WITH t AS {_LONG} SELECT {_key} AS i0, round({_agg}(v), 6) + 0.0 AS v FROM t GROUP BY 1")(_reduce)
 
 
-@register("op_tensor_max_gradient", f"WITH t AS {_E8}, m AS (SELECT *, max(v) OVER (PARTITION BY i0) AS top FROM t) SELECT i0, i1, CASE WHEN v = top THEN 1.0 / count(*) FILTER (v = top) OVER (PARTITION BY i0) ELSE 0.0 END AS v FROM m")
+@register("op_tensor_max_gradient", f"WITH t AS {_LONG}, m AS (SELECT *, max(v) OVER (PARTITION BY i0) AS top FROM t) SELECT i0, i1, CASE WHEN v = top THEN 1.0 / count(*) FILTER (v = top) OVER (PARTITION BY i0) ELSE 0.0 END AS v FROM m")
 def _max_gradient(spark, d):
-    return T.max_gradient(e8(spark, d), 1)
+    return T.max_gradient(long(spark, d), 1)
 
 
-@register("op_tensor_reshape", f"WITH t AS {_E8} SELECT i0 * 2 + i1 // 4 AS i0, i1 % 4 AS i1, round(v, 6) + 0.0 AS v FROM t")
+@register("op_tensor_reshape", f"WITH t AS {_LONG} SELECT i0 * 16 + i1 // 4 AS i0, i1 % 4 AS i1, round(v, 6) + 0.0 AS v FROM t")
 def _reshape(spark, d):
     n = table(spark, d, "embeddings").count()
-    return T.reshape(e8(spark, d), (n, 8), (-1, 4)).select("i0", "i1", rounded("v").alias("v"))
+    return T.reshape(long(spark, d), (n, WIDE), (-1, 4)).select("i0", "i1", rounded("v").alias("v"))
 
 
-@register("op_tensor_transpose", f"WITH t AS {_E8} SELECT i1 AS i0, i0 AS i1, round(v, 6) + 0.0 AS v FROM t")
+@register("op_tensor_transpose", f"WITH t AS {_LONG} SELECT i1 AS i0, i0 AS i1, round(v, 6) + 0.0 AS v FROM t")
 def _transpose(spark, d):
-    return T.transpose(e8(spark, d)).select("i0", "i1", rounded("v").alias("v"))
+    return T.transpose(long(spark, d)).select("i0", "i1", rounded("v").alias("v"))
 
 
-@register("op_tensor_slice", f"WITH t AS {_E8} SELECT i0, (i1 - 1) // 2 AS i1, round(v, 6) + 0.0 AS v FROM t WHERE i1 IN (1, 3, 5)")
+@register("op_tensor_slice", f"WITH t AS {_LONG} SELECT i0, (i1 - 1) // 2 AS i1, round(v, 6) + 0.0 AS v FROM t WHERE i1 % 2 = 1")
 def _slice(spark, d):
-    return T.take(e8(spark, d), 1, 1, 7, 2).select("i0", "i1", rounded("v").alias("v"))
+    return T.take(long(spark, d), 1, 1, WIDE, 2).select("i0", "i1", rounded("v").alias("v"))
 
 
-@register("op_tensor_concat", f"WITH t AS {_E8} SELECT i0, i1 + 8 * k AS i1, round(v, 6) + 0.0 AS v FROM t, range(2) AS r(k)")
+@register("op_tensor_concat", f"WITH t AS {_LONG} SELECT i0, i1 + 64 * k AS i1, round(v, 6) + 0.0 AS v FROM t, range(2) AS r(k)")
 def _concat(spark, d):
-    t = e8(spark, d)
-    return T.concat([t, t], [8, 8], 1).select("i0", "i1", rounded("v").alias("v"))
+    t = long(spark, d)
+    return T.concat([t, t], [WIDE, WIDE], 1).select("i0", "i1", rounded("v").alias("v"))
 
 
-@register("op_tensor_stack", f"WITH t AS {_E8} SELECT k AS i0, i0 AS i1, i1 AS i2, round(v * (1 + k), 6) + 0.0 AS v FROM t, range(2) AS r(k)")
+@register("op_tensor_stack", f"WITH t AS {_LONG} SELECT k AS i0, i0 AS i1, i1 AS i2, round(v * (1 + k), 6) + 0.0 AS v FROM t, range(2) AS r(k)")
 def _stack(spark, d):
-    t = e8(spark, d)
+    t = long(spark, d)
     return T.stack([t, t.withColumn("v", F.col("v") * 2)]).select("i0", "i1", "i2", rounded("v").alias("v"))
 
 
-@register("op_tensor_matmul", f"WITH t AS {_E8} SELECT a.i1 AS i0, b.i1 AS i1, round(sum(a.v * b.v), 6) + 0.0 AS v FROM t a JOIN t b ON a.i0 = b.i0 GROUP BY 1, 2")
+@register("op_tensor_matmul", f"WITH t AS {_LONG} SELECT a.i1 AS i0, b.i1 AS i1, round(sum(a.v * b.v), 6) + 0.0 AS v FROM t a JOIN t b ON a.i0 = b.i0 GROUP BY 1, 2")
 def _matmul(spark, d):
-    t = e8(spark, d)
+    t = long(spark, d)
     return T.matmul(T.transpose(t), t).select("i0", "i1", rounded("v").alias("v"))
 
 
@@ -185,7 +188,7 @@ def _pool(spark, d):
     return T.max_pool(_images(spark, d), (8, 8), (2, 2)).select(F.col("i0").alias("n"), F.col("i2").alias("oh"), F.col("i3").alias("ow"), rounded("v").alias("v"))
 
 
-@register("op_nn_im2col", f"WITH x AS {_IMG} SELECT n, h, w, h - a AS oh, w - b AS ow, CAST(a AS BIGINT) AS kh, CAST(b AS BIGINT) AS kw, round(v, 6) + 0.0 AS v FROM x, range(3) AS r(a), range(3) AS s(b) WHERE h - a BETWEEN 0 AND 5 AND w - b BETWEEN 0 AND 5 AND n < 20")
+@register("op_nn_im2col", f"WITH x AS {_IMG} SELECT n, h, w, h - a AS oh, w - b AS ow, CAST(a AS BIGINT) AS kh, CAST(b AS BIGINT) AS kw, round(v, 6) + 0.0 AS v FROM x, range(3) AS r(a), range(3) AS s(b) WHERE h - a BETWEEN 0 AND 5 AND w - b BETWEEN 0 AND 5")
 def _im2col(spark, d):
     w = T.windows(_images(spark, d), (8, 8), (3, 3), 1)
     return w.select("n", "h", "w", "oh", "ow", F.col("kh").cast("long").alias("kh"), F.col("kw").cast("long").alias("kw"), rounded("v").alias("v"))
@@ -210,11 +213,11 @@ for _name, (_f, _sql) in LOSSES.items():
 
     register(f"op_loss_{_name}", f"WITH t AS (SELECT {_P} AS p, {X} AS x, {_Q} AS t FROM events) SELECT round({_sql}, 6) + 0.0 AS loss FROM t")(_loss)
 
-_CE = f"WITH t AS {_E8}, l AS (SELECT i0, i1, v - m - ln(sum(exp(v - m)) OVER (PARTITION BY i0)) AS lp FROM (SELECT *, max(v) OVER (PARTITION BY i0) AS m FROM t)), y AS (SELECT vec_id, label % 8 AS y FROM embeddings)"
+_CE = f"WITH t AS {_LONG}, l AS (SELECT i0, i1, v - m - ln(sum(exp(v - m)) OVER (PARTITION BY i0)) AS lp FROM (SELECT *, max(v) OVER (PARTITION BY i0) AS m FROM t)), y AS (SELECT vec_id, label % 8 AS y FROM embeddings)"
 
 
 def _logits(spark, d):
-    return table(spark, d, "embeddings").select(F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("e"), F.pmod("label", F.lit(8)).alias("y"))
+    return table(spark, d, "embeddings").select(F.transform("embedding", lambda v: v.cast("double")).alias("e"), F.pmod("label", F.lit(8)).alias("y"))
 
 
 @register("op_loss_cross_entropy", f"{_CE} SELECT round(avg(-lp), 6) AS loss FROM l JOIN y ON i0 = vec_id AND i1 = y")
@@ -222,7 +225,7 @@ def _ce(spark, d):
     return _logits(spark, d).agg(rounded(L.cross_entropy(F.col("e"), F.col("y"))).alias("loss"))
 
 
-@register("op_loss_cross_entropy_smoothed", f"{_CE} SELECT round(sum(-lp * (CASE WHEN i1 = y THEN 0.9 ELSE 0 END + 0.0125)) / count(DISTINCT i0), 6) AS loss FROM l JOIN y ON i0 = vec_id")
+@register("op_loss_cross_entropy_smoothed", f"{_CE} SELECT round(sum(-lp * (CASE WHEN i1 = y THEN 0.9 ELSE 0 END + 0.0015625)) / count(DISTINCT i0), 6) AS loss FROM l JOIN y ON i0 = vec_id")
 def _ces(spark, d):
     return _logits(spark, d).agg(rounded(L.cross_entropy(F.col("e"), F.col("y"), label_smoothing=0.1)).alias("loss"))
 
@@ -478,9 +481,24 @@ def _kappa(spark, d):
     return metrics.cohen_kappa_score(_classes(spark, d), "y", "p").select(rounded("kappa").alias("kappa"))
 
 
-@register("op_metric_classification_report")
+_REPORT_SQL = """, c AS (SELECT l AS label, count(*) FILTER (y = l AND p = l) AS tp, count(*) FILTER (y = l) AS support, count(*) FILTER (p = l) AS named FROM t, (SELECT y AS l FROM t UNION SELECT p FROM t) GROUP BY 1),
+r AS (SELECT label, support, tp, CASE WHEN named > 0 THEN tp / named::DOUBLE ELSE 0 END AS a, CASE WHEN support > 0 THEN tp / support::DOUBLE ELSE 0 END AS b FROM c),
+f AS (SELECT *, CASE WHEN a + b > 0 THEN 2 * a * b / (a + b) ELSE 0 END AS f FROM r), n AS (SELECT sum(support) AS n, sum(tp) AS tp FROM c),
+line AS (
+  SELECT CAST(label AS VARCHAR) AS name, printf('%.4f', a) AS a, printf('%.4f', b) AS b, printf('%.4f', f) AS f, CAST(support AS VARCHAR) AS k FROM f
+  UNION ALL SELECT 'accuracy', '', '', printf('%.4f', tp / n::DOUBLE), CAST(n AS VARCHAR) FROM n
+  UNION ALL SELECT 'macro avg', printf('%.4f', avg(a)), printf('%.4f', avg(b)), printf('%.4f', avg(f)), CAST(max(n) AS VARCHAR) FROM f, n
+  UNION ALL SELECT 'weighted avg', printf('%.4f', sum(a * support / n)), printf('%.4f', sum(b * support / n)), printf('%.4f', sum(f * support / n)), CAST(max(n) AS VARCHAR) FROM f, n)
+SELECT name, a AS precision, b AS recall, f AS f1, k AS support FROM line"""
+
+
+@register("op_metric_classification_report", f"WITH t AS {_CLS}{_REPORT_SQL}")
 def _report(spark, d):
-    return spark.createDataFrame([(metrics.classification_report(_classes(spark, d), "y", "p"),)], "report string")
+    """The report's lines, read back by its fixed widths."""
+    text = metrics.classification_report(_classes(spark, d), "y", "p")
+    lines = [x for x in text.split("\n")[1:] if x]
+    rows = [tuple(x.strip() for x in (x[:-44], x[-42:-33], x[-31:-22], x[-20:-11], x[-9:])) for x in lines]
+    return spark.createDataFrame(rows, "name string, precision string, recall string, f1 string, support string")
 
 
 _ROC = "(SELECT event_id AS id, (event_type = 'purchase')::INT AS y, round(value, 0) AS s FROM events)"
@@ -530,34 +548,34 @@ def _nmi(spark, d):
     return metrics.normalized_mutual_info_score(_partitions(spark, d), "a", "b").select(rounded("nmi").alias("nmi"))
 
 
-D4 = [f"e{k}" for k in range(4)]
-_D4 = "(SELECT vec_id, label, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS e{k}" for k in range(4)) + " FROM embeddings)"
+DIMS = [f"e{k}" for k in range(WIDE)]
+_WIDE = "(SELECT vec_id, label, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS e{k}" for k in range(WIDE)) + " FROM embeddings)"
 
 
-def d4(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(4)])
+def wide(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", "label", *[F.col("embedding")[k].cast("double").alias(f"e{k}") for k in range(WIDE)])
 
 
 def _far(a: str, b: str) -> str:
-    return "sqrt(" + " + ".join(f"({a}.e{k} - {b}.e{k}) * ({a}.e{k} - {b}.e{k})" for k in range(4)) + ")"
+    return "sqrt(" + " + ".join(f"({a}.e{k} - {b}.e{k}) * ({a}.e{k} - {b}.e{k})" for k in range(WIDE)) + ")"
 
 
-@register("op_metric_silhouette", f"WITH t AS {_D4}, d AS (SELECT p.vec_id, p.label, q.label AS o, avg({_far('p', 'q')}) AS d FROM t p, t q WHERE p.vec_id <> q.vec_id GROUP BY 1, 2, 3), s AS (SELECT vec_id, max(d) FILTER (label = o) AS a, min(d) FILTER (label <> o) AS b FROM d GROUP BY 1) SELECT vec_id AS id, round(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) + 0.0 AS silhouette FROM s")
+@register("op_metric_silhouette", f"WITH t AS {_WIDE}, d AS (SELECT p.vec_id, p.label, q.label AS o, avg({_far('p', 'q')}) AS d FROM t p, t q WHERE p.vec_id <> q.vec_id GROUP BY 1, 2, 3), s AS (SELECT vec_id, max(d) FILTER (label = o) AS a, min(d) FILTER (label <> o) AS b FROM d GROUP BY 1) SELECT vec_id AS id, round(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END, 6) + 0.0 AS silhouette FROM s")
 def _silhouette(spark, d):
-    return metrics.silhouette_samples(d4(spark, d), D4, "label", "vec_id").select("id", rounded("silhouette").alias("silhouette"))
+    return metrics.silhouette_samples(wide(spark, d), DIMS, "label", "vec_id").select("id", rounded("silhouette").alias("silhouette"))
 
 
-_M4 = ", ".join(f"avg(e{k}) AS e{k}" for k in range(4))
+_MEANS = ", ".join(f"avg(e{k}) AS e{k}" for k in range(WIDE))
 
 
-@register("op_metric_davies_bouldin", f"WITH t AS {_D4}, m AS (SELECT label, {_M4} FROM t GROUP BY 1), s AS (SELECT m.label, avg({_far('t', 'm')}) AS s FROM t JOIN m USING (label) GROUP BY 1), r AS (SELECT p.label, max((a.s + b.s) / {_far('p', 'q')}) AS r FROM m p JOIN s a ON a.label = p.label, m q JOIN s b ON b.label = q.label WHERE p.label <> q.label GROUP BY 1) SELECT round(avg(r), 6) AS davies_bouldin FROM r")
+@register("op_metric_davies_bouldin", f"WITH t AS {_WIDE}, m AS (SELECT label, {_MEANS} FROM t GROUP BY 1), s AS (SELECT m.label, avg({_far('t', 'm')}) AS s FROM t JOIN m USING (label) GROUP BY 1), r AS (SELECT p.label, max((a.s + b.s) / {_far('p', 'q')}) AS r FROM m p JOIN s a ON a.label = p.label, m q JOIN s b ON b.label = q.label WHERE p.label <> q.label GROUP BY 1) SELECT round(avg(r), 6) AS davies_bouldin FROM r")
 def _db(spark, d):
-    return metrics.davies_bouldin_score(d4(spark, d), D4, "label").select(rounded("davies_bouldin").alias("davies_bouldin"))
+    return metrics.davies_bouldin_score(wide(spark, d), DIMS, "label").select(rounded("davies_bouldin").alias("davies_bouldin"))
 
 
-@register("op_metric_calinski_harabasz", f"WITH t AS {_D4}, m AS (SELECT label, count(*) AS n, {_M4} FROM t GROUP BY 1), g AS (SELECT {_M4} FROM t), b AS (SELECT sum(n * pow({_far('m', 'g')}, 2)) AS b, count(*) AS k FROM m, g), w AS (SELECT sum(pow({_far('t', 'm')}, 2)) AS w, count(*) AS n FROM t JOIN m USING (label)) SELECT round(b / (k - 1) / (w / (n - k)), 6) AS calinski_harabasz FROM b, w")
+@register("op_metric_calinski_harabasz", f"WITH t AS {_WIDE}, m AS (SELECT label, count(*) AS n, {_MEANS} FROM t GROUP BY 1), g AS (SELECT {_MEANS} FROM t), b AS (SELECT sum(n * pow({_far('m', 'g')}, 2)) AS b, count(*) AS k FROM m, g), w AS (SELECT sum(pow({_far('t', 'm')}, 2)) AS w, count(*) AS n FROM t JOIN m USING (label)) SELECT round(b / (k - 1) / (w / (n - k)), 6) AS calinski_harabasz FROM b, w")
 def _ch(spark, d):
-    return metrics.calinski_harabasz_score(d4(spark, d), D4, "label").select(rounded("calinski_harabasz").alias("calinski_harabasz"))
+    return metrics.calinski_harabasz_score(wide(spark, d), DIMS, "label").select(rounded("calinski_harabasz").alias("calinski_harabasz"))
 
 
 # ---- estimators ----
@@ -592,29 +610,54 @@ def _ridge(spark, d):
     return _weights(spark, linear.Ridge(["a", "b"], "y", alpha=1000.0).fit(_two(spark, d)))
 
 
-@register("op_model_lasso")
+#: Coordinate descent in turns over both weights, for the same sums as above: soft thresholds l1, ridge l2 (per row).
+_DESCENT = (
+    "WITH RECURSIVE " + _R2.format(0).removeprefix("WITH ").split(", w AS")[0] + ", n AS (SELECT count(*) AS n FROM t), "
+    "r AS (SELECT 0 AS i, 0.0::DOUBLE AS wa, 0.0::DOUBLE AS wb UNION ALL SELECT i + 1, na, sign(byy - ab * na) * greatest(abs(byy - ab * na) - {0} * n, 0) / (bb + {1} * n) "
+    "FROM (SELECT i, s.*, n, sign(ay - ab * wb) * greatest(abs(ay - ab * wb) - {0} * n, 0) / (aa + {1} * n) AS na FROM r, s, n WHERE i < 200)) "
+    "SELECT round(wa, 6) + 0.0 AS wa, round(wb, 6) + 0.0 AS wb, round(my - wa * ma - wb * mb, 5) AS bias FROM r, s WHERE i = 200"
+)
+
+
+@register("op_model_lasso", _DESCENT.format(0.5, 0.0))
 def _lasso(spark, d):
-    return _weights(spark, linear.Lasso(["a", "b"], "y", alpha=0.5).fit(_two(spark, d)))
+    return _weights(spark, linear.Lasso(["a", "b"], "y", alpha=0.5, tol=1e-12).fit(_two(spark, d)))
 
 
-@register("op_model_elastic_net")
+@register("op_model_elastic_net", _DESCENT.format(0.25, 0.25))
 def _enet(spark, d):
-    return _weights(spark, linear.ElasticNet(["a", "b"], "y", alpha=0.5).fit(_two(spark, d)))
+    return _weights(spark, linear.ElasticNet(["a", "b"], "y", alpha=0.5, tol=1e-12).fit(_two(spark, d)))
+
+
+def _logit(spark, d):
+    df = wide(spark, d).withColumn("y", (F.col("label") < 5).cast("int"))
+    return df, linear.LogisticRegression(DIMS, "y").fit(df)
 
 
 @register("op_model_logistic_regression")
 def _logistic(spark, d):
-    df = d4(spark, d).withColumn("y", (F.col("label") < 5).cast("int"))
-    return linear.LogisticRegression(D4, "y").fit(df).transform(df).select("vec_id", "prediction", rounded(F.col("probability")[1]).alias("p"))
+    df, m = _logit(spark, d)
+    return m.transform(df).select("vec_id", "prediction", rounded(F.col("probability")[1]).alias("p"))
 
 
-_NB = f"t AS {_D4}, m AS (SELECT label, count(*) / (SELECT count(*) FROM t)::DOUBLE AS prior, " + ", ".join(f"avg(e{k}) AS m{k}, var_pop(e{k}) AS v{k}" for k in range(4)) + " FROM t GROUP BY 1), e AS (SELECT 1e-9 * max(greatest(v0, v1, v2, v3)) AS eps FROM m)"
+@register("op_model_logistic_regression_optimum", f"SELECT CAST(k AS INTEGER) AS param, 0.0::DOUBLE AS gradient FROM range({WIDE + 1}) AS t(k)")
+def _logistic_optimum(spark, d):
+    """The penalised loss has a gradient of zero at the weights (the bias is the last), by the predicted probabilities."""
+    df, m = _logit(spark, d)
+    miss = F.col("probability")[1] - F.col("y")
+    sums = m.transform(df).agg(*[F.avg(miss * F.col(c)).alias(c) for c in DIMS], F.avg(miss).alias("bias"), F.count("*").alias("n"))
+    pull = [float(w) for w in m.coef_[0][:-1]]
+    each = [F.struct(F.lit(k).alias("param"), rounded(F.col(c) + w / (m.C * F.col("n"))).alias("gradient")) for k, (c, w) in enumerate(zip([*DIMS, "bias"], [*pull, 0.0], strict=True))]
+    return sums.select(F.inline(F.array(*each)))
 
 
-@register("op_model_gaussian_nb", f"WITH {_NB}, j AS (SELECT t.vec_id, m.label, ln(prior) " + " ".join(f"- 0.5 * (ln(2 * pi() * (v{k} + eps)) + (e{k} - m{k}) * (e{k} - m{k}) / (v{k} + eps))" for k in range(4)) + " AS j FROM t, m, e), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY j DESC, label) AS k, max(j) OVER (PARTITION BY vec_id) + ln(sum(exp(j - (SELECT max(j) FROM j))) OVER (PARTITION BY vec_id)) + (SELECT max(j) FROM j) - max(j) OVER (PARTITION BY vec_id) AS norm FROM j) SELECT vec_id, label AS prediction, round(j - norm, 5) + 0.0 AS log_p FROM r WHERE k = 1")
+_NB = f"t AS {_WIDE}, m AS (SELECT label, count(*) / (SELECT count(*) FROM t)::DOUBLE AS prior, " + ", ".join(f"avg(e{k}) AS m{k}, var_pop(e{k}) AS v{k}" for k in range(WIDE)) + " FROM t GROUP BY 1), e AS (SELECT 1e-9 * max(greatest(" + ", ".join(f"v{k}" for k in range(WIDE)) + ")) AS eps FROM m)"
+
+
+@register("op_model_gaussian_nb", f"WITH {_NB}, j AS (SELECT t.vec_id, m.label, ln(prior) " + " ".join(f"- 0.5 * (ln(2 * pi() * (v{k} + eps)) + (e{k} - m{k}) * (e{k} - m{k}) / (v{k} + eps))" for k in range(WIDE)) + " AS j FROM t, m, e), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY j DESC, label) AS k, max(j) OVER (PARTITION BY vec_id) + ln(sum(exp(j - (SELECT max(j) FROM j))) OVER (PARTITION BY vec_id)) + (SELECT max(j) FROM j) - max(j) OVER (PARTITION BY vec_id) AS norm FROM j) SELECT vec_id, label AS prediction, round(j - norm, 5) + 0.0 AS log_p FROM r WHERE k = 1")
 def _gnb(spark, d):
-    df = d4(spark, d)
-    out = bayes.GaussianNB(D4, "label").fit(df).transform(df)
+    df = wide(spark, d)
+    out = bayes.GaussianNB(DIMS, "label").fit(df).transform(df)
     return out.select("vec_id", "prediction", rounded(F.array_max("log_probability"), 5).alias("log_p"))
 
 
@@ -644,13 +687,13 @@ def _bnb(spark, d):
     return m.transform(df).select("doc_id", "prediction", rounded(F.greatest(*m._joint()), 5).alias("j"))
 
 
-_NEAR = f"t AS {_D4}, n AS (SELECT q.vec_id, t.vec_id AS other, t.label, {_far('q', 't')} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_far('q', 't')}, t.vec_id) AS k FROM t q, t WHERE q.vec_id % 20 = 0 AND t.vec_id % 20 <> 0)"
+_NEAR = f"t AS {_WIDE}, n AS (SELECT q.vec_id, t.vec_id AS other, t.label, {_far('q', 't')} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_far('q', 't')}, t.vec_id) AS k FROM t q, t WHERE q.vec_id % 20 = 0 AND q.vec_id <> t.vec_id)"
 
 
 def _knn(spark, d, cls, **options):
-    df = d4(spark, d)
+    df = wide(spark, d)
     asked = F.pmod("vec_id", F.lit(20)) == 0
-    return cls(D4, "label", "vec_id", others_only=True, **options).fit(df), df.where(asked)
+    return cls(DIMS, "label", "vec_id", others_only=True, **options).fit(df), df.where(asked)
 
 
 @register("op_model_knn_neighbors", f"WITH {_NEAR} SELECT vec_id, other AS neighbor, label AS y, round(d, 6) AS distance, CAST(k AS INTEGER) AS rank FROM n WHERE k <= 5")
@@ -671,22 +714,22 @@ def _knn_reg(spark, d):
     return m.transform(q).select("vec_id", rounded("prediction", 5).alias("prediction"))
 
 
-_SQ = lambda a, b: " + ".join(f"({a}.e{k} - {b}.e{k}) * ({a}.e{k} - {b}.e{k})" for k in range(4))
-_STEP = "a{0} AS (SELECT t.vec_id, c.c, row_number() OVER (PARTITION BY t.vec_id ORDER BY " + _SQ("t", "c") + ", c.c) AS k, " + _SQ("t", "c") + " AS d, t.e0, t.e1, t.e2, t.e3 FROM t, c{0} c), b{0} AS (SELECT * FROM a{0} WHERE k = 1)"
+_SQ = lambda a, b: " + ".join(f"({a}.e{k} - {b}.e{k}) * ({a}.e{k} - {b}.e{k})" for k in range(WIDE))
+_STEP = "a{0} AS (SELECT t.vec_id, c.c, row_number() OVER (PARTITION BY t.vec_id ORDER BY " + _SQ("t", "c") + ", c.c) AS k, " + _SQ("t", "c") + " AS d, t.* EXCLUDE (vec_id, label) FROM t, c{0} c), b{0} AS (SELECT * FROM a{0} WHERE k = 1)"
 
 
-@register("op_model_kmeans", f"WITH t AS {_D4}, c0 AS (SELECT vec_id AS c, e0, e1, e2, e3 FROM t WHERE vec_id < 3), {_STEP.format(0)}, c1 AS (SELECT c, {_M4} FROM b0 GROUP BY 1), {_STEP.format(1)}, c2 AS (SELECT c, {_M4} FROM b1 GROUP BY 1), {_STEP.format(2)} SELECT vec_id, CAST(c AS INTEGER) AS label, round(d, 6) AS d FROM b2")
+@register("op_model_kmeans", f"WITH t AS {_WIDE}, c0 AS (SELECT vec_id AS c, t.* EXCLUDE (vec_id, label) FROM t WHERE vec_id < 3), {_STEP.format(0)}, c1 AS (SELECT c, {_MEANS} FROM b0 GROUP BY 1), {_STEP.format(1)}, c2 AS (SELECT c, {_MEANS} FROM b1 GROUP BY 1), {_STEP.format(2)} SELECT vec_id, CAST(c AS INTEGER) AS label, round(d, 6) AS d FROM b2")
 def _kmeans(spark, d):
-    df = d4(spark, d)
-    start = [[r[c] for c in D4] for r in df.where("vec_id < 3").orderBy("vec_id").collect()]
-    m = cluster.KMeans(D4, "vec_id", 3, start, max_iter=2, tol=0.0).fit(df)
+    df = wide(spark, d)
+    start = [[r[c] for c in DIMS] for r in df.where("vec_id < 3").orderBy("vec_id").collect()]
+    m = cluster.KMeans(DIMS, "vec_id", 3, start, max_iter=2, tol=0.0).fit(df)
     return m.assign(df).select("vec_id", "label", rounded("squared_distance").alias("d"))
 
 
 @register("op_model_kmeans_plus_plus")
 def _kmeanspp(spark, d):
-    df = d4(spark, d)
-    return cluster.KMeans(D4, "vec_id", 4, n_init=2, max_iter=10).fit(df).predict(df).select("vec_id", "label")
+    df = wide(spark, d)
+    return cluster.KMeans(DIMS, "vec_id", 4, n_init=2, max_iter=10).fit(df).predict(df).select("vec_id", "label")
 
 
 _DB = "(SELECT c_custkey AS id, c_acctbal / 100 AS x, c_nationkey::DOUBLE AS y FROM customer)"
@@ -698,36 +741,76 @@ def _dbscan(spark, d):
     return cluster.DBSCAN(["x", "y"], "id", 1.1, 6).fit_predict(df).select("id", "label", "is_core")
 
 
-@register("op_model_pca_variance", f"WITH t AS {_D4} SELECT round(var_samp(e0) + var_samp(e1) + var_samp(e2) + var_samp(e3), 8) AS total FROM t")
+_ZEROS = f"SELECT CAST(k AS INTEGER) AS component, 0.0::DOUBLE AS off FROM range({WIDE}) AS t(k)"
+_TOTAL = f"WITH t AS {_WIDE} SELECT round(" + " + ".join(f"var_samp(e{k})" for k in range(WIDE)) + ", 8) AS total FROM t"
+
+
+def _covariances(spark, d):
+    """By products of coordinate rows, apart from what the estimators use."""
+    import numpy as np
+
+    t, n = long(spark, d), table(spark, d, "embeddings").count()
+    out = np.zeros((WIDE, WIDE))
+    for r in T.matmul(T.transpose(t), t).collect():  # as many rows as pairs of columns
+        out[r["i0"], r["i1"]] = r["v"]
+    mean = np.array([r["v"] for r in T.reduce_axes(t, "mean", 0).orderBy("i0").collect()])
+    return (out - n * np.outer(mean, mean)) / (n - 1), out
+
+
+def _off(spark, matrix, vectors, values):
+    """How far each pair is from an eigenvector of length 1 and its value: the greatest of all conditions' errors."""
+    import numpy as np
+
+    m, v = np.array(matrix), np.array(vectors)
+    errors = np.maximum(np.abs(m @ v.T - v.T * np.array(values)).max(axis=0), np.abs(v @ v.T - np.eye(len(v))).max(axis=0))
+    return spark.createDataFrame([(k, float(e)) for k, e in enumerate(errors)], "component int, off double").select("component", rounded("off").alias("off"))
+
+
+@register("op_model_pca_variance", _TOTAL)
 def _pca(spark, d):
-    m = decomposition.PCA(D4).fit(d4(spark, d))
+    m = decomposition.PCA(DIMS).fit(wide(spark, d))
     return spark.createDataFrame([(float(m.explained_variance_.sum()),)], "total double").select(rounded("total", 8).alias("total"))
 
 
+@register("op_model_pca_components", _ZEROS)
+def _pca_components(spark, d):
+    """Components and variances are the eigenvectors and eigenvalues of the covariance matrix."""
+    df = wide(spark, d)
+    m = decomposition.PCA(DIMS).fit(df)
+    return _off(spark, _covariances(spark, d)[0], m.components_, m.explained_variance_)
+
+
 @register("op_model_pca_2d", "WITH s AS (SELECT var_samp(embedding[1]::DOUBLE) AS a, var_samp(embedding[2]::DOUBLE) AS b, covar_samp(embedding[1]::DOUBLE, embedding[2]::DOUBLE) AS c FROM embeddings) SELECT round((a + b) / 2 + sqrt((a - b) * (a - b) / 4 + c * c), 8) AS first, round((a + b) / 2 - sqrt((a - b) * (a - b) / 4 + c * c), 8) AS second FROM s")
 def _pca2(spark, d):
-    m = decomposition.PCA(["e0", "e1"]).fit(d4(spark, d))
+    m = decomposition.PCA(["e0", "e1"]).fit(wide(spark, d))
     return spark.createDataFrame([tuple(map(float, m.explained_variance_))], "first double, second double").select(rounded("first", 8).alias("first"), rounded("second", 8).alias("second"))
 
 
-@register("op_model_pca_transform")
+@register("op_model_pca_transform", "SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS c FROM range(3) AS a(i), range(3) AS b(j)")
 def _pca_t(spark, d):
-    df = d4(spark, d)
-    return decomposition.PCA(D4, 2).fit(df).transform(df).select("vec_id", rounded("pc0").alias("pc0"), rounded("pc1").alias("pc1"))
+    """Covariances of the whitened scores: one on the diagonal, zero beside it."""
+    df = wide(spark, d)
+    scores = decomposition.PCA(DIMS, 3, whiten=True).fit(df).transform(df)
+    pairs = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), rounded(F.col(f"c{i}{j}"), 5).alias("c")) for i in range(3) for j in range(3)]
+    return scores.agg(*[F.covar_samp(f"pc{i}", f"pc{j}").alias(f"c{i}{j}") for i in range(3) for j in range(3)]).select(F.inline(F.array(*pairs)))
 
 
-@register("op_model_incremental_pca", f"WITH t AS {_D4} SELECT round(var_samp(e0) + var_samp(e1) + var_samp(e2) + var_samp(e3), 8) AS total FROM t")
+@register("op_model_incremental_pca", _ZEROS)
 def _ipca(spark, d):
-    df, m = d4(spark, d), decomposition.IncrementalPCA(D4)
+    df, m = wide(spark, d), decomposition.IncrementalPCA(DIMS)
     for k in range(3):
         m.partial_fit(df.where(F.pmod("vec_id", F.lit(3)) == k))
-    return spark.createDataFrame([(float(m.explained_variance_.sum()),)], "total double").select(rounded("total", 8).alias("total"))
+    return _off(spark, _covariances(spark, d)[0], m.components_, m.explained_variance_)
 
 
-@register("op_model_truncated_svd", "WITH t AS " + _D4 + " SELECT round(sum(e0 * e0 + e1 * e1 + e2 * e2 + e3 * e3), 6) AS energy FROM t")
+@register("op_model_truncated_svd", _ZEROS)
 def _svd(spark, d):
-    m = decomposition.TruncatedSVD(D4, 4).fit(d4(spark, d))
-    return spark.createDataFrame([(float((m.singular_values_**2).sum()),)], "energy double").select(rounded("energy").alias("energy"))
+    """Components and squared singular values are the eigenvectors and eigenvalues of the products' sums; relative to the first."""
+    df = wide(spark, d)
+    m = decomposition.TruncatedSVD(DIMS, WIDE).fit(df)
+    first = float(m.singular_values_[0] ** 2)
+    products = _covariances(spark, d)[1] / first
+    return _off(spark, products, m.components_, m.singular_values_**2 / first)
 
 
 _GINI = "1 - (a / n) * (a / n) - (b / n) * (b / n) - (c / n) * (c / n)"
@@ -746,8 +829,8 @@ def _stump(spark, d):
 
 @register("op_model_decision_tree_classifier")
 def _tree_c(spark, d):
-    df = d4(spark, d)
-    return tree.DecisionTreeClassifier(D4, "label", max_depth=4).fit(df).transform(df).select("vec_id", "prediction")
+    df = wide(spark, d)
+    return tree.DecisionTreeClassifier(DIMS, "label", max_depth=4).fit(df).transform(df).select("vec_id", "prediction")
 
 
 @register("op_model_decision_tree_regressor", """WITH t AS (SELECT value AS y, (event_id * 7919 % 1000)::DOUBLE AS x FROM events), c AS (SELECT x, count(*)::DOUBLE AS n, sum(y) AS s, sum(y * y) AS q FROM t GROUP BY 1),
@@ -761,82 +844,145 @@ def _tree_r(spark, d):
 
 @register("op_model_random_forest_classifier")
 def _forest(spark, d):
-    df = d4(spark, d)
-    return tree.RandomForestClassifier(D4, "label", max_depth=4, n_estimators=8, id_col="vec_id").fit(df).transform(df).select("vec_id", "prediction")
+    df = wide(spark, d)
+    return tree.RandomForestClassifier(DIMS, "label", max_depth=4, n_estimators=8, id_col="vec_id").fit(df).transform(df).select("vec_id", "prediction")
 
 
 @register("op_model_random_forest_regressor")
 def _forest_r(spark, d):
-    df = d4(spark, d).withColumn("y", F.col("label").cast("double"))
-    return tree.RandomForestRegressor(D4, "y", max_depth=4, n_estimators=5, id_col="vec_id").fit(df).transform(df).select("vec_id", rounded("prediction").alias("prediction"))
+    df = wide(spark, d).withColumn("y", F.col("label").cast("double"))
+    return tree.RandomForestRegressor(DIMS, "y", max_depth=4, n_estimators=5, id_col="vec_id").fit(df).transform(df).select("vec_id", rounded("prediction").alias("prediction"))
 
 
 @register("op_model_gradient_boosting_regressor")
 def _gbr(spark, d):
-    df = d4(spark, d).withColumn("y", F.col("label").cast("double"))
-    return tree.GradientBoostingRegressor(D4, "y", "vec_id", n_estimators=5).fit(df).transform(df).select("vec_id", rounded("prediction").alias("prediction"))
+    df = wide(spark, d).withColumn("y", F.col("label").cast("double"))
+    return tree.GradientBoostingRegressor(DIMS, "y", "vec_id", n_estimators=5).fit(df).transform(df).select("vec_id", rounded("prediction").alias("prediction"))
 
 
 @register("op_model_gradient_boosting_classifier")
 def _gbc(spark, d):
-    df = d4(spark, d).withColumn("y", (F.col("label") < 5).cast("int"))
-    return tree.GradientBoostingClassifier(D4, "y", "vec_id", n_estimators=5).fit(df).transform(df).select("vec_id", "prediction")
+    df = wide(spark, d).withColumn("y", (F.col("label") < 5).cast("int"))
+    return tree.GradientBoostingClassifier(DIMS, "y", "vec_id", n_estimators=5).fit(df).transform(df).select("vec_id", "prediction")
 
 
 @register("op_model_svc")
 def _svc(spark, d):
     from ..operators import svm
 
-    df = d4(spark, d).withColumn("y", (F.col("label") < 5).cast("int"))
-    return svm.SVC(D4, "y").fit(df).transform(df).select("vec_id", "prediction")
+    df = wide(spark, d).withColumn("y", (F.col("label") < 5).cast("int"))
+    return svm.SVC(DIMS, "y").fit(df).transform(df).select("vec_id", "prediction")
 
 
 @register("op_model_svr")
 def _svr(spark, d):
     from ..operators import svm
 
-    df = d4(spark, d).withColumn("y", F.col("label").cast("double"))
-    return svm.SVR(D4, "y").fit(df).transform(df).select("vec_id", rounded("prediction", 4).alias("prediction"))
+    df = wide(spark, d).withColumn("y", F.col("label").cast("double"))
+    return svm.SVR(DIMS, "y").fit(df).transform(df).select("vec_id", rounded("prediction", 4).alias("prediction"))
 
 
 # ---- networks, optimizers, schedules ----
 
 
-@register("op_nn_dense", f"WITH t AS {_D4} SELECT vec_id, round(e0 * 0.5 - e1 + 2 * e2 + 0.25 * e3 + 1, 6) AS y0, round(-e0 + 0.5 * e1 + e3 - 1, 6) AS y1 FROM t")
+_DENSE = [[(k % 5 - 2) * 0.25, (k % 3 - 1) * 0.5] for k in range(WIDE)]
+
+
+def _weighted(j: int) -> str:
+    return " + ".join(f"({w[j]}) * e{k}" for k, w in enumerate(_DENSE))
+
+
+@register("op_nn_dense", f"WITH t AS {_WIDE} SELECT vec_id, round({_weighted(0)} + 1, 6) + 0.0 AS y0, round({_weighted(1)} - 1, 6) + 0.0 AS y1 FROM t")
 def _dense(spark, d):
     from ..nn.layers import Dense, predict
 
-    layer = Dense(4, 2)
-    layer.load({"weight": [[0.5, -1], [-1, 0.5], [2, 0], [0.25, 1]], "bias": [1, -1]})
-    out = predict(layer, d4(spark, d).withColumn("x", F.array(*D4)), "x")
+    layer = Dense(WIDE, 2)
+    layer.load({"weight": _DENSE, "bias": [1, -1]})
+    out = predict(layer, _arrays(spark, d), "e")
     return out.select("vec_id", rounded(F.col("output")[0]).alias("y0"), rounded(F.col("output")[1]).alias("y1"))
 
 
-@register("op_nn_autograd_gradient", f"WITH t AS {_D4}, g AS (SELECT label / 10.0::DOUBLE - (0.3 * e0 - 0.2 * e1 + 0.1) AS r, * FROM t) SELECT round(avg(r * r), 8) AS loss, round(avg(-2 * r * e0), 8) AS w0, round(avg(-2 * r * e1), 8) AS w1, round(avg(-2 * r), 8) AS b FROM g")
+def _arrays(spark, d):
+    return table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("e"))
+
+
+_HALVES = [" + ".join(f"e{k}" for k in r) for r in (range(WIDE // 2), range(WIDE // 2, WIDE))]
+
+
+@register("op_nn_autograd_gradient", f"WITH t AS (SELECT label, {_HALVES[0]} AS a, {_HALVES[1]} AS b FROM {_WIDE}), g AS (SELECT label / 10.0::DOUBLE - (0.3 * a - 0.2 * b + 0.1) AS r, * FROM t) SELECT round(avg(r * r), 8) AS loss, round(avg(-2 * r * a), 8) AS w0, round(avg(-2 * r * b), 8) AS w1, round(avg(-2 * r), 8) AS b FROM g")
 def _autograd(spark, d):
     from ..nn.autograd import column, gradients, param
 
-    e = column("label") / 10.0 - (param("w0") * column("e0") + param("w1") * column("e1") + param("b"))
-    loss, g = gradients(e * e, d4(spark, d), {"w0": 0.3, "w1": -0.2, "b": 0.1})
+    df = wide(spark, d).select("label", F.expr(_HALVES[0]).alias("a"), F.expr(_HALVES[1]).alias("b"))
+    e = column("label") / 10.0 - (param("w0") * column("a") + param("w1") * column("b") + param("b"))
+    loss, g = gradients(e * e, df, {"w0": 0.3, "w1": -0.2, "b": 0.1})
     return spark.createDataFrame([(loss, g["w0"], g["w1"], g["b"])], "loss double, w0 double, w1 double, b double").select(*[rounded(c, 8).alias(c) for c in ("loss", "w0", "w1", "b")])
 
 
-@register("op_nn_batch_norm", f"WITH t AS {_D4} SELECT vec_id, " + ", ".join(f"round((e{k} - avg(e{k}) OVER ()) / sqrt(var_pop(e{k}) OVER () + 1e-5), 6) + 0.0 AS e{k}" for k in range(4)) + " FROM t")
+@register("op_nn_batch_norm", f"WITH t AS {_WIDE} SELECT vec_id, " + ", ".join(f"round((e{k} - avg(e{k}) OVER ()) / sqrt(var_pop(e{k}) OVER () + 1e-5), 6) + 0.0 AS e{k}" for k in range(WIDE)) + " FROM t")
 def _batch_norm(spark, d):
-    df = d4(spark, d)
-    s = df.agg(*[F.avg(c).alias(f"m_{c}") for c in D4], *[F.var_pop(c).alias(f"v_{c}") for c in D4])
-    return df.crossJoin(F.broadcast(s)).select("vec_id", *[rounded((F.col(c) - F.col(f"m_{c}")) / F.sqrt(F.col(f"v_{c}") + 1e-5)).alias(c) for c in D4])
+    """One training step with a momentum of 1 makes the layer's statistics those of the table; then it scores."""
+    from ..nn import layers
+
+    df, layer = _arrays(spark, d), layers.BatchNorm1d(WIDE, momentum=1.0)
+    layers.gradient_step(layer, df.withColumn("y", F.col("e")), "e", "y", layers.squared_error)
+    out = layers.predict(layer, df, "e")
+    return out.select("vec_id", *[rounded(F.col("output")[k]).alias(c) for k, c in enumerate(DIMS)])
 
 
 @register("op_nn_embedding", "WITH w AS (SELECT CAST(j AS INTEGER) AS label, j * 0.5 AS a, 1 - j * 0.25 AS b FROM range(10) AS t(j)) SELECT vec_id, a::DOUBLE AS a, b::DOUBLE AS b FROM embeddings JOIN w USING (label)")
 def _embedding(spark, d):
-    w = spark.range(10).select(F.col("id").cast("int").alias("label"), (F.col("id") * 0.5).cast("double").alias("a"), (1 - F.col("id") * 0.25).cast("double").alias("b"))
-    return table(spark, d, "embeddings").join(F.broadcast(w), "label").select("vec_id", "a", "b")
+    from ..nn import layers
+
+    layer = layers.Embedding(10, 2)
+    layer.load({"weight": [[0.5 * j, 1 - 0.25 * j] for j in range(10)]})
+    out = layers.predict(layer, table(spark, d, "embeddings").select("vec_id", F.array("label").alias("x")), "x")
+    return out.select("vec_id", F.col("output")[0].alias("a"), F.col("output")[1].alias("b"))
+
+
+def _regression_gradients(spark, d):
+    """A dense layer with weights of the first column above and a squared error, after one step over the table."""
+    from ..nn import layers
 
+    layer = layers.Dense(WIDE, 1)
+    layer.load({"weight": [[w[0]] for w in _DENSE], "bias": [1]})
+    _, grads = layers.gradient_step(layer, _arrays(spark, d), "e", "label", layers.squared_error)
+    return layer, grads
 
-@register("op_nn_gradient_norms", f"WITH t AS {_E8} SELECT i1 AS param, round(sqrt(sum(v * v)), 6) AS norm, count(*) AS n FROM t GROUP BY 1")
+
+_GRADS = f"WITH t AS {_WIDE}, z AS (SELECT *, 2 * ({_weighted(0)} + 1 - label) AS r FROM t), g AS (" + " UNION ALL ".join([f"SELECT {k} AS k, avg(r * e{k}) AS g FROM z" for k in range(WIDE)] + [f"SELECT {WIDE}, avg(r) FROM z"]) + ")"
+
+
+@register("op_nn_gradient_norms", f"{_GRADS} SELECT 'weight' AS param, round(sqrt(sum(g * g) FILTER (k < {WIDE})), 6) AS norm FROM g UNION ALL SELECT 'bias', round(abs(max(g) FILTER (k = {WIDE})), 6) FROM g")
 def _norms(spark, d):
-    return e8(spark, d).groupBy(F.col("i1").alias("param")).agg(rounded(F.sqrt(F.sum(F.col("v") * F.col("v")))).alias("norm"), F.count("*").alias("n"))
+    layer, _ = _regression_gradients(spark, d)
+    return spark.createDataFrame(list(layer.gradient_norms().items()), "param string, norm double").select("param", rounded("norm").alias("norm"))
+
+
+@register("op_nn_parameter_norms", "SELECT 'weight' AS param, round(sqrt(" + " + ".join(f"{w[0] ** 2}" for w in _DENSE) + "), 6) AS norm UNION ALL SELECT 'bias', 1.0::DOUBLE")
+def _parameter_norms(spark, d):
+    layer, _ = _regression_gradients(spark, d)
+    return spark.createDataFrame(list(layer.parameter_norms().items()), "param string, norm double").select("param", rounded("norm").alias("norm"))
+
+
+@register("op_nn_clip_grad_norm", f"{_GRADS}, n AS (SELECT sqrt(sum(g * g)) AS n FROM g) SELECT CAST(k AS INTEGER) AS k, round(g * least(1, 0.5 / (n + 1e-6)), 8) + 0.0 AS g, round(n, 6) AS before FROM g, n")
+def _clip_norm(spark, d):
+    from ..nn import optim
+
+    _, grads = _regression_gradients(spark, d)
+    before = optim.clip_grad_norm(grads, 0.5)
+    flat = [*grads["weight"].ravel().tolist(), *grads["bias"].ravel().tolist()]
+    return spark.createDataFrame([(k, g, before) for k, g in enumerate(flat)], "k int, g double, before double").select("k", rounded("g", 8).alias("g"), rounded("before").alias("before"))
+
+
+@register("op_nn_clip_grad_value", f"{_GRADS} SELECT CAST(k AS INTEGER) AS k, round(least(greatest(g, -0.05), 0.05), 8) + 0.0 AS g FROM g")
+def _clip_value(spark, d):
+    from ..nn import optim
+
+    _, grads = _regression_gradients(spark, d)
+    optim.clip_grad_value(grads, 0.05)
+    flat = [*grads["weight"].ravel().tolist(), *grads["bias"].ravel().tolist()]
+    return spark.createDataFrame(list(enumerate(flat)), "k int, g double").select("k", rounded("g", 8).alias("g"))
 
 
 def _track(make: Callable, steps: int = 20):
@@ -890,7 +1036,7 @@ for _name, _make, _sql in (
     register(f"op_schedule_{_name}", f"SELECT t AS epoch, round(CAST({_sql} AS DOUBLE), 9) AS lr FROM range(20) AS r(t)")(_rates(_make))
 
 
-# ---- recurrent layers: eight steps of one number, with fixed weights ----
+# ---- recurrent layers: a step for each value of an embedding, with fixed weights ----
 
 CELLS = {
     "rnn": ([0.5], [0.3], [0.1]),
@@ -924,18 +1070,24 @@ def _gate(name: str, k: int, h: str = "h") -> str:
     return f"({w[k]} * x + {u[k]} * {h} + {b[k]})"
 
 
-_SEQ = "WITH RECURSIVE e AS (SELECT vec_id, CAST(j AS INTEGER) AS t, embedding[CAST(j AS INTEGER) + 1]::DOUBLE AS x FROM embeddings, range(8) AS q(j)), r AS (SELECT vec_id, -1 AS t, 0.0::DOUBLE AS h, 0.0::DOUBLE AS c FROM embeddings UNION ALL SELECT vec_id, t, {0} FROM (SELECT vec_id, t, h, {1} FROM (SELECT r.vec_id, e.t, r.h, r.c, e.x FROM r JOIN e ON e.vec_id = r.vec_id AND e.t = r.t + 1))) SELECT vec_id, round(h, 6) + 0.0 AS h FROM r WHERE t = 7"
+_SEQ = "WITH RECURSIVE e AS (SELECT vec_id, CAST(j AS INTEGER) AS t, embedding[CAST(j AS INTEGER) + 1]::DOUBLE AS x FROM embeddings, range(64) AS q(j)), r AS (SELECT vec_id, -1 AS t, 0.0::DOUBLE AS h, 0.0::DOUBLE AS c FROM embeddings UNION ALL SELECT vec_id, t, {0} FROM (SELECT vec_id, t, h, {1} FROM (SELECT r.vec_id, e.t, r.h, r.c, e.x FROM r JOIN e ON e.vec_id = r.vec_id AND e.t = r.t + 1))) SELECT vec_id, round(h, 6) + 0.0 AS h FROM r WHERE t = 63"
 _S = "(1 / (1 + exp(-{0})))".format
 register("op_nn_rnn", _SEQ.format("n, c", f"c, tanh({_gate('rnn', 0)}) AS n"))(_recurrent("rnn"))
 register("op_nn_lstm", _SEQ.format("o * tanh(n), n", f"{_S(_gate('lstm', 3))} AS o, {_S(_gate('lstm', 1))} * c + {_S(_gate('lstm', 0))} * tanh({_gate('lstm', 2)}) AS n"))(_recurrent("lstm"))
 register("op_nn_gru", _SEQ.format("(1 - z) * n + z * h, 0.0", f"{_S(_gate('gru', 1))} AS z, tanh({CELLS['gru'][0][2]} * x + {CELLS['gru'][2][2]} + {_S(_gate('gru', 0))} * ({CELLS['gru'][1][2]} * h)) AS n"))(_recurrent("gru"))
 
 
-@register("op_nn_dropout")
+@register("op_nn_dropout", f"SELECT vec_id, {WIDE}::BIGINT AS scaled_or_dropped, true AS about_half FROM embeddings")
 def _dropout(spark, d):
-    """Dropped with probability 0.5 by a hash of row and column, scaled by 2: the expectation stays."""
-    drop = lambda c: F.when(F.pmod(F.xxhash64("vec_id", F.lit(c)), F.lit(1000)) >= 500, F.col(c) * 2).otherwise(0.0)
-    return d4(spark, d).select("vec_id", *[drop(c).alias(c) for c in D4])
+    """With probability 0.5 a value is 0, otherwise it is twice itself; about half of all values are dropped."""
+    from ..nn import layers
+
+    out = layers.predict(layers.Dropout(0.5, seed=3), _arrays(spark, d), "e", training=True, key="vec_id")
+    hit = F.arrays_zip(F.col("e").alias("x"), F.col("output").alias("y"))
+    fine = F.size(F.filter(hit, lambda v: (v["y"] == 0) | (v["y"] == 2 * v["x"]))).cast("long")
+    rows = out.select("vec_id", fine.alias("scaled_or_dropped"), F.size(F.filter("output", lambda v: v == 0)).alias("gone"))
+    share = rows.agg((F.sum("gone") / (F.count("*") * WIDE)).between(0.48, 0.52).alias("about_half"))
+    return rows.crossJoin(F.broadcast(share)).select("vec_id", "scaled_or_dropped", "about_half")
 
 
 @register("op_schedule_plateau", "SELECT t AS epoch, round(CASE WHEN t < 8 THEN 1.0 WHEN t < 11 THEN 0.1 WHEN t < 14 THEN 0.01 WHEN t < 17 THEN 0.001 ELSE CASE WHEN t < 20 THEN 0.0001 END END::DOUBLE, 9) AS lr FROM range(20) AS r(t)")
@@ -951,13 +1103,6 @@ def _plateau(spark, d):
     return spark.createDataFrame(rows, "epoch long, lr double").select("epoch", rounded("lr", 9).alias("lr"))
 
 
-@register("op_nn_clip_grad_norm", f"WITH t AS {_E8}, n AS (SELECT sqrt(sum(v * v)) AS n FROM t) SELECT i0, i1, round(v * least(1, 1.0 / (n + 1e-6)), 8) + 0.0 AS v FROM t, n")
-def _clip_norm(spark, d):
-    t = e8(spark, d)
-    n = t.agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
-    return t.crossJoin(F.broadcast(n)).select("i0", "i1", rounded(F.col("v") * F.least(F.lit(1.0), 1 / (F.col("n") + 1e-6)), 8).alias("v"))
-
-
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

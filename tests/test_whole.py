@@ -34,7 +34,7 @@ def nearest(ids, x, wide):
 
 def test_neighbours_among_all_rows(spark, vectors):
     d, ids, x, y = vectors
-    want, label = nearest(ids, x, 4), dict(zip(ids.tolist(), y.tolist(), strict=True))
+    want, label = nearest(ids, x, 64), dict(zip(ids.tolist(), y.tolist(), strict=True))
     assert any(j % 20 == 0 for near in want.values() for j, _ in near)
     got = {}
     for r in sorted(queries()["op_model_knn_neighbors"](spark, d).collect(), key=lambda r: r["rank"]):
