@@ -5,13 +5,14 @@ is the window's necessary prefix: shingles are ordered by their count over the w
 prefix shingles, and the shingle's place in its window gives the one place where the window can lie. A candidate passes the
 bounds (the window fits between the document's first and last word) and then must agree with the window word by word.
 
-The item side is joined in blocks of a bounded number of words, each sent to every executor; more items mean more blocks, and
-documents are never shuffled.
+Items stay on the executors. Two scans read the corpus, however many items there are: one counts the items' shingles, one finds
+places of prefix shingles, with the few words around them that a window there would need. What a scan lets pass is told by a bit
+map of hashes, whose size follows from the number of shingles up to a bound; beyond that, more places than needed pass, which the
+join then drops. Texts are never shuffled.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .flat import ALNUM, LOWER, chunks, covered, hash_windows, hash_words, mix, ranges, row_sums, strings, window_starts, words
+from ..plans.skew import dealt_join
+from .flat import ALNUM, LOWER, chunks, hash_windows, hash_words, ranges, strings, window_starts, words
 from .shared import kept
 
 WINDOW, SHINGLE = 10, 3
-#: Words of items in one block; that bounds what an executor holds.
-BLOCK_WORDS = 200_000
+#: Bits of a hash that a bit map tells apart: at least and at most (2**27 bits are 16 MB).
+LEAST_BITS, MOST_BITS = 16, 27
+_SEGMENT = 12
 
 
 def tokenised(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -34,186 +37,191 @@ def tokenised(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return (LOWER[buf], *words(buf, off, ALNUM))
 
 
-class Block:
-    """Windows of some items: ids, word ids, and the table from prefix shingles to places."""
-
-    def __init__(self, items: list[tuple[object, str]], window: int, shingle: int):
-        self.ids = [i for i, _ in items]
-        buf, s, e, off = tokenised(pa.array([t for _, t in items], pa.large_string()))
-        h = hash_words(buf, s, e)
-        self.vocab, word = np.unique(h, return_inverse=True)
-        n = np.diff(off)
-        count = np.where(n == 0, 0, np.maximum(n - window + 1, 1))
-        self.at, self.len = ranges(off[:-1], count), np.repeat(np.minimum(n, window), count)
-        self.item = np.repeat(np.arange(len(items)), count)
-        self.word = word.astype(np.int64)
-        # Windows of one word sequence are one window of several items.
-        key = mix(hash_windows(h, self.at, self.len)) ^ mix(self.len.astype(np.uint64))
-        _, self.first, self.same = np.unique(key, return_index=True, return_inverse=True)
-        self.shingle = shingle
-        self.sizes = np.unique(np.minimum(self.len, shingle))
-        # All shingles of all windows: (shingle key, window, place); key by the shingle's size.
-        keys, wins, places = [], [], []
-        for k in self.sizes.tolist():
-            mine = np.flatnonzero(np.minimum(self.len[self.first], shingle) == k)
-            begin, size = self.at[self.first[mine]], self.len[self.first[mine]] - k + 1
-            pos = ranges(begin, size)
-            keys.append(hash_windows(h, pos, k) ^ np.uint64(k))
-            wins.append(np.repeat(mine, size))
-            places.append(pos - np.repeat(begin, size))
-        cat = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-        self.all_keys, self.all_wins, self.all_places = cat(keys, np.uint64), cat(wins, np.int64), cat(places, np.int64)
-        self.keys = np.unique(self.all_keys)
-        self.prefix = self.prefix_off = None
-
-    def order(self, counts: np.ndarray) -> None:
-        """counts: occurrences in the corpus of each of self.keys. Keeps each window's rarest shingle, the first of several."""
-        of = np.searchsorted(self.keys, self.all_keys)
-        by = np.lexsort((self.all_places, of, counts[of], self.all_wins))
-        lead = by[np.concatenate(([True], np.diff(self.all_wins[by]) > 0))] if len(by) else by
-        lead = lead[np.argsort(of[lead], kind="stable")]
-        self.prefix, self.prefix_off = np.unique(self.all_keys[lead], return_index=True)
-        self.prefix_off = np.append(self.prefix_off, len(lead))
-        self.wins, self.places = self.all_wins[lead], self.all_places[lead]
-
-    def ids_of(self, h: np.ndarray) -> np.ndarray:
-        """Word ids in this block; -1 for other words."""
-        at = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
-        return np.where(self.vocab[at] == h, at, -1)
-
-    def occurring(self, h: np.ndarray, word: np.ndarray, off: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of shingles among keys, and which of keys each is."""
-        known = np.concatenate(([0], np.cumsum(word >= 0)))
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for k in self.sizes.tolist():
-            pos, _ = window_starts(off, k)
-            pos = pos[known[pos + k] - known[pos] == k]
-            key = hash_windows(h, pos, k) ^ np.uint64(k)
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            ok = keys[at] == key
-            found.append((pos[ok], at[ok]))
-        return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-
-    def matches(self, h: np.ndarray, word: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and windows of all verified occurrences."""
-        pos, at = self.occurring(h, word, off, self.prefix)
-        n = np.diff(self.prefix_off)[at]
-        cand = ranges(self.prefix_off[at], n)
-        start, win = np.repeat(pos, n) - self.places[cand], self.wins[cand]
-        row = np.searchsorted(off, np.repeat(pos, n), "right") - 1
-        size, begin = self.len[self.first[win]], self.at[self.first[win]]
-        ok = np.flatnonzero((start >= off[row]) & (start + size <= off[row + 1]))
-        start, win, size, begin = start[ok], win[ok], size[ok], begin[ok]
-        j = 0
-        alive = np.arange(len(start))
-        while len(alive) and (deeper := alive[size[alive] > j]).size:
-            differs = word[start[deeper] + j] != self.word[begin[deeper] + j]
-            alive = np.setdiff1d(alive, deeper[differs], assume_unique=True)
-            j += 1
-        return start[alive], win[alive]
-
-
-def blocks(items: DataFrame, window: int, shingle: int, block_words: int) -> Iterator[Block]:
-    """The items in blocks, read one partition at a time."""
-    some, n = [], 0
-    for row in items.select(items[0].alias("i"), items[1].cast("string").alias("t")).toLocalIterator():
-        if row.t is None:
-            continue
-        some.append((row.i, row.t))
-        n += len(row.t) // 2 + 1  # a word and its end take two characters at least
-        if n >= block_words:
-            yield Block(some, window, shingle)
-            some, n = [], 0
-    if some:
-        yield Block(some, window, shingle)
-
-
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", item_cols: tuple[str, str] = ("item_id", "text"), keep_text: bool = False) -> DataFrame:
-    """One row a document: id, n_words, n_hit, n_items, item_ids (sorted as strings), hit_spans (word positions [start, end)),
-    contaminated.
+def joined_words(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> str:
+    return b" ".join([bytes(buf[a:b]) for a, b in zip(s.tolist(), e.tolist(), strict=True)]).decode()
 
-    Words are runs of digits, letters and characters beyond ASCII, A-Z lower-cased. Every window of ``window`` consecutive words
-    of an item (the whole item if it has fewer, but not none) that occurs in the document hits its words there. Null texts have
-    no words and null item texts no windows; an item without an id hits words, but is not named or counted. Items that share an
-    id count once. Document ids may be null or repeat if there is one block of items; otherwise rows are told apart by a number.
-    Empty documents give no rows, empty items no hits. Other columns are left aside; the id may be a struct of several, and with
-    keep_text the text stays.
-    """
-    src = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
-    ready = []
-    for block in blocks(items.select(*item_cols), window, shingle, block_words):
-        counts = np.zeros(len(block.keys), np.int64)
-        for row in corpus_counts(src, block).collect():  # as many rows as the block has shingles
-            counts[row.k] = row.n
-        block.order(counts)
-        ready.append(block)
-    if len(ready) <= 1:
-        return joined(src, ready[0] if ready else None, id_col, keep_text)
-    numbered = kept(src.withColumn("row", F.monotonically_increasing_id()))
-    parts = [kept(joined(numbered.select(F.struct("row", "id").alias("id"), "text"), b, id_col, False)) for b in ready]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    merged = every.groupBy(F.col(id_col)).agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("hit_spans"))).alias("s"))
-    last = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("int").alias("upto"))
-    hit = F.aggregate("s", last, lambda a, x: F.struct((a["n"] + F.greatest(x["end"] - F.greatest(x["start"], a["upto"]), F.lit(0))).alias("n"), F.greatest(a["upto"], x["end"]).alias("upto")), lambda a: a["n"])
-    merged = merged.withColumn("n_hit", hit)
-    if keep_text:
-        merged = merged.join(numbered.select("row", "text"), F.col(id_col)["row"] == F.col("row"))
-    return merged.select(F.col(id_col)["id"].alias(id_col), *["text"] * keep_text, "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", F.col("s").alias("hit_spans"), (F.col("n_hit") > 0).alias("contaminated"))
-
-
-def corpus_counts(src: DataFrame, block: Block) -> DataFrame:
-    """How often each shingle of the block occurs in all documents: k, n."""
+
+def item_windows(items: DataFrame, item_cols: tuple[str, str], window: int) -> DataFrame:
+    """item, k (words), win (the words, one space between): a row for each window; an item of fewer words is one."""
+    src = items.select(items[item_cols[0]].cast("string").alias("item"), items[item_cols[1]].cast("string").alias("text")).where("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(block.keys), np.int64)
         for batch in chunks(batches, "text"):
+            buf, s, e, off = tokenised(batch.column(1))
+            n = np.diff(off)
+            count = np.where(n == 0, 0, np.maximum(n - window + 1, 1))
+            at, row = ranges(off[:-1], count), np.repeat(np.arange(len(n)), count)
+            size = np.minimum(n, window)[row]
+            win = [joined_words(buf, s[a : a + k], e[a : a + k]) for a, k in zip(at.tolist(), size.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(size, pa.int32()), pa.array(win, pa.string())], ["item", "k", "win"])
+
+    return src.mapInArrow(run, "item string, k int, win string")
+
+
+def window_shingles(windows: DataFrame, shingle: int) -> DataFrame:
+    """windows (win, k) to win, k, place, key: all shingles of each window, by hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "win"):
             buf, s, e, off = tokenised(batch.column(0))
-            h = hash_words(buf, s, e)
-            _, at = block.occurring(h, block.ids_of(h), off, block.keys)
-            n += np.bincount(at, minlength=len(n))
-        k = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(n[k], pa.int64())], ["k", "n"])
+            h, n = hash_words(buf, s, e), np.diff(off)
+            size = np.minimum(n, shingle)
+            count = n - size + 1
+            row, at = np.repeat(np.arange(len(n)), count), ranges(off[:-1], count)
+            key = hash_windows(h, at, size[row]) ^ size[row].astype(np.uint64)
+            pick = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), pa.array(at - off[:-1][row], pa.int32()), pa.array(key.view(np.int64))], ["win", "k", "place", "key"])
+
+    return windows.select("win", "k").mapInArrow(run, "win string, k int, place int, key long")
+
+
+class Marks:
+    """A bit map of hashes (their leading bits), of a size that grows with their number up to 2**MOST_BITS bits."""
+
+    def __init__(self, keys: DataFrame):
+        n = max(1, keys.count())
+        self.bits = bits = int(np.clip(int(np.ceil(np.log2(16 * n))), LEAST_BITS, MOST_BITS))
+        place = F.shiftrightunsigned("key", 64 - bits)
+        segment, within = F.shiftright(place, _SEGMENT).alias("segment"), place.bitwiseAND((1 << _SEGMENT) - 1).cast("int")
+        rows = keys.select(segment, within.alias("place")).groupBy("segment").agg(F.collect_set("place").alias("places"))
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column(1)
+                on = np.zeros((batch.num_rows, 1 << _SEGMENT), bool)
+                on[np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()] = True
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in np.packbits(on, axis=1, bitorder="little")], pa.binary())], ["segment", "bits"])
+
+        held = np.zeros((1 << (bits - _SEGMENT), 1 << (_SEGMENT - 3)), np.uint8)
+        for r in rows.mapInArrow(pack, "segment long, bits binary").collect():  # 2**15 rows of 512 bytes at most
+            held[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
+        self.held = keys.sparkSession.sparkContext.broadcast(held.ravel())
+
+    def __getstate__(self):
+        return {"bits": self.bits, "held": self.held}
 
-    if not len(block.keys):
-        return src.sparkSession.createDataFrame([], "k long, n long")
-    return src.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    def __setstate__(self, state):
+        self.__dict__.update(state)
 
+    def has(self, key: np.ndarray) -> np.ndarray:
+        at = (key >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (self.held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
-def joined(src: DataFrame, block: Block | None, id_col: str, keep_text: bool) -> DataFrame:
-    schema = T.StructType([
-        T.StructField(id_col, src.schema["id"].dataType), *[T.StructField("text", T.StringType())] * keep_text, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
-        T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("contaminated", T.BooleanType()),
-    ])
+
+def occurring(h: np.ndarray, off: np.ndarray, sizes: list[int], marks: Marks) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each size of shingle: the positions whose hash is marked, and these."""
+    for k in sizes:
+        pos, _ = window_starts(off, k)
+        key = hash_windows(h, pos, k) ^ np.uint64(k)
+        ok = marks.has(key)
+        yield k, pos[ok], key[ok]
+
+
+def corpus_counts(src: DataFrame, sizes: list[int], marks: Marks) -> DataFrame:
+    """key, n: how often marked shingles occur in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            buf, s, e, off = tokenised(batch.column(1))
-            rows = batch.num_rows
-            hit, names, spans = np.zeros(len(s), bool), [[] for _ in range(rows)], [[] for _ in range(rows)]
-            if block is not None and len(block.keys) and len(s):
-                h = hash_words(buf, s, e)
-                start, win = block.matches(h, block.ids_of(h), off)
-                hit = covered(len(s), start, block.len[block.first[win]])
-                row = np.searchsorted(off, start, "right") - 1
-                found = defaultdict(set)
-                for r, w in np.unique(np.stack([row, win]), axis=1).T.tolist():
-                    found[r].add(w)
-                by_win = defaultdict(list)
-                wanted = {w for ws in found.values() for w in ws}
-                for i in np.flatnonzero(np.isin(block.same, list(wanted))).tolist():
-                    by_win[int(block.same[i])].append(block.ids[block.item[i]])
-                for r, ws in found.items():
-                    names[r] = sorted({str(i) for w in ws for i in by_win[w] if i is not None})
-                    mine = np.concatenate(([False], hit[off[r] : off[r + 1]], [False]))
-                    edge = np.flatnonzero(mine[1:] != mine[:-1])
-                    spans[r] = [{"start": a, "end": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-            n_hit = row_sums(hit.astype(np.int64), off)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[batch.column(1)] * keep_text, pa.array(np.diff(off), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(n_hit > 0)],
-                [f.name for f in schema],
-            )
-
-    return src.mapInArrow(run, schema)
+            buf, s, e, off = tokenised(batch.column(0))
+            found = [key for _, _, key in occurring(hash_words(buf, s, e), off, sizes, marks)]
+            key, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n, pa.int64())], ["key", "n"])
+
+    return src.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def candidates(src: DataFrame, sizes: list[int], marks: Marks, window: int) -> DataFrame:
+    """src (id, a, b, text) to id, a, b, n_words and cands: places of marked shingles (pos, key), with the words that a window
+    there may reach (around, beginning at word ``first``)."""
+    cand = "array<struct<pos: int, key: bigint, first: int, around: string>>"
+    schema = T.StructType([*src.select("id", "a", "b").schema.fields, T.StructField("n_words", T.LongType()), T.StructField("cands", T._parse_datatype_string(cand))])
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("key", pa.int64()), ("first", pa.int32()), ("around", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            buf, s, e, off = tokenised(batch.column(3))
+            found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for k, pos, key in occurring(hash_words(buf, s, e), off, sizes, marks):
+                row = np.searchsorted(off, pos, "right") - 1
+                low, high = np.maximum(off[row], pos - (window - k)), np.minimum(off[row + 1], pos + window)
+                for r, p, x, i, j in zip(row.tolist(), pos.tolist(), key.view(np.int64).tolist(), low.tolist(), high.tolist(), strict=True):
+                    begin = int(off[r])
+                    found[r].append({"pos": p - begin, "key": x, "first": i - begin, "around": joined_words(buf, s[i:j], e[i:j])})
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(off), pa.int64()), pa.array(found, kind)], [f.name for f in schema])
+
+    return src.select("id", "a", "b", "text").mapInArrow(run, schema)
+
+
+def prefixes(windows: DataFrame, src: DataFrame, sizes: list[int], shingle: int) -> DataFrame:
+    """win, k, place, key: each window's rarest shingle in the corpus, the first of several."""
+    places = kept(window_shingles(windows, shingle))
+    counts = kept(corpus_counts(src, sizes, Marks(places.select("key").distinct())))
+    ranked = dealt_join(places, counts, ["key"], "left")
+    best = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "place", "key")).alias("best")
+    return kept(ranked.groupBy("win", "k").agg(best).select("win", "k", "best.place", "best.key"))
+
+
+def found_windows(docs: DataFrame, items: DataFrame, window: int, shingle: int, id_col: str, text_col: str, item_cols: tuple[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of docs (id, a, b: hashes of id and text, n_words), verified occurrences (a, b, start, k, win), and win, item."""
+    src = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"))
+    src = src.select("id", F.xxhash64("id").alias("a"), F.xxhash64("text").alias("b"), "text")
+    every = kept(item_windows(items, item_cols, window))
+    windows = kept(every.select("win", "k").distinct())
+    sizes = [r[0] for r in windows.select(F.least("k", F.lit(shingle)).alias("k")).distinct().collect()]  # as many as words in a shingle
+    prefix = prefixes(windows, src, sizes, shingle)
+    rows = kept(candidates(src, sizes, Marks(prefix.select("key").distinct()), window))
+    one = rows.where(F.size("cands") > 0).dropDuplicates(["a", "b"]).select("a", "b", "n_words", F.inline("cands"))
+    met = dealt_join(kept(one), prefix, ["key"]).withColumn("start", F.col("pos") - F.col("place"))
+    fits = met.where((F.col("start") >= 0) & (F.col("start") + F.col("k") <= F.col("n_words")))
+    same = F.array_join(F.slice(F.split("around", " "), F.col("start") - F.col("first") + 1, F.col("k")), " ") == F.col("win")
+    hits = kept(fits.where(same).select("a", "b", "start", "k", "win"))
+    return rows.drop("cands"), hits, every.where("item is not null").select("win", "item").distinct()
+
+
+def covered_words(hits: DataFrame) -> DataFrame:
+    """a, b, n_hit and hit_spans (maximal, in order) of each document with hits."""
+    lists = hits.groupBy("a", "b").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("k")).alias("end")))).alias("s"))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans, n = [], []
+            for some in batch.column(2).to_pylist():
+                out: list[dict] = []
+                for x in some:
+                    if out and x["start"] <= out[-1]["end"]:
+                        out[-1]["end"] = max(out[-1]["end"], x["end"])
+                    else:
+                        out.append(dict(x))
+                spans.append(out)
+                n.append(sum(x["end"] - x["start"] for x in out))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(spans, kind)], ["a", "b", "n_hit", "hit_spans"])
+
+    return lists.mapInArrow(run, "a long, b long, n_hit long, hit_spans array<struct<start: int, end: int>>")
+
+
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_cols: tuple[str, str] = ("item_id", "text")) -> DataFrame:
+    """One row a document: id, n_words, n_hit, n_items, item_ids (sorted as strings), hit_spans (word positions [start, end)),
+    contaminated.
 
+    Words are runs of digits, letters and characters beyond ASCII, A-Z lower-cased. Every window of ``window`` consecutive words
+    of an item (the whole item if it has fewer, but not none) that occurs in the document hits its words there. Null texts have
+    no words and null item texts no windows; an item without an id hits words, but is not named or counted. Items that share an
+    id count once. Document ids may be null or repeat: each row is judged by its own text. Empty documents give no rows, empty
+    items no hits. Other columns are left aside.
+    """
+    rows, hits, named = found_windows(docs, items, window, shingle, id_col, text_col, item_cols)
+    each = dealt_join(kept(hits.select("a", "b", "win").distinct()), named, ["win"]).groupBy("a", "b").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    told = covered_words(hits).join(each, ["a", "b"], "left")
+    out = dealt_join(rows, kept(told), ["a", "b"], "left")
+    ids, n_hit = F.coalesce("item_ids", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0)).cast("long")
+    spans = F.coalesce("hit_spans", F.array().cast("array<struct<start: int, end: int>>"))
+    return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), spans.alias("hit_spans"), (n_hit > 0).alias("contaminated"))
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", item_cols: tuple[str, str] = ("item_id", "text")) -> DataFrame:
+    """The rows of docs that ``contamination`` does not call contaminated, all columns as they are. Rows without words stay."""
+    _, hits, _ = found_windows(docs, items, window, shingle, id_col, text_col, item_cols)
+    gone = kept(hits.select(F.col("a").alias("_a"), F.col("b").alias("_b")).distinct())
+    named = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64(docs[id_col]).alias("_a"), F.xxhash64(docs[text_col].cast("string")).alias("_b"))
+    return named.join(gone, ["_a", "_b"], "left_anti").select("_row.*")

@@ -80,10 +80,12 @@ def test_passages(odd, empty):
     assert by[None]["n_removed"] == 0 and by[3]["kept_text"] == "" and by[6]["n_removed"] == 0
 
 
-def test_decontaminate(odd, empty, spark):
+def test_decontaminate(odd, empty, spark, monkeypatch):
     items = spark.createDataFrame([(1, "b C d e f g h i j k l"), (2, None), (3, "é"), (3, "é"), (4, ""), (None, "ü"), (5, "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9")], "item_id long, text string")
-    for size in (1, 1_000_000):
-        got = clash(odd).transform(lambda d: decontaminate.contamination(d, items, block_words=size)).collect()  # noqa: B023
+    for bits in (16, 12):  # fewer bits: much passes the map that is no shingle of an item
+        monkeypatch.setattr(decontaminate, "LEAST_BITS", bits)
+        monkeypatch.setattr(decontaminate, "MOST_BITS", bits)
+        got = clash(odd).transform(lambda d: decontaminate.contamination(d, items)).collect()
         by = {r["doc_id"]: r for r in got}
         assert len(got) == 9
         assert by[1]["n_hit"] == 11 and by[1]["item_ids"] == ["1"] and by[3]["n_words"] == 0
@@ -91,6 +93,8 @@ def test_decontaminate(odd, empty, spark):
     nothing = items.limit(0)
     assert {r["n_hit"] for r in decontaminate.contamination(odd, nothing).collect()} == {0}
     assert not decontaminate.contamination(empty, items).collect()
+    left = decontaminate.clean(clash(odd), items)
+    assert {r["doc_id"] for r in left.collect()} == {3, 4, 5} and left.columns == clash(odd).columns
 
 
 def test_tokens(odd, empty):
@@ -282,8 +286,8 @@ def test_near_random_ids_that_repeat(spark):
 
 def test_near_in_large_mixed_buckets(spark, monkeypatch):
     """Boilerplate that all texts share, in buckets larger than a block."""
-    monkeypatch.setattr(near, "SKETCH_BLOCK", 32)
-    monkeypatch.setattr(near, "TEXT_BLOCK", 8)
+    monkeypatch.setattr(near, "BLOCK", 8)
+    monkeypatch.setattr(near, "WIDE_BLOCK", 16)
     rnd = random.Random(21)
     common = [f"c{i}" for i in range(120)]
     rows, some = [], None
