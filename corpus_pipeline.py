@@ -36,11 +36,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
-    rows = docs.select(F.struct("doc_id", *COLUMNS[2:]).alias("row"), "text")
+    """Drops documents that hold a window of a benchmark item. Null ids, empty and null texts and repeated rows stay, each by its
+    own text."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(rows, items, id_col="row", keep_text=True).where("not contaminated")
-    return found.select("row.doc_id", "text", *[f"row.{c}" for c in COLUMNS[2:]])
+    return decontaminate.clean(docs.select(*COLUMNS), items).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
