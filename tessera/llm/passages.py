@@ -1,9 +1,9 @@
 """Substring deduplication with suffix automata of reference shards.
 
 A window of 13 words is removed from a document if a document of smaller id has it, too. Reference text is what holds the first
-occurrence of a window that may be repeated; it is cut into shards of bounded size, each shard's suffix automaton is built where
-the documents' matching text arrives, and that text streams through it for matching statistics. Maximal spans whose statistics
-reach the threshold go.
+occurrence of a window that may be repeated; it is cut into shards of bounded size. Each shard's suffix automaton is built once and
+sent to all streams of documents' text that may match the shard; there the text runs through it for matching statistics. Maximal
+spans whose statistics reach the threshold go.
 
 What may be repeated is found without a row for each window: of a window's nine 5-word grams the one of least hash is its anchor,
 so that equal windows have equal anchors wherever they stand, and neighbouring windows mostly share one. An anchor that occurs in
@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .automaton import Suffixes
+from .automaton import Packed, Suffixes
 from .flat import chunks, covered, hash_windows, hash_words, row_sums, strings, window_starts, words
 from .shared import drop, kept
 
 WINDOW, GRAM = 13, 5
 #: Words of reference text in one shard, and of documents that one task streams through it.
-SHARD_WORDS, STREAM_WORDS = 60_000, 400_000
+SHARD_WORDS, STREAM_WORDS = 20_000, 400_000
 PIECE = "id long, th long, start long, text string"
 
 
@@ -109,44 +109,65 @@ def dealt(pieces: DataFrame, window: int, gram: int) -> DataFrame:
     return full.mapInArrow(run, "is_match boolean, owner long, id long, th long, start long, n long, text string")
 
 
+def automata(references: DataFrame) -> DataFrame:
+    """references (shard, text) to shard, automaton (packed): each shard's automaton, built once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, shard = None, Suffixes()
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([shard.packed()], pa.binary())], ["shard", "automaton"])
+        for batch in chunks(batches, "text"):
+            *_, w, h = hashed(batch.column(1))
+            for i, k in enumerate(batch.column(0).to_pylist()):
+                if k != key:
+                    if key is not None:
+                        yield done()
+                    key, shard = k, Suffixes()
+                shard.add(h[w[i] : w[i + 1]].tolist())
+        if key is not None:
+            yield done()
+
+    return references.select("shard", "text").repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, automaton binary")
+
+
 def matched(rows: DataFrame, window: int) -> DataFrame:
     """Streams matching text through its shard's automaton: id, th, start, end (word places) of removed spans, text null; and of
-    maximal runs of windows that the shard does not have, with their text."""
-    # Numbers of shards and of streams follow from sums, so both grow with the text and stay of one size.
+    maximal runs of windows that the shard does not have, with their text.
+
+    Shards have about SHARD_WORDS words, streams STREAM_WORDS; their numbers follow from sums, so both grow with the text and stay
+    of one size. A shard's automaton is sent to each of the shard's streams, to these only.
+    """
     words_in = rows.where("not is_match").agg(F.sum("n")).first()[0] or 0
     shard = F.pmod(F.xxhash64("owner"), F.lit(max(1, -(-words_in // SHARD_WORDS)))).cast("int")
     rows = rows.withColumn("shard", shard)
+    built = kept(automata(rows.where("not is_match")))
     streams = rows.where("is_match").groupBy("shard").agg(F.ceil(F.sum("n") / STREAM_WORDS).cast("int").alias("streams"))
-    rows = rows.join(streams, "shard")
-    both = F.when(F.col("is_match"), F.array(F.pmod(F.xxhash64("id", "start"), F.col("streams")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("streams") - 1))
-    rows = rows.select("shard", F.explode(both).alias("stream"), "is_match", "id", "th", "start", "text")
+    stream = F.pmod(F.xxhash64("id", "start"), F.col("streams")).cast("int").alias("stream")
+    texts = rows.where("is_match").join(streams, "shard").select("shard", stream, F.lit(True).alias("is_match"), "id", "th", "start", "text", F.lit(None).cast("binary").alias("automaton"))
+    sent = built.join(streams, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("streams") - 1)).alias("stream"), F.lit(False).alias("is_match"), "automaton")
+    both = texts.unionByName(sent, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = shard = None
-        for batch in chunks(batches, "text", 1 << 20):
+        shard = None
+        for batch in chunks(batches, "text"):
             buf, s, e, w, h = hashed(batch.column(6))
-            h = h.tolist()
-            keys = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
             found = []
-            for i, (a, b, is_match) in enumerate(keys):
-                if key != (a, b):
-                    key, shard = (a, b), Suffixes()
-                seq = h[w[i] : w[i + 1]]
+            for i, is_match in enumerate(batch.column(2).to_pylist()):
                 if not is_match:
-                    shard.add(seq)
+                    shard = Packed(batch.column(7)[i].as_py())
                     continue
-                has = np.array(shard.statistics(seq)[window - 1 :]) >= window
+                has = np.array(shard.statistics(h[w[i] : w[i + 1]])[window - 1 :]) >= window
                 edge = np.flatnonzero(np.concatenate(([True], has[1:] != has[:-1], [True])))
                 for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                     found.append((i, x, y + window - 1, None if has[x] else bytes(buf[s[w[i] + x] : e[w[i] + y + window - 2]]).decode()))
             if found:
                 i, x, y, text = zip(*found, strict=True)
                 at = np.array(i)
-                start = batch.column(5).to_numpy()[at]
-                yield pa.RecordBatch.from_arrays([pa.array(batch.column(3).to_numpy()[at]), pa.array(batch.column(4).to_numpy()[at]), pa.array(start + x), pa.array(start + y), pa.array(text, pa.string())], ["id", "th", "start", "end", "text"])
+                start = batch.column(5).to_numpy(zero_copy_only=False)[at].astype(np.int64)
+                keys = [batch.column(c).take(pa.array(at)) for c in (3, 4)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(start + x), pa.array(start + y), pa.array(text, pa.string())], ["id", "th", "start", "end", "text"])
 
-    # Reference text comes before what is matched.
-    return rows.repartition("shard", "stream").sortWithinPartitions("shard", "stream", "is_match").mapInArrow(run, "id long, th long, start long, end long, text string")
+    # The automaton comes before what is matched.
+    return both.repartition("shard", "stream").sortWithinPartitions("shard", "stream", "is_match").mapInArrow(run, "id long, th long, start long, end long, text string")
 
 
 def repeated(pieces: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:

@@ -350,11 +350,14 @@ def test_shards_and_streams_do_not_matter(spark, monkeypatch):
 
 
 def test_automaton():
-    from tessera.llm.automaton import Suffixes
+    import numpy as np
+
+    from tessera.llm.automaton import Packed, Suffixes
 
     rnd = random.Random(1)
-    refs = [[rnd.randint(0, 2) for _ in range(rnd.randint(1, 30))] for _ in range(20)]
+    refs = [[rnd.randint(0, 2) << 60 | 7 for _ in range(rnd.randint(1, 30))] for _ in range(20)]
     subs = {tuple(r[a:b]) for r in refs for a in range(len(r)) for b in range(a + 1, len(r) + 1)}
-    s, text = Suffixes(refs), [rnd.randint(0, 3) for _ in range(300)]
+    text = [rnd.randint(0, 3) << 60 | 7 for _ in range(300)]
     want = [max((n for n in range(1, i + 2) if tuple(text[i + 1 - n : i + 1]) in subs), default=0) for i in range(len(text))]
-    assert s.statistics(text) == want
+    assert Packed(Suffixes(refs).packed()).statistics(np.array(text, np.uint64)) == want
+    assert Packed(Suffixes().packed()).statistics(np.array(text, np.uint64)) == [0] * len(text)
