@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordered import running
 from .shared import kept
 
 #: Hex digits of the hash that each level of the histogram adds.
@@ -31,26 +32,21 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     Sources by code point, null last, take the weights in turn. Targets are the weights' shares of ``share`` times all sizes,
     but no more than ``most`` times the source's own size; what exceeds that is shared anew by weight among the others. That
     fixed point is found in one pass: in order of limit / weight, sources are full as long as an equal level would exceed their
-    limit. The number of sources is small beside that of rows (they are categories), so their windows have no partition key.
+    limit. Running sums over the sources are taken by parts, so there may be any number of them.
     """
     by = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*map(F.lit, weights)), (nth % len(weights) + 1).cast("int")).cast("long")
+    by = running(by, [F.col("source").asc_nulls_last()], {"nth": F.lit(1)})
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("nth") - 1) % len(weights) + 1).cast("int")).cast("long")
     full = F.col("source_size") * most
-    w = by.select("source", "source_size", weight.alias("weight"))
-    order = Window.orderBy((full / F.col("weight")).asc(), F.col("source").asc_nulls_last())
-    everything = Window.partitionBy()
-    w = w.select(
-        "*",
-        full.alias("full"),
-        F.coalesce(F.sum(full).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-        F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)).alias("rest"),
-        F.sum("source_size").over(everything).alias("total"),
-    )
-    level = (F.lit(float(share)) * F.col("total") - F.col("before")) / F.col("rest")
-    w = w.withColumn("level", F.max(F.when(level * F.col("weight") <= F.col("full"), level)).over(everything))
+    w = by.select("source", "source_size", weight.alias("weight"), full.alias("full"))
+    w = running(w, [(F.col("full") / F.col("weight")).asc(), F.col("source").asc_nulls_last()], {"full_upto": F.col("full"), "weight_upto": F.col("weight")})
+    sums = w.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weights"))
+    w = kept(w.crossJoin(F.broadcast(sums)))  # one row
+    rest = F.col("weights") - F.col("weight_upto") + F.col("weight")
+    level = (F.lit(float(share)) * F.col("total") - (F.col("full_upto") - F.col("full"))) / rest
+    found = w.agg(F.max(F.when(level * F.col("weight") <= F.col("full"), level)).alias("level"))
     target = F.least(F.col("full").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.col("full").cast("double")))
-    return w.select("source", F.col("source_size"), target.alias("target"))
+    return w.crossJoin(F.broadcast(found)).select("source", "source_size", target.alias("target"))
 
 
 def row_hash(doc_id: Column, text: Column) -> Column:
@@ -77,9 +73,10 @@ def mix_sized(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = goal.withColumn("times", times).withColumn("rest", F.col("target") - F.col("times") * F.col("source_size"))
     plan = plan.withColumn("below", F.lit("")).select("source", "source_size", "target", "times", "rest", "below")
+    plan = kept(plan)
     for level in range(levels):
         plan = refine(sized, plan, DIGITS * (level + 1))
-    out = sized.alias("s").join(F.broadcast(plan.alias("p")), F.col("s.source").eqNullSafe(F.col("p.source")), "left")
+    out = sized.alias("s").join(plan.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")), "left")
     more = (F.col("s.hash") < F.col("p.below")).cast("long")
     return out.select("s.*", "p.source_size", "p.target", (F.col("s.size") * (F.col("p.times") + more)).alias("taken"))
 
@@ -88,16 +85,16 @@ def refine(sized: DataFrame, plan: DataFrame, digits: int) -> DataFrame:
     """plan with thresholds of ``digits`` hex digits: rows of a lower hash fit the budget, those of the bucket ``below`` names
     may not. Only rows in the bucket named so far are summed; rest is the budget that is left for it."""
     had = digits - DIGITS
-    # One row a source: the number of sources bounds what is broadcast.
-    at = F.broadcast(plan.select(F.col("source").alias("of"), F.col("below").alias("bucket")))
+    # One row a source, of a written table: Spark broadcasts it or not by its size.
+    at = plan.select(F.col("source").alias("of"), F.col("below").alias("bucket"))
     inside = sized.join(at, sized["source"].eqNullSafe(F.col("of")) & (F.substring(sized["hash"], 1, had) == F.col("bucket")))
     buckets = inside.groupBy("source", F.substring("hash", 1, digits).alias("next")).agg(F.sum("size").alias("n"))
     run = F.sum("n").over(Window.partitionBy("source").orderBy("next"))
     found = buckets.select("source", "next", (run - F.col("n")).alias("before"), run.alias("upto")).alias("b")
-    p = F.broadcast(plan.alias("p"))
+    p = plan.alias("p")
     crossing = found.join(p, F.col("b.source").eqNullSafe(F.col("p.source")) & (F.col("b.before") <= F.col("p.rest")) & (F.col("b.upto") > F.col("p.rest")))
     nexts = crossing.select(F.col("p.source").alias("of"), F.col("b.next").alias("next"), F.col("b.before").alias("used")).alias("n")
-    joined = plan.alias("p").join(F.broadcast(nexts), F.col("p.source").eqNullSafe(F.col("n.of")), "left")
+    joined = plan.alias("p").join(nexts, F.col("p.source").eqNullSafe(F.col("n.of")), "left")
     # No bucket crosses where rest covers all of them: every row of the bucket is below its successor.
     past = F.concat(F.col("p.below"), F.lit("~"))
     cut = kept(joined.select("p.source", "p.source_size", "p.target", "p.times", (F.col("p.rest") - F.coalesce(F.col("n.used"), F.lit(0))).alias("rest"), F.coalesce(F.col("n.next"), past).alias("below")))

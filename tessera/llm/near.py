@@ -18,11 +18,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components, merged
 from .flat import LOWER, chunks, hash_windows, hash_words, mix, ranges, strings, window_starts, words
-from .graph import components
 from .quality import later_in_row
 from .shared import drop, kept
 
@@ -33,8 +33,9 @@ BANDS, BAND_ROWS = 32, 4
 DEVIATIONS = 4.3
 KEYS = ["n", "set_a", "set_b"]
 _CELL_BITS = 20
-#: Classes of one bucket whose sketches, and whose texts, are compared at once where a bucket holds several components.
-SKETCH_BLOCK, TEXT_BLOCK = 4096, 512
+#: Where a bucket holds several components, its classes are compared in pairs of blocks: BLOCK classes each, or if that makes more
+#: than BLOCKS blocks, larger ones up to WIDE_BLOCK (sketches only; of texts no more than two blocks come together).
+BLOCK, BLOCKS, WIDE_BLOCK = 256, 16, 4096
 
 
 @lru_cache(maxsize=1)
@@ -173,9 +174,9 @@ def grouped(docs: DataFrame, percent: int, id_col: str, text_col: str, by_text:
     # The texts of all classes that have a candidate, picked once: one row each. The hint keeps one plan for every size of input.
     named = classes.join(shared.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("class"), F.col("doc").alias("id"), "th").hint("merge")
     texts = kept(src.join(named, ["id", "th"]).dropDuplicates(["class"]).select(F.col("class").alias("id"), "text"))
-    links = linked(shared, classes, texts, percent)
-    found = components(links if by_text else links.unionByName(of_one_id(full, classes)))
-    drop(shared, texts, links)
+    found, more = linked(shared, classes, texts, percent)
+    found = kept(merged(found, more if by_text else more.unionByName(of_one_id(full, classes))))
+    drop(shared, texts, more)
     least = found.join(classes.select("id", "doc"), "id").groupBy("component").agg(F.min("doc").alias("least"))
     found = found.join(least, "component")
     placed = classes.where("size > 1").unionByName(classes.where("size = 1").join(found.select("id"), "id", "left_semi").select(*classes.columns))
@@ -232,18 +233,19 @@ def survivors(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", t
     return once.unionByName(named.join(again, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select("_row.*"))
 
 
-def linked(shared: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Verified links that connect all classes that any link connects: the stars, and what connects components within a bucket."""
+def linked(shared: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The components (id, component) of the stars' verified links; and links that connect whatever else any link connects."""
     links = verified(plausible(stars(shared), classes, percent), texts, percent)
-    rows = mixed(shared, links)
-    links = links.unionByName(crossing(rows, classes, texts, percent))
-    drop(rows)
-    return links
+    found = components(links)
+    rows = mixed(shared, found)
+    more = crossing(rows, classes, texts, percent)
+    drop(links, rows)
+    return found, more
 
 
-def mixed(shared: DataFrame, links: DataFrame) -> DataFrame:
+def mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
     """bucket, id, component, rows (of the bucket) for the buckets that hold several components."""
-    rows = shared.join(components(links), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    rows = shared.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     several = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows"))
     return kept(rows.join(several.where("x < y").select("bucket", "rows"), "bucket"))
 
@@ -251,26 +253,26 @@ def mixed(shared: DataFrame, links: DataFrame) -> DataFrame:
 def crossing(rows: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Verified links (a < b) that connect what is connected in the buckets of rows (bucket, id, component, rows).
 
-    First the sketches of a bucket's classes are compared, in pairs of blocks of SKETCH_BLOCK. Only classes that have a plausible
+    First the sketches of a bucket's classes are compared, in pairs of blocks. Only classes that have a plausible
     partner of another component in a pair of blocks come again, with their texts; these are compared in pairs of smaller blocks,
     and plausible pairs are verified, but for those that links of the same pair of blocks have connected already.
     """
     inside = rows.withColumn("key", F.col("bucket")).join(classes.select("id", F.col("n").alias("size"), "bands", "sketch"), "id")
     schema = "key long, p int, q int, own int, bucket long, id long, component long, size long, bands array<long>, sketch binary"
     names = [x.split()[0] for x in schema.split(", ")]
-    some = kept(in_blocks(paired(inside, SKETCH_BLOCK, names), lambda t: [t.take(with_partner(t, percent))], names, schema))
+    blocks = F.greatest(F.least(F.ceil(F.col("rows") / BLOCK), F.lit(BLOCKS)), F.ceil(F.col("rows") / WIDE_BLOCK))
+    some = kept(in_blocks(paired(inside, blocks, names), lambda t: [t.take(with_partner(t, percent))], names, schema))
     again = some.withColumn("key", F.xxhash64("key", "p", "q"))
     sizes = again.groupBy("key").agg(F.count("*").alias("rows"))
-    again = paired(again.join(sizes, "key"), TEXT_BLOCK, names).join(texts, "id").select(*names, "text")
+    again = paired(again.join(sizes, "key"), F.ceil(F.col("rows") / (2 * BLOCK)), names).join(texts, "id").select(*names, "text")
     links = kept(in_blocks(again, lambda t: [spanning(t, percent)], ["a", "b"], "a long, b long").distinct())
     drop(some)
     return links
 
 
-def paired(rows: DataFrame, block: int, names: list[str]) -> DataFrame:
-    """rows (key, rows: of the key) dealt to blocks of at most about ``block`` rows, once for each pair of blocks p <= q."""
-    n = F.ceil(F.col("rows") / block).cast("int")
-    dealt = rows.withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+def paired(rows: DataFrame, blocks: Column, names: list[str]) -> DataFrame:
+    """rows (key, rows: of the key) dealt to so many blocks of the key, once for each pair of blocks p <= q."""
+    dealt = rows.withColumn("n", blocks.cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return dealt.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).select(*names)
 

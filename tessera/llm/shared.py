@@ -1,39 +1,5 @@
-"""The folder that driver and executors share, and tables written there to cut lineage."""
+"""The folder that driver and executors share, and tables written there (see plans.shared)."""
 
-from __future__ import annotations
+from ..plans.shared import drop, folder, kept
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    """A new folder's URI below spark.checkpoint.dir. Where that is unset (tests), one of our own is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        top = held.get() if held.isDefined() else None
-    if not top:
-        top = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(top)
-    if ":" not in top.split("/")[0]:
-        top = "file://" + top
-    return f"{top.rstrip('/')}/tessera-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: computed once, and safe when an executor is lost."""
-    path = folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop(*frames: DataFrame) -> None:
-    """Delete tables of ``kept`` that nothing will read again."""
-    for df in frames:
-        spark = df.sparkSession
-        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if "/tessera-" in name:
-                path = spark._jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["drop", "folder", "kept"]

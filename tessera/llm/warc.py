@@ -23,9 +23,11 @@ from .shared import folder, kept
 
 #: Fixed by the format: the magic number of the skippable frame for dictionaries, and record line ends.
 SKIPPABLE, EOL = 0x184D2A5D, b"\r\n"
+#: A header of our own: the URI held line ends and is escaped, so that reading back can undo it.
+ESCAPED = "X-URI-Escaped"
 ARCHIVE_BYTES, DICTIONARY_BYTES, LEVEL = 16 << 20, 112_640, 3
-#: Records of an archive that train its dictionary: evenly spaced ones, up to so many bytes.
-TRAIN_BYTES = 4 << 20
+#: What trains an archive's dictionary: pieces of its records, evenly spaced, up to so many bytes together.
+TRAIN_BYTES, PIECE_BYTES = 4 << 20, 128 << 10
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -38,8 +40,10 @@ def record(page_id, url: str | None, payload: bytes, kind: str, refers_to, diges
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + payload if kind == "response" else http
     head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"), ("WARC-Date", date)]
-    if url is not None:
-        head.append(("WARC-Target-URI", url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if "\r" in url or "\n" in url else url))
+    if url is not None and ("\r" in url or "\n" in url):
+        head += [("WARC-Target-URI", url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")), (ESCAPED, "yes")]
+    elif url is not None:
+        head.append(("WARC-Target-URI", url))
     head.append(("WARC-Payload-Digest", f"sha1:{digest}"))
     if kind == "revisit":
         head += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
@@ -47,16 +51,31 @@ def record(page_id, url: str | None, payload: bytes, kind: str, refers_to, diges
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + EOL + block + EOL + EOL
 
 
+def samples(records: list[bytes], limit: int = TRAIN_BYTES, piece: int = PIECE_BYTES) -> list[bytes]:
+    """Pieces of the records, evenly spaced over all of their bytes, of about ``limit`` bytes together."""
+    step = max(1, -(-sum(map(len, records)) // limit))
+    out, passed, due = [], 0, 0
+    for r in records:
+        for a in range(0, len(r), piece):
+            part = r[a : a + piece]
+            passed += len(part)
+            if passed > due:
+                out.append(part)
+                due += step * len(part)
+    return out
+
+
 def dictionary(records: list[bytes], size: int = DICTIONARY_BYTES):
-    """A dictionary trained on the archive's records; where they are too few to train on, their beginning is the dictionary."""
+    """A dictionary trained on the archive's records; None where they are too few or too small to train one."""
     import zstandard
 
-    total = sum(map(len, records))
-    step = max(1, -(-total // TRAIN_BYTES))
-    try:
-        return zstandard.train_dictionary(min(size, max(1024, total // 8)), [r[: 128 << 10] for r in records[::step]], d=8, k=256, f=18, accel=4)
-    except zstandard.ZstdError:
-        return zstandard.ZstdCompressionDict(b"".join(r[:2048] for r in records[:50])[: size // 4] or b"WARC/1.1\r\n")
+    some = samples(records)
+    for pieces in (some, [r[a : a + 256] for r in some for a in range(0, len(r), 256)]):
+        try:
+            return zstandard.train_dictionary(min(size, max(1024, sum(map(len, records)) // 8)), pieces, d=8, k=256, f=18, accel=4)
+        except zstandard.ZstdError:
+            continue
+    return None
 
 
 def write_archive(fs: pafs.FileSystem, path: str, records: list[bytes], level: int = LEVEL) -> int:
@@ -65,25 +84,39 @@ def write_archive(fs: pafs.FileSystem, path: str, records: list[bytes], level: i
 
     trained = dictionary(records)
     press = zstandard.ZstdCompressor(level=level, dict_data=trained, write_checksum=True, write_content_size=True)
-    raw, size = trained.as_bytes(), 0
+    raw, size = trained.as_bytes() if trained else b"", 0
+    lead = [struct.pack("<II", SKIPPABLE, len(raw)) + raw] if trained else []
     with fs.open_output_stream(f"{path}.part", compression=None) as out:
-        for part in (struct.pack("<II", SKIPPABLE, len(raw)) + raw, *(press.compress(r) for r in records)):
+        for part in (*lead, *(press.compress(r) for r in records)):
             out.write(part)
             size += len(part)
     fs.move(f"{path}.part", path)
     return size
 
 
+class Joined:
+    """What was read already, and the rest of the stream."""
+
+    def __init__(self, begin: bytes, rest):
+        self.begin, self.rest = begin, rest
+
+    def read(self, n: int = -1) -> bytes:
+        out, self.begin = self.begin, b""
+        return out or self.rest.read(n)
+
+
 def read_archive(fs: pafs.FileSystem, path: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each record, as a stream."""
     import zstandard
 
     with fs.open_input_stream(path, compression=None, buffer_size=1 << 16) as f:
-        magic, n = struct.unpack("<II", f.read(8))
-        if magic != SKIPPABLE:
-            raise ValueError(f"{path} has no dictionary")
-        trained = zstandard.ZstdCompressionDict(f.read(n))
-        reader = zstandard.ZstdDecompressor(dict_data=trained).stream_reader(f, read_across_frames=True)
+        begin = f.read(8)
+        magic, n = struct.unpack("<II", begin)
+        if magic == SKIPPABLE:
+            source, trained = f, zstandard.ZstdCompressionDict(f.read(n))
+        else:
+            source, trained = Joined(begin, f), None
+        reader = zstandard.ZstdDecompressor(dict_data=trained).stream_reader(source, read_across_frames=True)
         held = bytearray()
 
         def more() -> bool:
@@ -165,7 +198,10 @@ def read_back(spark: SparkSession, manifest: DataFrame, id_type: T.DataType | No
                     if head["WARC-Type"] == "response" and (len(payload) != length or base64.b32encode(hashlib.sha1(payload).digest()).decode() != told):
                         raise ValueError(f"{uri}: payload and headers of {head['WARC-Record-ID']} differ")
                     name = lambda x: x.removeprefix("<urn:page:").removesuffix(">") or None
-                    out.append((name(head["WARC-Record-ID"]), head.get("WARC-Target-URI"), length, told, head["WARC-Type"], name(head.get("WARC-Refers-To", ""))))
+                    url = head.get("WARC-Target-URI")
+                    if ESCAPED in head:
+                        url = url.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
+                    out.append((name(head["WARC-Record-ID"]), url, length, told, head["WARC-Type"], name(head.get("WARC-Refers-To", ""))))
                     if len(out) >= 5000:
                         yield rows(out)
                         out = []

@@ -303,7 +303,7 @@ def test_near_in_large_mixed_buckets(spark, monkeypatch):
 
 
 def test_components_of_hot_nodes(spark, monkeypatch):
-    from tessera.llm import graph
+    from tessera.operators import components as graph
 
     monkeypatch.setattr(graph, "PART", 5)
     rnd = random.Random(6)
