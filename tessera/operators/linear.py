@@ -18,14 +18,16 @@ def moments(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray]:
     return row["n"], np.array([row[f"m{i}"] or 0.0 for i in range(len(cols))])
 
 
-def summed(df: DataFrame, cols: list[Column], work: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """The sum of work(x) over all batches x of the columns (rows by columns, doubles; rows with a null are left out).
+def summed(df: DataFrame, cols: list[Column], work: Callable[[np.ndarray], np.ndarray], missing: bool = False) -> np.ndarray:
+    """The sum of work(x) over all batches x of the columns (rows by columns, doubles; rows with a null are left out, or with
+    ``missing`` hold NaN).
 
     Each task adds up one vector, whatever its rows; vectors are then added up in about the square root of so many tasks, so
     that the driver gets few of them. An empty table gives work(no rows).
     """
     names = [f"c{i}" for i in range(len(cols))]
-    rows = df.select(*[c.cast("double").alias(n) for c, n in zip(cols, names, strict=True)]).dropna()
+    rows = df.select(*[c.cast("double").alias(n) for c, n in zip(cols, names, strict=True)])
+    rows = rows if missing else rows.dropna()
 
     def batches(vectors: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         total = None

@@ -7,9 +7,15 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import combinations, combinations_with_replacement
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.cut import cut
+from .linear import summed
+from .ordered import running
+from .quantiles import modes, quantiles
+
 
 def real(c: str) -> Column:
     """A column as a double, NaN as NULL."""
@@ -110,8 +116,8 @@ class RobustScaler(_Affine):
     def fit(self, df):
         q = [self.quantile_range[0] / 100, 0.5, self.quantile_range[1] / 100]
         self.center_, self.range_ = {}, {}
-        for c, s in _stats(df, self.cols, {"q": lambda v: F.percentile(v, q)}).items():
-            a, m, b = s["q"] or (0.0, 0.0, 0.0)
+        for c, found in zip(self.cols, quantiles(df, [real(c) for c in self.cols], q), strict=True):
+            a, m, b = (v or 0.0 for v in found)
             self.center_[c] = m if self.with_centering else 0.0
             self.range_[c] = ((b - a) or 1.0) if self.with_scaling else 1.0
         return self
@@ -190,8 +196,8 @@ class PolynomialFeatures(Transformer):
 
 @dataclass
 class PowerTransformer(Transformer):
-    """Yeo-Johnson or Box-Cox with the lambda of greatest likelihood on a grid of 100 from -2 to 2, then standardised. One
-    aggregate has all lambdas of all columns."""
+    """Yeo-Johnson or Box-Cox with the lambda of greatest likelihood on a grid of 100 from -2 to 2, then standardised. Two
+    passes have all lambdas of all columns."""
 
     cols: list[str]
     method: str = "yeo-johnson"
@@ -208,19 +214,44 @@ class PowerTransformer(Transformer):
         down = -F.log1p(-F.least(x, F.lit(0.0))) if abs(lam - 2) < 1e-10 else -(F.pow(1 - F.least(x, F.lit(0.0)), F.lit(2 - lam)) - 1) / (2 - lam)
         return F.when(x >= 0, up).when(x.isNotNull(), down)
 
-    def likelihoods(self, df: DataFrame, c: str) -> list[float]:
-        x = real(c)
-        jacobian = F.ln(x) if self.method == "box-cox" else F.signum(x) * F.log1p(F.abs(x))
-        row = df.agg(F.count(x).alias("n"), F.sum(jacobian).alias("j"), *[F.var_pop(self.power(x, lam)).alias(f"v{i}") for i, lam in enumerate(self.lambdas())]).first()
-        import math
-
-        return [-0.5 * row["n"] * math.log(max(row[f"v{i}"] or 0.0, 1e-300)) + (lam - 1) * (row["j"] or 0.0) for i, lam in enumerate(self.lambdas())]
+    def _powers(self, x: np.ndarray, lam: float) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if self.method == "box-cox":
+                return np.log(x) if abs(lam) < 1e-10 else (x**lam - 1) / lam
+            up = np.log1p(np.maximum(x, 0)) if abs(lam) < 1e-10 else ((np.maximum(x, 0) + 1) ** lam - 1) / lam
+            down = -np.log1p(-np.minimum(x, 0)) if abs(lam - 2) < 1e-10 else -((1 - np.minimum(x, 0)) ** (2 - lam) - 1) / (2 - lam)
+        return np.where(x >= 0, up, down)
+
+    def likelihoods(self, df: DataFrame) -> np.ndarray:
+        """One row a column, one entry a lambda. Two passes for all of them: means, then squares about the means."""
+        lams, k = self.lambdas(), len(self.cols)
+        x = [real(c) for c in self.cols]
+
+        def first(v: np.ndarray) -> np.ndarray:
+            rows = []
+            for c in range(k):
+                y = v[~np.isnan(v[:, c]), c]
+                jacobian = np.log(y) if self.method == "box-cox" else np.sign(y) * np.log1p(np.abs(y))
+                rows.append([len(y), jacobian.sum(), *[self._powers(y, lam).sum() for lam in lams]])
+            return np.array(rows, float).ravel()
+
+        sums = summed(df, x, first, missing=True).reshape(k, -1)
+        n = np.maximum(sums[:, :1], 1)
+        mean = sums[:, 2:] / n
+
+        def second(v: np.ndarray) -> np.ndarray:
+            out = np.zeros((k, len(lams)))
+            for c in range(k):
+                y = v[~np.isnan(v[:, c]), c]
+                out[c] = [((self._powers(y, lam) - m) ** 2).sum() for lam, m in zip(lams, mean[c], strict=True)]
+            return out.ravel()
+
+        var = summed(df, x, second, missing=True).reshape(k, -1) / n
+        return -0.5 * sums[:, :1] * np.log(np.maximum(np.nan_to_num(var), 1e-300)) + (np.array(lams) - 1) * sums[:, 1:2]
 
     def fit(self, df):
-        self.lambda_ = {}
-        for c in self.cols:
-            ll = self.likelihoods(df, c)
-            self.lambda_[c] = self.lambdas()[ll.index(max(ll))]
+        best = self.likelihoods(df).argmax(axis=1)
+        self.lambda_ = {c: self.lambdas()[i] for c, i in zip(self.cols, best.tolist(), strict=True)}
         if self.standardize:
             self.scaler_ = StandardScaler(self.cols).fit(self._powered(df))
         return self
@@ -233,8 +264,21 @@ class PowerTransformer(Transformer):
         return self.scaler_.transform(out) if self.standardize else out
 
 
+#: A one-hot table has a column for each category, so these are named in the plan; more of them are an error.
+MOST_CATEGORIES = 4096
+
+
 def _categories(df: DataFrame, c: str) -> list:
-    return [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).collect()]
+    some = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().limit(MOST_CATEGORIES + 1).collect()]
+    if len(some) > MOST_CATEGORIES:
+        raise ValueError(f"{c} has more than {MOST_CATEGORIES} categories: encode it by LabelEncoder or OrdinalEncoder")
+    return sorted(some)
+
+
+def _numbered(df: DataFrame, c: str) -> DataFrame:
+    """_value, _index: the sorted distinct values from 0, as a table on the executors."""
+    values = df.select(F.col(c).alias("_value")).where("_value is not null").distinct()
+    return cut(running(values, [F.col("_value")], {"_index": F.lit(1)}).select("_value", (F.col("_index") - 1).cast("long").alias("_index")))
 
 
 def _unknown(c: str, known: Column, value: Column) -> Column:
@@ -249,37 +293,55 @@ class LabelEncoder(Transformer):
     output: str = "label"
 
     def fit(self, df):
-        values = _categories(df, self.col)
-        self.classes_ = values
-        kind = df.schema[self.col].dataType.simpleString()
-        self.table_ = df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(values)], f"`{self.col}` {kind}, _index long") if values else None
+        self.table_ = _numbered(df, self.col)
         return self
 
+    @property
+    def classes_(self) -> list:
+        """The values in order, on the driver."""
+        return [r["_value"] for r in self.table_.orderBy("_index").collect()]
+
     def transform(self, df):
-        return df.join(self.table_, self.col, "left").select(*df.columns, _unknown(self.col, F.col("_index").isNotNull(), F.col("_index")).cast("long").alias(self.output))
+        out = df.join(self.table_, df[self.col] == self.table_["_value"], "left")
+        return out.select(*[df[c] for c in df.columns], _unknown(self.col, F.col("_index").isNotNull(), F.col("_index")).cast("long").alias(self.output))
 
     def inverse_transform(self, df):
-        names = self.table_.select(F.col("_index"), F.col(self.col).alias("_value"))
-        return df.join(names, df[self.output] == names["_index"], "left").select(*[c for c in df.columns], F.col("_value").alias(f"{self.col}_inverse"))
+        names = self.table_
+        return df.join(names, df[self.output] == names["_index"], "left").select(*[df[c] for c in df.columns], F.col("_value").alias(f"{self.col}_inverse"))
 
 
 @dataclass
 class OrdinalEncoder(Transformer):
-    """Each column's value to its place among the sorted (or given) categories."""
+    """Each column's value to its place among the sorted (or given) categories, by a join with the table of these."""
 
     cols: list[str]
     categories: str | list[list] = "auto"
 
     def fit(self, df):
-        self.categories_ = [_categories(df, c) for c in self.cols] if self.categories == "auto" else self.categories
+        if self.categories == "auto":
+            self.tables_ = {c: _numbered(df, c) for c in self.cols}
+        else:
+            kind = lambda c: df.schema[c].dataType.simpleString()
+            self.tables_ = {c: df.sparkSession.createDataFrame([(v, i) for i, v in enumerate(k)], f"_value {kind(c)}, _index long") for c, k in zip(self.cols, self.categories, strict=True)}
         return self
 
+    @property
+    def categories_(self) -> list[list]:
+        """The values of each column in order, on the driver."""
+        return [[r["_value"] for r in self.tables_[c].orderBy("_index").collect()] for c in self.cols]
+
+    def _joined(self, df, key: str, value: str):
+        for i, c in enumerate(self.cols):
+            names = self.tables_[c].select(F.col(key).alias(f"_k{i}"), F.col(value).alias(f"_v{i}"))
+            df = df.join(names, F.col(c).cast("long") == F.col(f"_k{i}") if key == "_index" else F.col(c) == F.col(f"_k{i}"), "left").drop(f"_k{i}")
+        return df
+
     def transform(self, df):
-        place = lambda c, cats: F.array_position(F.array(*map(F.lit, cats)), F.col(c))
-        return replaced(df, {c: _unknown(c, place(c, k) > 0, (place(c, k) - 1).cast("double")).cast("double") for c, k in zip(self.cols, self.categories_, strict=True)})
+        new = {c: _unknown(c, F.col(f"_v{i}").isNotNull(), F.col(f"_v{i}").cast("double")).cast("double") for i, c in enumerate(self.cols)}
+        return replaced(self._joined(df, "_value", "_index"), new).select(*df.columns)
 
     def inverse_transform(self, df):
-        return replaced(df, {c: F.get(F.array(*map(F.lit, k)), F.col(c).cast("int")) for c, k in zip(self.cols, self.categories_, strict=True)})
+        return replaced(self._joined(df, "_index", "_value"), {c: F.col(f"_v{i}") for i, c in enumerate(self.cols)}).select(*df.columns)
 
 
 @dataclass
@@ -328,8 +390,9 @@ class SimpleImputer(Transformer):
         if self.strategy == "constant":
             self.statistics_ = {c: self.fill_value for c in self.cols}
         else:
-            pick = {"mean": F.avg, "median": F.median, "most_frequent": lambda v: F.mode(v, True)}[self.strategy]
-            self.statistics_ = {c: s["v"] if s["v"] is not None else 0.0 for c, s in _stats(df, self.cols, {"v": pick}).items()}
+            x = [real(c) for c in self.cols]
+            find = {"mean": lambda: [s["v"] for s in _stats(df, self.cols, {"v": F.avg}).values()], "median": lambda: [q[0] for q in quantiles(df, x, [0.5])], "most_frequent": lambda: modes(df, x)}
+            self.statistics_ = {c: 0.0 if v is None else v for c, v in zip(self.cols, find[self.strategy](), strict=True)}
         return self
 
     def transform(self, df):

@@ -1,18 +1,23 @@
 """Exact decision trees, forests and boosting, grown level by level.
 
 A level is one plan for all nodes of all trees: rows become counts by node, feature and value, running sums over the values give
-every midpoint's gain, and the best split of a node is its row's maximum. Only the splits come to the driver. Prediction is one
-nested expression a tree."""
+every midpoint's gain, and the best split of a node is its row's maximum. Values of one node and feature are dealt to ranges where
+there are many, so no task sorts them all. Only the splits come to the driver. Prediction walks all rows of a batch down a tree at
+once, level by level."""
 
 from __future__ import annotations
 
+import heapq
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.cut import cut
+from . import ordered
 from .linear import with_argmax
 
 TINY = 1e-10
@@ -34,6 +39,63 @@ def variance(sums: list[Column]) -> Column:
     return F.greatest(ss / n - (s / n) * (s / n), F.lit(0.0))
 
 
+def prefix_deviations(y: np.ndarray) -> np.ndarray:
+    """For each prefix of y the sum of distances to its median: two heaps hold the lower and the upper half."""
+    low: list[float] = []
+    high: list[float] = []
+    sums, out = [0.0, 0.0], np.zeros(len(y))
+    for i, v in enumerate(y.tolist()):
+        if low and v < -low[0]:
+            heapq.heappush(low, -v)
+            sums[0] += v
+        else:
+            heapq.heappush(high, v)
+            sums[1] += v
+        if len(low) > len(high):
+            v = -heapq.heappop(low)
+            heapq.heappush(high, v)
+            sums = [sums[0] - v, sums[1] + v]
+        elif len(high) > len(low) + 1:
+            v = heapq.heappop(high)
+            heapq.heappush(low, -v)
+            sums = [sums[0] + v, sums[1] - v]
+        out[i] = sums[1] - sums[0] - high[0] * (len(high) - len(low))
+    return out
+
+
+class Absolute:
+    """The criterion 'mae': mean distance to the median. Medians do not add up, so a node's rows of one feature meet in one task;
+    more than ``max_rows`` of them are an error."""
+
+    max_rows = 2_000_000
+
+    def splits(self, rows: DataFrame, leaf: int) -> DataFrame:
+        most = self.max_rows
+
+        def best(g: pd.DataFrame) -> pd.DataFrame:
+            if len(g) > most:
+                raise ValueError(f"criterion 'mae' takes {most} rows a node at most: use 'mse'")
+            g = g.sort_values(["v", "s1"])
+            v, y, n = g["v"].to_numpy(), g["s1"].to_numpy(), len(g)
+            left, right = prefix_deviations(y), prefix_deviations(y[::-1])[::-1]
+            row = {"tree": g["tree"].iloc[0], "node": g["node"].iloc[0], "f": g["f"].iloc[0], "n": n, "median": float(np.median(y)), "gain": None, "threshold": None}
+            cut_at = np.flatnonzero(v[1:] != v[:-1]) + 1
+            cut_at = cut_at[(cut_at >= leaf) & (n - cut_at >= leaf)]
+            if len(cut_at):
+                gain = np.round(left[-1] / n - (left[cut_at - 1] + right[cut_at]) / n, 12)
+                i = int(gain.argmax())
+                if gain[i] > 1e-12:
+                    row |= {"gain": float(gain[i]), "threshold": float((v[cut_at[i] - 1] + v[cut_at[i]]) / 2)}
+            return pd.DataFrame([row])
+
+        long = rows.select("tree", "node", "s1", F.posexplode("x").alias("f", "v"))
+        found = long.groupBy("tree", "node", "f").applyInPandas(best, "tree int, node long, f int, n long, median double, gain double, threshold double")
+        top = F.min(F.when(F.col("gain").isNotNull(), F.struct((-F.col("gain")).alias("g"), "f", "threshold"))).alias("b")
+        each = found.groupBy("tree", "node").agg(F.max("n").alias("rows"), F.max("median").alias("median"), top)
+        n = F.col("rows").cast("double")
+        return each.select("tree", "node", n.alias("t0"), (n * F.col("median")).alias("t1"), F.lit(0.0).alias("t2"), "rows", (-F.col("b.g")).alias("gain"), F.col("b.f").alias("f"), F.col("b.threshold").alias("threshold"))
+
+
 @dataclass
 class Node:
     value: list[float]
@@ -45,11 +107,6 @@ class Node:
     left: Node | None = None
     right: Node | None = None
 
-    def column(self, x: list[Column], leaf) -> Column:
-        if self.feature < 0:
-            return leaf(self.value)
-        return F.when(x[self.feature] <= self.threshold, self.left.column(x, leaf)).otherwise(self.right.column(x, leaf))
-
     def walk(self):
         yield self
         if self.feature >= 0:
@@ -57,6 +114,40 @@ class Node:
             yield from self.right.walk()
 
 
+def scored(roots: list[Node], x: Column, leaf, weights: Column | None = None) -> Column:
+    """The sum over trees of leaf(value), a list of numbers, of the leaf where each row ends: an array. weights: an array with a
+    factor for each tree."""
+    tables, weighted = [], weights is not None
+    for root in roots:
+        nodes = list(root.walk())
+        at = {id(n): i for i, n in enumerate(nodes)}
+        inner = [n.feature >= 0 for n in nodes]
+        left = np.array([at[id(n.left)] if i else at[id(n)] for n, i in zip(nodes, inner, strict=True)])
+        right = np.array([at[id(n.right)] if i else at[id(n)] for n, i in zip(nodes, inner, strict=True)])
+        feature, threshold = np.array([max(n.feature, 0) for n in nodes]), np.array([n.threshold for n in nodes])
+        tables.append((feature, threshold, left, right, np.array([leaf(n.value) for n in nodes], float)))
+
+    @F.pandas_udf("array<double>")
+    def value(rows: pd.Series, factors: pd.Series) -> pd.Series:
+        if not len(rows):
+            return pd.Series([], dtype=object)
+        v, row = np.stack(rows.to_numpy()).astype(float), np.arange(len(rows))
+        total = 0
+        for t, (feature, threshold, left, right, out) in enumerate(tables):
+            at = np.zeros(len(rows), int)
+            while True:
+                # A missing value goes right, as no comparison with it holds.
+                to = np.where(v[row, feature[at]] <= threshold[at], left[at], right[at])
+                if (to == at).all():
+                    break
+                at = to
+            factor = factors.str[t].to_numpy(float)[:, None] if weighted else 1.0
+            total = total + out[at] * factor
+        return pd.Series(list(total))
+
+    return value(x, F.array().cast("array<double>") if weights is None else weights)
+
+
 @dataclass
 class Grower:
     """Growing of trees over rows with tree (int), w (weight), x (array of features) and the statistics' columns s0, s1, .."""
@@ -72,6 +163,8 @@ class Grower:
 
     def splits(self, rows: DataFrame) -> DataFrame:
         """Of each (tree, node): totals t*, and the best split's gain, f and threshold (null if there is none)."""
+        if isinstance(self.impurity, Absolute):
+            return self.impurity.splits(self._tried(rows), self.min_samples_leaf)
         stats = [f"s{i}" for i in range(self.n_stats)]
         long = rows.select("tree", "node", *stats, F.posexplode("x").alias("f", "v"))
         cells = long.groupBy("tree", "node", "f", "v").agg(*[F.sum(s).alias(s) for s in stats], F.count("*").alias("rows"))
@@ -81,10 +174,7 @@ class Grower:
             searched = cells.join(tried, ["tree", "node", "f"])
         else:
             searched = cells
-        w = Window.partitionBy("tree", "node", "f").orderBy("v")
-        every = Window.partitionBy("tree", "node", "f")
-        run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        c = searched.select("tree", "node", "f", "v", F.lead("v").over(w).alias("next"), *[F.sum(s).over(run).alias(f"l_{s}") for s in stats], *[F.sum(s).over(every).alias(f"t_{s}") for s in stats], F.sum("rows").over(run).alias("lr"), F.sum("rows").over(every).alias("tr"))
+        c = self._running(searched, stats)
         left, total = [F.col(f"l_{s}") for s in stats], [F.col(f"t_{s}") for s in stats]
         right = [t - a for t, a in zip(total, left, strict=True)]
         size = (lambda s: sum(s[1:], s[0])) if self.impurity in (gini, entropy) else (lambda s: s[0])
@@ -96,6 +186,32 @@ class Grower:
         whole = cells.where("f = 0").groupBy("tree", "node").agg(*[F.sum(s).alias(f"t{i}") for i, s in enumerate(stats)], F.sum("rows").alias("rows"))
         return whole.join(best, ["tree", "node"], "left").select(*whole.columns, (-F.col("b.g")).alias("gain"), F.col("b.f").alias("f"), F.col("b.threshold").alias("threshold"))
 
+    def _tried(self, rows: DataFrame) -> DataFrame:
+        if self.max_features and self.max_features < self.n_features:
+            raise ValueError("criterion 'mae' looks at all features")
+        return rows
+
+    def _running(self, cells: DataFrame, stats: list[str]) -> DataFrame:
+        """cells (tree, node, f, v, statistics, rows) with the next value, sums up to v (l_, lr) and of all values (t_, tr)."""
+        keys, names = ["tree", "node", "f"], [*stats, "rows"]
+        parts = math.ceil(cells.count() / ordered.ROWS)
+        if parts <= 1:
+            own, part = cells.withColumn("_part", F.lit(0)), []
+        else:
+            own = cut(cells.repartitionByRange(parts, *keys, "v").withColumn("_part", F.spark_partition_id()))
+            part = ["_part"]
+        w = Window.partitionBy(*keys, *part).orderBy("v")
+        run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        c = own.select(*keys, "_part", "v", F.lead("v").over(w).alias("next"), *[F.sum(s).over(run).alias(f"l_{s}") for s in names], *[] if part else [F.sum(s).over(Window.partitionBy(*keys)).alias(f"t_{s}") for s in names])
+        if part:
+            # One row for each part of a node and feature: what its earlier parts hold, and where its next part begins.
+            totals = own.groupBy(*keys, "_part").agg(F.min("v").alias("first"), *[F.sum(s).alias(s) for s in names])
+            every = Window.partitionBy(*keys)
+            before = every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+            totals = totals.select(*keys, "_part", F.lead("first").over(every.orderBy("_part")).alias("then"), *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"b_{s}") for s in names], *[F.sum(s).over(every).alias(f"t_{s}") for s in names])
+            c = c.join(totals, [*keys, "_part"]).select(*keys, "v", F.coalesce("next", "then").alias("next"), *[(F.col(f"l_{s}") + F.col(f"b_{s}")).alias(f"l_{s}") for s in names], *[f"t_{s}" for s in names])
+        return c.withColumnsRenamed({"l_rows": "lr", "t_rows": "tr"})
+
     def grow(self, rows: DataFrame) -> dict[int, Node]:
         spark = rows.sparkSession
         rows = rows.withColumn("node", F.lit(1).cast("long"))
@@ -150,7 +266,7 @@ class _Tree:
         return max(1, int({"sqrt": math.sqrt, "log2": math.log2}[m](len(self.cols)))) if isinstance(m, str) else m
 
     def _grower(self, k: int) -> Grower:
-        impurity = {"gini": gini, "entropy": entropy, "mse": variance}[self.criterion or ("gini" if self.classifier else "mse")]
+        impurity = {"gini": gini, "entropy": entropy, "mse": variance, "mae": Absolute()}[self.criterion or ("gini" if self.classifier else "mse")]
         return Grower(len(self.cols), k, impurity, self.max_depth, self.min_samples_split, self.min_samples_leaf, self._m(), self.random_state)
 
     def _stats(self, df: DataFrame, w: Column) -> tuple[list[Column], int]:
@@ -165,21 +281,19 @@ class _Tree:
         self.trees_ = self._grower(k).grow(df.select(F.lit(0).alias("tree"), feature_array(self.cols).alias("x"), *stats))
         return self
 
-    def _x(self) -> list[Column]:
-        return [F.col(c).cast("double") for c in self.cols]
-
-    def _leaf(self, i: int):
-        return (lambda v: F.lit(v[i] / sum(v))) if self.classifier else (lambda v: F.lit(v[1] / v[0]))
+    def _leaf(self, value: list[float]) -> list[float]:
+        """Shares of the classes, or the mean (with 'mae': the median)."""
+        return [v / sum(value) for v in value] if self.classifier else [value[1] / value[0]]
 
-    def _mean(self, i: int = 0) -> Column:
-        parts = [t.column(self._x(), self._leaf(i)) for t in self.trees_.values()]
-        return sum(parts[1:], parts[0]) / float(len(parts))
+    def _means(self) -> Column:
+        total = scored(list(self.trees_.values()), feature_array(self.cols), self._leaf)
+        return F.transform(total, lambda v: v / float(len(self.trees_)))
 
     def transform(self, df: DataFrame) -> DataFrame:
         """prediction, and for classifiers probability (array in the order of classes_)."""
         if not self.classifier:
-            return df.withColumn("prediction", self._mean())
-        return with_argmax(df.withColumn("probability", F.array(*[self._mean(i) for i in range(len(self.classes_))])), "probability", self.classes_)
+            return df.withColumn("prediction", self._means()[0])
+        return with_argmax(df.withColumn("probability", self._means()), "probability", self.classes_)
 
     predict = transform
 
@@ -235,12 +349,9 @@ class _Forest(_Tree):
 
     def oob_score(self, df: DataFrame) -> float:
         """Accuracy of the trees that did not see a row, of rows that some tree did not see."""
-        x = self._x()
-        votes = []
-        for c in range(len(self.classes_)):
-            parts = [F.when(self._weights_of(df, t) == 0, root.column(x, self._leaf(c))).otherwise(0.0) for t, root in self.trees_.items()]
-            votes.append(sum(parts[1:], parts[0]))
-        seen = with_argmax(df.withColumn("_v", F.array(*votes)).where(F.array_max("_v") > 0), "_v", self.classes_)
+        unseen = F.array(*[1.0 - self._weights_of(df, t) for t in self.trees_])
+        votes = scored(list(self.trees_.values()), feature_array(self.cols), self._leaf, unseen)
+        seen = with_argmax(df.withColumn("_v", votes).where(F.array_max("_v") > 0), "_v", self.classes_)
         from .metrics import accuracy_score
 
         return seen.agg(accuracy_score(self.label, "prediction").alias("s")).first()["s"]
@@ -284,7 +395,6 @@ class GradientBoostingRegressor:
     def _boost(self, df: DataFrame, start: float) -> list[Node]:
         work = cut(df.withColumn("_f", F.lit(float(start))))
         trees, self.train_loss_ = [], []
-        x = [F.col(c).cast("double") for c in self.cols]
         for t in range(self.n_estimators):
             res = work.withColumn("_r", self._residual())
             self.train_loss_.append(res.agg(F.avg(self._loss())).first()[0])
@@ -293,7 +403,7 @@ class GradientBoostingRegressor:
                 some = res.where(F.pmod(F.xxhash64(F.lit(self.random_state), F.lit(t), self.id_col), F.lit(1 << 40)) < int(self.subsample * (1 << 40)))
             tree = DecisionTreeRegressor(self.cols, "_r", max_depth=self.max_depth, min_samples_split=self.min_samples_split).fit(some).trees_[0]
             trees.append(tree)
-            work = work.withColumn("_f", F.col("_f") + self.learning_rate * tree.column(x, lambda v: F.lit(v[1] / v[0])))
+            work = work.withColumn("_f", F.col("_f") + self.learning_rate * scored([tree], feature_array(self.cols), lambda v: [v[1] / v[0]])[0])
             if t % 5 == 4:
                 work = cut(work)
         return trees
@@ -302,8 +412,9 @@ class GradientBoostingRegressor:
         return F.col("_r") * F.col("_r")
 
     def _raw(self, start: float, trees: list[Node]) -> Column:
-        x = [F.col(c).cast("double") for c in self.cols]
-        return sum((self.learning_rate * t.column(x, lambda v: F.lit(v[1] / v[0])) for t in trees), F.lit(float(start)))
+        if not trees:
+            return F.lit(float(start))
+        return float(start) + self.learning_rate * scored(trees, feature_array(self.cols), lambda v: [v[1] / v[0]])[0]
 
     def fit(self, df: DataFrame):
         self.init_ = self._start(df)

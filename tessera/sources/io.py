@@ -69,50 +69,57 @@ def load_checkpoint(spark: SparkSession, path: str, model, optimizer=None) -> di
 
 
 def registry() -> dict[str, type]:
-    from ..operators import bayes, decomposition, linear, prep, svm, tree
+    from ..operators import bayes, cluster, decomposition, linear, neighbors, prep, svm, tree
 
-    names = (linear, bayes, decomposition, prep, svm, tree)
-    return {c.__name__: c for m in names for c in vars(m).values() if isinstance(c, type) and dataclasses.is_dataclass(c) and not c.__name__.startswith("_")} | {"Lasso": linear.Lasso}
+    names = (linear, bayes, cluster, decomposition, neighbors, prep, svm, tree)
+    return {c.__name__: c for m in names for c in vars(m).values() if isinstance(c, type) and dataclasses.is_dataclass(c) and not c.__name__.startswith("_")} | {c.__name__: c for c in (linear.Lasso, neighbors.KNNClassifier, neighbors.KNNRegressor)}
 
 
-def _plain(v):
+def _plain(v, tables: list[DataFrame]):
+    if isinstance(v, DataFrame):
+        tables.append(v)
+        return {"_table": len(tables) - 1}
     if isinstance(v, np.ndarray):
         return {"_array": v.tolist()}
     if isinstance(v, np.generic):
         return v.item()
     if dataclasses.is_dataclass(v) and not isinstance(v, type):
-        return {"_object": type(v).__name__, "fields": {k: _plain(x) for k, x in vars(v).items() if not isinstance(x, DataFrame)}}
+        return {"_object": type(v).__name__, "fields": {k: _plain(x, tables) for k, x in vars(v).items()}}
     if isinstance(v, dict):
-        return {"_dict": [[_plain(k), _plain(x)] for k, x in v.items()]}
+        return {"_dict": [[_plain(k, tables), _plain(x, tables)] for k, x in v.items()]}
     if isinstance(v, tuple):
-        return {"_tuple": [_plain(x) for x in v]}
-    return [_plain(x) for x in v] if isinstance(v, list) else v
+        return {"_tuple": [_plain(x, tables) for x in v]}
+    return [_plain(x, tables) for x in v] if isinstance(v, list) else v
 
 
-def _object(v, known: dict[str, type]):
+def _object(v, known: dict[str, type], tables):
     if isinstance(v, list):
-        return [_object(x, known) for x in v]
+        return [_object(x, known, tables) for x in v]
     if not isinstance(v, dict):
         return v
+    if "_table" in v:
+        return tables(v["_table"])
     if "_array" in v:
         return np.array(v["_array"])
     if "_dict" in v:
-        return {_object(k, known): _object(x, known) for k, x in v["_dict"]}
+        return {_object(k, known, tables): _object(x, known, tables) for k, x in v["_dict"]}
     if "_tuple" in v:
-        return tuple(_object(x, known) for x in v["_tuple"])
+        return tuple(_object(x, known, tables) for x in v["_tuple"])
     out = object.__new__(known[v["_object"]])
-    out.__dict__.update({k: _object(x, known) for k, x in v["fields"].items()})
+    out.__dict__.update({k: _object(x, known, tables) for k, x in v["fields"].items()})
     return out
 
 
 def save_classical(spark: SparkSession, model, path: str) -> None:
-    """A fitted estimator or transform: its parameters and statistics as JSON. Models that hold a table (neighbours) are not
-    stored this way: write their training table instead."""
-    if any(isinstance(x, DataFrame) for x in vars(model).values()):
-        raise TypeError(f"{type(model).__name__} holds a table")
-    spark.createDataFrame([(json.dumps(_plain(model)),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    """A fitted estimator or transform: its parameters and statistics as JSON, and each table that it holds (neighbours, classes)
+    as Parquet beside it."""
+    tables: list[DataFrame] = []
+    document = json.dumps(_plain(model, tables))
+    for i, t in enumerate(tables):
+        t.write.mode("overwrite").parquet(f"{path}/table{i}")
+    spark.createDataFrame([(document,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
 
 
 def load_classical(spark: SparkSession, path: str):
-    known = registry()
-    return _object(json.loads("".join(r["value"] for r in spark.read.text(path).collect())), known)
+    document = "".join(r["value"] for r in spark.read.text(f"{path}/model").collect())
+    return _object(json.loads(document), registry(), lambda i: spark.read.parquet(f"{path}/table{i}"))
