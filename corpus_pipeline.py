@@ -13,7 +13,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier rejects (score below 0.5). Learns from the labels of documents that are not held out."""
+    """Drops documents that the classifier rejects (score below 0.5). Learns from the labels of documents that are not held out; without
+    usable labels all stay. Rows are judged one by one: nulls count as empty texts, null ids and repeated rows are rows like others."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.learn(docs, labels, ~quality.held_out(F.col("doc_id")))
     return quality.scored(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
@@ -43,7 +44,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes: doc_id, source, size, source_size, target, taken."""
+    """How many words of each document the mix takes: doc_id, source, size, source_size, target, taken. Every row stays: empty and null
+    texts take 0, null sources are one source, rows of one id are taken alike, rows without an id go by their text."""
     return mixing.mix(docs)
 
 
@@ -54,7 +56,8 @@ STAGES = [
     ("decontamination", decontamination),
     ("source_mix", source_mix),
 ]
-#: The first stage scores with a trained model, which SQL does not express; the whole is tested against a plain version instead.
+#: The first stage scores with a trained model, which SQL does not express. The tests hold stages two to five against plain versions
+#: on the rows that the stage before keeps, the first against labels and a plain score, and run() against the stages one by one.
 ORACLE_SQL = None
 
 
