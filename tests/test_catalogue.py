@@ -5,10 +5,8 @@ import pytest
 from tessera.plans.catalogue import oracle_sql, queries
 from tests.conftest import DATA, rows_of
 
-SOME = [n for n in oracle_sql() if not n.startswith(("op_fn_", "op_schedule_"))] + ["op_fn_gelu", "op_fn_selu", "op_schedule_warmup"]
 
-
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", oracle_sql())
 def test_query(spark, duck, name):
     assert rows_of(queries()[name](spark, DATA).toPandas()) == rows_of(duck.execute(oracle_sql()[name]).df())
 
