@@ -26,8 +26,9 @@ from .flat import ALNUM, LOWER, chunks, hash_windows, hash_words, ranges, string
 from .shared import kept
 
 WINDOW, SHINGLE = 10, 3
-#: Bits of a hash that a bit map tells apart: at least and at most (2**27 bits are 16 MB).
-LEAST_BITS, MOST_BITS = 16, 27
+#: Bits of a map for each of its hashes, so that about one other shingle in as many passes; and the size of the map, as a power
+#: of two, at least and at most (2**27 bits are 16 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 1024, 16, 27
 _SEGMENT = 12
 
 
@@ -80,7 +81,7 @@ class Marks:
 
     def __init__(self, keys: DataFrame):
         n = max(1, keys.count())
-        self.bits = bits = int(np.clip(int(np.ceil(np.log2(16 * n))), LEAST_BITS, MOST_BITS))
+        self.bits = bits = int(np.clip(int(np.ceil(np.log2(BITS_EACH * n))), LEAST_BITS, MOST_BITS))
         place = F.shiftrightunsigned("key", 64 - bits)
         segment, within = F.shiftright(place, _SEGMENT).alias("segment"), place.bitwiseAND((1 << _SEGMENT) - 1).cast("int")
         rows = keys.select(segment, within.alias("place")).groupBy("segment").agg(F.collect_set("place").alias("places"))
