@@ -223,9 +223,9 @@ def survivors(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", t
     """
     out = placed_rows(docs, percent, id_col, text_col, True).where("id is not null")
     rows = kept(out.groupBy("id", "th", "component", "group").agg(F.count("*").alias("rows")))
-    # A component's rows of its least id: one row, but for ids that several texts share.
-    heads = rows.where("group is not null and id = component").groupBy("group").agg(F.min("th").alias("head"))
-    judged = rows.join(heads, "group", "left").withColumn("stays", F.expr("group is null or (id = component and th = head)"))
+    # Of each component the row of the least id, and of several texts of that id the one of least hash: a key that no other row has.
+    heads = rows.where("group is not null").groupBy("group").agg(F.min(F.struct("id", "th")).alias("h")).select("h.id", "h.th", F.lit(True).alias("head"))
+    judged = rows.join(heads, ["id", "th"], "left").withColumn("stays", F.col("group").isNull() | F.coalesce("head", F.lit(False)))
     gone = kept(judged.where("not stays or rows > 1").select(F.col("id").alias("_id"), F.col("th").alias("_th")))
     again = kept(judged.where("stays and rows > 1").select(F.col("id").alias("_id"), F.col("th").alias("_th")))
     named = docs.select(F.struct(*docs.columns).alias("_row"), docs[id_col].cast("long").alias("_id"), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("_th"))
