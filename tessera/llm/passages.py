@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.skew import dealt_join
 from .automaton import Packed, Suffixes
 from .flat import chunks, covered, hash_windows, hash_words, row_sums, strings, window_starts, words
 from .shared import drop, kept
@@ -142,7 +143,7 @@ def matched(rows: DataFrame, window: int) -> DataFrame:
     built = kept(automata(rows.where("not is_match")))
     streams = rows.where("is_match").groupBy("shard").agg(F.ceil(F.sum("n") / STREAM_WORDS).cast("int").alias("streams"))
     stream = F.pmod(F.xxhash64("id", "start"), F.col("streams")).cast("int").alias("stream")
-    texts = rows.where("is_match").join(streams, "shard").select("shard", stream, F.lit(True).alias("is_match"), "id", "th", "start", "text", F.lit(None).cast("binary").alias("automaton"))
+    texts = dealt_join(rows.where("is_match"), streams, ["shard"]).select("shard", stream, F.lit(True).alias("is_match"), "id", "th", "start", "text", F.lit(None).cast("binary").alias("automaton"))
     sent = built.join(streams, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("streams") - 1)).alias("stream"), F.lit(False).alias("is_match"), "automaton")
     both = texts.unionByName(sent, allowMissingColumns=True)
 
