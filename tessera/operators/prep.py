@@ -428,9 +428,9 @@ class KNNImputer(Transformer):
         total = sum((F.coalesce(part(c), F.lit(0.0)) for c in self.cols), F.lit(0.0))
         d = F.when(both > 0, F.sqrt(total)).otherwise(F.lit(float("inf")))
         # The k best of each task's rows meet in an array of k, so nothing larger is gathered for a row.
-        pairs = asked.crossJoin(self.train_).where("_qid <> _tid").select("_qid", F.struct(d.alias("d"), F.col("_tid").alias("t"), *[F.col(f"_t_{c}").alias(c) for c in self.cols]).alias("n"))
-        near = pairs.withColumn("_k", F.row_number().over(Window.partitionBy("_qid").orderBy("n.d", "n.t"))).where(F.col("_k") <= self.n_neighbors)
-        w = F.lit(1.0) if self.weights == "uniform" else 1 / F.greatest(F.col("n.d"), F.lit(1e-10))
+        pairs = asked.crossJoin(self.train_).where("_qid <> _tid").select("_qid", F.struct(d.alias("_distance"), F.col("_tid").alias("_other"), *[F.col(f"_t_{c}").alias(c) for c in self.cols]).alias("n"))
+        near = pairs.withColumn("_k", F.row_number().over(Window.partitionBy("_qid").orderBy("n._distance", "n._other"))).where(F.col("_k") <= self.n_neighbors)
+        w = F.lit(1.0) if self.weights == "uniform" else 1 / F.greatest(F.col("n._distance"), F.lit(1e-10))
         value = lambda c: F.try_divide(F.sum(F.when(F.col(f"n.{c}").isNotNull(), w * F.col(f"n.{c}"))), F.sum(F.when(F.col(f"n.{c}").isNotNull(), w)))
         found = near.groupBy("_qid").agg(*[value(c).alias(f"_v_{c}") for c in self.cols])
         out = df.join(found, F.col(self.id_col) == F.col("_qid"), "left")
