@@ -25,11 +25,20 @@ def folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: computed once, and safe when an executor is lost."""
-    path = folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def kept(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """df written to the shared folder and read again: computed once, and safe when an executor is lost.
+
+    batch_rows: rows of an Arrow batch while df is written, for rows that hold long texts (by default the session's number).
+    """
+    spark, path, name = df.sparkSession, folder(df.sparkSession), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    if batch_rows:
+        spark.conf.set(name, batch_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(name, usual)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(*frames: DataFrame) -> None:
