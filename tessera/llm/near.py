@@ -32,6 +32,8 @@ BANDS, BAND_ROWS = 32, 4
 #: pair in 10**5 of the least similarity falls below that, about as many as share no band.
 DEVIATIONS = 4.3
 KEYS = ["n", "set_a", "set_b"]
+#: Rows of a batch that carries texts: one long text may stand in all of its rows.
+TEXT_ROWS = 256
 _CELL_BITS = 20
 #: Where a bucket holds several components, its classes are compared in pairs of blocks: BLOCK classes each, or if that makes more
 #: than BLOCKS blocks, larger ones up to WIDE_BLOCK (sketches only; of texts no more than two blocks come together).
@@ -140,7 +142,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
             ok = pa.array((100 * shared >= percent * union) & (union > 0))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
-    return kept(two.mapInArrow(run, "a long, b long").distinct())
+    return kept(two.mapInArrow(run, "a long, b long").distinct(), TEXT_ROWS)
 
 
 def shared_buckets(rows: DataFrame) -> DataFrame:
@@ -165,7 +167,7 @@ def grouped(docs: DataFrame, percent: int, id_col: str, text_col: str, by_text:
     """
     src = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     src = src.select("id", F.xxhash64("text").alias("th"), "text")
-    rows = kept(summaries(src))
+    rows = kept(summaries(src), 4 * TEXT_ROWS)
     full = rows.where("n > 0 and id is not null")
     first = F.min(F.struct("id", "th")).alias("first")
     classes = full.groupBy(*KEYS).agg(first, F.count("*").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
@@ -265,7 +267,7 @@ def crossing(rows: DataFrame, classes: DataFrame, texts: DataFrame, percent: int
     again = some.withColumn("key", F.xxhash64("key", "p", "q"))
     sizes = again.groupBy("key").agg(F.count("*").alias("rows"))
     again = paired(again.join(sizes, "key"), F.ceil(F.col("rows") / (2 * BLOCK)), names).join(texts, "id").select(*names, "text")
-    links = kept(in_blocks(again, lambda t: [spanning(t, percent)], ["a", "b"], "a long, b long").distinct())
+    links = kept(in_blocks(again, lambda t: [spanning(t, percent)], ["a", "b"], "a long, b long").distinct(), TEXT_ROWS)
     drop(some)
     return links
 

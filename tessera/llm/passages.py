@@ -31,7 +31,8 @@ from .shared import drop, kept
 WINDOW, GRAM = 13, 5
 #: Words of reference text in one shard, and of documents that one task streams through it.
 SHARD_WORDS, STREAM_WORDS = 20_000, 400_000
-PIECE = "id long, th long, start long, text string"
+#: Rows of a batch that carries texts.
+TEXT_ROWS = 1024
 
 
 def anchors_of(h: np.ndarray, off: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -175,8 +176,8 @@ def repeated(pieces: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataF
     """id, th, start, end: spans of words whose windows also start in a document of smaller id."""
     spans = []
     for size in (gram, window):
-        rows = kept(dealt(pieces, window, size))
-        found = kept(matched(rows, window))
+        rows = kept(dealt(pieces, window, size), TEXT_ROWS)
+        found = kept(matched(rows, window), TEXT_ROWS)
         drop(rows)
         spans.append(found.where("text is null").select("id", "th", "start", "end"))
         pieces = found.where("text is not null").select("id", "th", "start", "text")
