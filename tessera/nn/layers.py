@@ -624,7 +624,8 @@ def gradient_step(model: Module, df: DataFrame, features: str, label: str, loss:
                 except Needs as e:
                     name, v = f"{e.name} {paths[id(e.layer)]}", e.sums
                 sums[name] = sums[name] + v if name in sums else v
-            yield pd.DataFrame({"name": list(sums), "v": list(sums.values())})
+            if sums:  # a task without rows says nothing: an empty frame has no type that Arrow takes for arrays
+                yield pd.DataFrame({"name": list(sums), "v": list(sums.values())})
 
         got = _added(rows.mapInPandas(run, "name string, v array<double>"))
         asked = [name for name in got if name]

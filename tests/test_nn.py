@@ -166,3 +166,20 @@ def test_streams(spark, tmp_path):
     assert np.allclose(m.explained_variance_, PCA(["a", "b"]).fit(df).explained_variance_)
     score_stream(stream, StandardScaler(["a"]).fit(df), f"{tmp_path}/out", f"{tmp_path}/cp2").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 90
+
+
+@pytest.fixture
+def narrow(spark):
+    """Files are cut into more splits than they have row groups, so that most tasks have no rows."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("name", ["op_nn_batch_norm"])
+def test_queries_with_tasks_without_rows(spark, duck, narrow, name):
+    from tessera.plans.catalogue import oracle_sql, queries, table
+    from tests.conftest import DATA, rows_of
+
+    assert 0 in table(spark, DATA, "embeddings").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert rows_of(queries()[name](spark, DATA).toPandas()) == rows_of(duck.execute(oracle_sql()[name]).df())
