@@ -176,7 +176,7 @@ def narrow(spark):
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-@pytest.mark.parametrize("name", ["op_nn_batch_norm", "op_nn_gradient_norms", "op_nn_clip_grad_norm", "op_nn_parameter_norms"])
+@pytest.mark.parametrize("name", ["op_nn_batch_norm", "op_nn_gradient_norms", "op_nn_clip_grad_norm", "op_nn_parameter_norms", "op_nn_clip_grad_value"])
 def test_queries_with_tasks_without_rows(spark, duck, narrow, name):
     from tessera.plans.catalogue import oracle_sql, queries, table
     from tests.conftest import DATA, rows_of
