@@ -203,7 +203,7 @@ LOSSES = {
     "bce": (lambda: L.bce_loss(F.col("p"), F.col("t")), "avg(-(t * ln(least(greatest(p, 1e-7), 1 - 1e-7)) + (1 - t) * ln(1 - least(greatest(p, 1e-7), 1 - 1e-7))))"),
     "bce_with_logits": (lambda: L.bce_with_logits(F.col("x"), F.col("t"), pos_weight=2.0), "avg((greatest(x, 0) - x * t + ln(1 + exp(-abs(x)))) * (1 + t))"),
     "huber": (lambda: L.huber_loss(F.col("x"), F.col("t")), "avg(CASE WHEN abs(x - t) <= 1 THEN 0.5 * (x - t) * (x - t) ELSE abs(x - t) - 0.5 END)"),
-    "kl_div": (lambda: L.kl_div(F.ln("p"), F.col("t")), "avg(t * (ln(greatest(t, 1e-8)) - ln(p)))"),
+    "kl_div": (lambda: L.kl_div(E.log(F.col("p")), F.col("t")), "avg(t * (ln(greatest(t, 1e-8)) - ln(p)))"),
 }
 for _name, (_f, _sql) in LOSSES.items():
 

@@ -183,3 +183,15 @@ def test_queries_with_tasks_without_rows(spark, duck, narrow, name):
 
     assert 0 in table(spark, DATA, "embeddings").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert rows_of(queries()[name](spark, DATA).toPandas()) == rows_of(duck.execute(oracle_sql()[name]).df())
+
+
+def test_kl_div_where_probabilities_are_zero(spark, duck, tmp_path):
+    """The logarithm of zero is minus infinity in SQL, not a missing value: such rows count."""
+    from tessera.plans.catalogue import oracle_sql, queries
+
+    spark.createDataFrame([(50.0, "purchase"), (0.0, "click")], "value double, event_type string").write.parquet(f"{tmp_path}/a/events.parquet")
+    spark.createDataFrame([(50.0, "purchase"), (0.0, "purchase")], "value double, event_type string").write.parquet(f"{tmp_path}/b/events.parquet")
+    spark.createDataFrame([(50.0, "purchase"), (None, "purchase")], "value double, event_type string").write.parquet(f"{tmp_path}/c/events.parquet")
+    for d in "abc":
+        sql = oracle_sql()["op_loss_kl_div"].replace("FROM events", f"FROM read_parquet('{tmp_path}/{d}/events.parquet/*.parquet')")
+        assert np.array_equal([queries()["op_loss_kl_div"](spark, f"{tmp_path}/{d}").first()[0]], duck.execute(sql).fetchone(), equal_nan=True)
