@@ -1,8 +1,11 @@
-"""Kernel machines. Training solves the dual on one machine, so the rows must not be more than ``max_rows`` (an error, never a
-sample); scoring is a kernel product with the support vectors, batch by batch."""
+"""Kernel machines. Training solves the dual over all rows on the driver, by working sets: it holds the features and some numbers a
+row, and kernel values only block by block, so memory grows with the rows and time with rows times support vectors. Scoring is a
+kernel product with the support vectors, batch by batch on the executors."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,55 +25,108 @@ class _Kernel:
     coef0: float = 0.0
     tol: float = 1e-3
     max_iter: int = 1000
-    max_rows: int = 20_000
+    max_rows: int | None = None
 
     def _data(self, df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        got = df.select(*[F.col(c).cast("double").alias(c) for c in self.cols], F.col(self.label).alias("_y")).limit(self.max_rows + 1).toPandas()
-        if len(got) > self.max_rows:
+        """Features and labels of all rows, in an order of their own. With max_rows, more rows are an error (never a sample)."""
+        rows = df.select(*[F.col(c).cast("double").alias(c) for c in self.cols], F.col(self.label).alias("_y"))
+        got = (rows if self.max_rows is None else rows.limit(self.max_rows + 1)).toArrow()
+        if self.max_rows is not None and len(got) > self.max_rows:
             raise ValueError(f"more than max_rows={self.max_rows} rows: use a linear model")
-        got = got.sort_values([*self.cols, "_y"])
-        x = got[self.cols].to_numpy(float)
+        x, y = np.empty((len(got), len(self.cols))), got["_y"].to_pandas().to_numpy()
+        for k in range(len(self.cols)):
+            x[:, k] = got.column(k).to_numpy()
+        del got
+        order = np.lexsort([np.unique(y, return_inverse=True)[1], *x.T[::-1]])
+        x, y = x[order], y[order]
         self.gamma_ = {"scale": lambda: 1 / (x.shape[1] * (x.var() or 1.0)), "auto": lambda: 1 / x.shape[1]}[self.gamma]() if isinstance(self.gamma, str) else self.gamma
-        return x, got["_y"].to_numpy()
+        return x, y
 
     def _gram(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        if self.kernel == "rbf":
-            return np.exp(-self.gamma_ * np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
         s = a @ b.T
+        if self.kernel == "rbf":
+            s *= -2
+            s += (a * a).sum(1)[:, None]
+            s += (b * b).sum(1)
+            np.maximum(s, 0, out=s)
+            s *= -self.gamma_
+            return np.exp(s, out=s)
         return {"linear": lambda: s, "poly": lambda: (self.gamma_ * s + self.coef0) ** self.degree, "sigmoid": lambda: np.tanh(self.gamma_ * s + self.coef0)}[self.kernel]()
 
+    def _product(self, rows: np.ndarray, vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Kernel values of rows and vectors times the weights, by blocks of BLOCK rows and vectors."""
+        out = np.zeros(len(rows))
+        for a in range(0, len(rows), BLOCK):
+            for b in range(0, len(vectors), BLOCK):
+                out[a : a + BLOCK] += self._gram(rows[a : a + BLOCK], vectors[b : b + BLOCK]) @ weights[b : b + BLOCK]
+        return out
+
+    def _solve(self, x: np.ndarray, target: np.ndarray, low: np.ndarray, high: np.ndarray, epsilon: float) -> tuple[np.ndarray, float]:
+        """Weights and bias of the rows; at most max_iter pair steps a row."""
+        return dual(lambda at: self._gram(x[at], x[at]), lambda at, v: self._product(x, x[at], v), target, low, high, epsilon, self.tol, self.max_iter * len(x))
+
     def _column(self, weights: np.ndarray, vectors: np.ndarray, bias: float) -> Column:
-        """The machine's value for each row, in Arrow batches: kernel products of some rows at a time, so memory stays bounded."""
-        step = max(1, (1 << 22) // max(len(vectors), 1))
+        """The machine's value for each row, in Arrow batches: kernel products block by block, so memory stays bounded."""
+        kernel = copy(self)
+        for name in ("machine_", "machines_"):
+            kernel.__dict__.pop(name, None)
 
         @F.pandas_udf("double")
         def value(x: pd.Series) -> pd.Series:
-            out = np.full(len(x), float(bias))
-            if len(vectors):
-                for a in range(0, len(x), step):
-                    rows = np.stack(x[a : a + step].to_numpy()).astype(float)
-                    out[a : a + step] += self._gram(rows, vectors) @ weights
-            return pd.Series(out)
+            if not len(x):
+                return pd.Series([], dtype=float)
+            return pd.Series(kernel._product(np.stack(x.to_numpy()).astype(float), vectors, weights) + float(bias))
 
         return value(F.array(*[F.col(c).cast("double") for c in self.cols]))
 
 
-def dual(k: np.ndarray, y: np.ndarray, c: float, tol: float, max_iter: int) -> tuple[np.ndarray, float]:
-    """Sequential minimal optimisation with the most violating pair; deterministic."""
-    a, grad = np.zeros(len(y)), -np.ones(len(y))
-    for _ in range(max_iter * 10):
-        up = ((y > 0) & (a < c - 1e-12)) | ((y < 0) & (a > 1e-12))
-        low = ((y > 0) & (a > 1e-12)) | ((y < 0) & (a < c - 1e-12))
-        v = -y * grad
-        i, j = int(np.where(up, v, -np.inf).argmax()), int(np.where(low, v, np.inf).argmin())
-        if v[i] - v[j] < tol:
+#: Rows and vectors of a block of kernel values (2 MB), and rows of a working set (33 MB of kernel values).
+BLOCK, WORKING = 512, 2048
+
+
+def _slopes(e: np.ndarray, w: np.ndarray, low: np.ndarray, high: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+    """How much the dual gains by raising a weight, and loses by lowering it; -inf and inf where a bound forbids that."""
+    up = np.where(w < high - 1e-12, e - np.where(w >= 0, epsilon, -epsilon), -np.inf)
+    down = np.where(w > low + 1e-12, e - np.where(w > 0, epsilon, -epsilon), np.inf)
+    return up, down
+
+
+def _pairs(k: np.ndarray, e: np.ndarray, w: np.ndarray, low: np.ndarray, high: np.ndarray, epsilon: float, tol: float, most: int) -> int:
+    """Sequential minimal optimisation with the most violating pair, on the weights of a working set, in place. Returns the steps.
+
+    Raising one weight and lowering another by the same amount keeps their sum. With an epsilon, a step ends at zero, where the
+    slope jumps."""
+    for n in range(most):
+        up, down = _slopes(e, w, low, high, epsilon)
+        i, j = int(up.argmax()), int(down.argmin())
+        if not up[i] - down[j] >= tol:
+            return n
+        step = (up[i] - down[j]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12)
+        step = min(step, (0.0 if epsilon and w[i] < 0 else high[i]) - w[i], w[j] - (0.0 if epsilon and w[j] > 0 else low[j]))
+        w[i] += step
+        w[j] -= step
+        e -= step * (k[i] - k[j])
+    return most
+
+
+def dual(gram: Callable, product: Callable, target: np.ndarray, low: np.ndarray, high: np.ndarray, epsilon: float, tol: float, most: int) -> tuple[np.ndarray, float]:
+    """Weights of sum 0 within low and high that are best for weights . target - epsilon |weights| - weights . K weights / 2, and the
+    bias; deterministic. gram(rows): their kernel values; product(rows, v): all rows' kernel values with those times v.
+
+    Each turn solves the rows that violate optimality most, whose number is bounded, and then brings all rows up to date."""
+    w, f, steps, bias = np.zeros(len(target)), np.zeros(len(target)), 0, 0.0
+    while len(w):
+        up, down = _slopes(target - f, w, low, high, epsilon)
+        bias, gap = float(up.max() + down.min()) / 2, up.max() - down.min()
+        if not gap >= tol or steps >= most:
             break
-        step = (v[i] - v[j]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12)
-        step = min(step, c - a[i] if y[i] > 0 else a[i], a[j] if y[j] > 0 else c - a[j])
-        a[i] += y[i] * step
-        a[j] -= y[j] * step
-        grad += step * y * (k[:, i] - k[:, j])
-    return a, float((v[i] + v[j]) / 2)
+        at = np.unique(np.concatenate([np.argsort(-up, kind="stable")[: WORKING // 2], np.argsort(down, kind="stable")[: WORKING // 2]]))
+        own = w[at]
+        steps += _pairs(gram(at), (target - f)[at], own, low[at], high[at], epsilon, max(tol, gap / 10), most - steps)
+        moved = own != w[at]
+        f += product(at[moved], (own - w[at])[moved])
+        w[at] = own
+    return w, bias
 
 
 @dataclass
@@ -85,9 +141,9 @@ class SVC(_Kernel):
             for b in self.classes_[i + 1 :]:
                 pick = (y == a) | (y == b)
                 px, py = x[pick], np.where(y[pick] == b, 1.0, -1.0)
-                alpha, bias = dual(self._gram(px, px), py, self.C, self.tol, self.max_iter)
-                sv = alpha > 1e-8
-                self.machines_.append((a, b, (alpha * py)[sv], px[sv], bias))
+                w, bias = self._solve(px, py, np.minimum(py, 0) * self.C, np.maximum(py, 0) * self.C, 0.0)
+                sv = np.abs(w) > 1e-8
+                self.machines_.append((a, b, w[sv], px[sv], bias))
         return self
 
     def decision_function(self) -> Column:
@@ -117,24 +173,10 @@ class SVR(_Kernel):
 
     def fit(self, df: DataFrame):
         x, y = self._data(df)
-        k, y = self._gram(x, x), y.astype(float)
-        beta = np.zeros(len(y))
-        f = np.zeros(len(y))
-        for _ in range(self.max_iter * 10):
-            # Raising beta_i and lowering beta_j by the same amount keeps their sum; the pair of steepest descent moves.
-            e = y - f
-            raise_ = np.where(beta < self.C - 1e-12, e - np.where(beta >= 0, self.epsilon, -self.epsilon), -np.inf)
-            lower = np.where(beta > -self.C + 1e-12, e - np.where(beta > 0, self.epsilon, -self.epsilon), np.inf)
-            i, j = int(raise_.argmax()), int(lower.argmin())
-            if raise_[i] - lower[j] < self.tol:
-                break
-            step = (raise_[i] - lower[j]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12)
-            step = min(step, (0 if beta[i] < 0 else self.C) - beta[i] or np.inf, beta[j] - (0 if beta[j] > 0 else -self.C) or np.inf)
-            beta[i] += step
-            beta[j] -= step
-            f += step * (k[:, i] - k[:, j])
-        sv = np.abs(beta) > 1e-10
-        self.machine_ = (beta[sv], x[sv], float((raise_[i] + lower[j]) / 2))
+        y = y.astype(float)
+        w, bias = self._solve(x, y, np.full(len(y), -float(self.C)), np.full(len(y), float(self.C)), self.epsilon)
+        sv = np.abs(w) > 1e-10
+        self.machine_ = (w[sv], x[sv], bias)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +137,37 @@ def test_metrics(spark):
     r = metrics.precision_recall_fscore(c, "y", "p").first()
     assert (r["precision"], r["recall"], r["f1"]) == (0.75, 0.75, 0.75)
     assert "accuracy" in metrics.classification_report(c, "y", "p")
+
+
+@pytest.mark.parametrize("epsilon", [0.0])
+def test_kernel_machine_optimum_of_many_working_sets(monkeypatch, epsilon):
+    """Labels without a pattern, so that nearly all rows are support vectors and need more than 10,000 steps; no row may violate
+    the conditions of the optimum by more than tol."""
+    rng = np.random.default_rng(0)
+    x, n = rng.normal(size=(9000, 20)), 9000
+    target = rng.choice([-1.0, 1.0], n) if not epsilon else rng.integers(0, 10, n).astype(float)
+    low, high = (np.minimum(target, 0), np.maximum(target, 0)) if not epsilon else (np.full(n, -1.0), np.full(n, 1.0))
+    m = svm.SVR([f"x{k}" for k in range(20)], "y")
+    m.gamma_ = 0.05
+    monkeypatch.setattr(svm, "WORKING", 1000)
+    w, b = m._solve(x, target, low, high, epsilon)
+    assert abs(w.sum()) < 1e-6 and (w >= low - 1e-9).all() and (w <= high + 1e-9).all() and (abs(w) > 1e-8).sum() > 8000
+    e = target - m._gram(x, x) @ w - b
+    up, down = svm._slopes(e, w, low, high, epsilon)
+    assert up.max() < 2e-3 and down.min() > -2e-3 and up.max() - down.min() < 1.01e-3
+
+
+def _many(spark):
+    """20,500 rows in two clouds apart."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(20_500, 2)) * 0.3
+    x[::2] += 2
+    return spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": (np.arange(20_500) % 2).astype(float)}))
+
+
+def test_support_vector_classifier_takes_many_rows(spark):
+    df = _many(spark)
+    got = svm.SVC(["a", "b"], "y").fit(df).transform(df).toPandas()
+    assert len(got) == 20_500 and (got["prediction"] == got["y"]).mean() > 0.99
+    with pytest.raises(ValueError):
+        svm.SVC(["a", "b"], "y", max_rows=20_000).fit(df)
