@@ -139,7 +139,7 @@ def test_metrics(spark):
     assert "accuracy" in metrics.classification_report(c, "y", "p")
 
 
-@pytest.mark.parametrize("epsilon", [0.0])
+@pytest.mark.parametrize("epsilon", [0.0, 0.1])
 def test_kernel_machine_optimum_of_many_working_sets(monkeypatch, epsilon):
     """Labels without a pattern, so that nearly all rows are support vectors and need more than 10,000 steps; no row may violate
     the conditions of the optimum by more than tol."""
@@ -171,3 +171,9 @@ def test_support_vector_classifier_takes_many_rows(spark):
     assert len(got) == 20_500 and (got["prediction"] == got["y"]).mean() > 0.99
     with pytest.raises(ValueError):
         svm.SVC(["a", "b"], "y", max_rows=20_000).fit(df)
+
+
+def test_support_vector_regression_takes_many_rows(spark):
+    df = _many(spark)
+    got = svm.SVR(["a", "b"], "y").fit(df).transform(df).toPandas()
+    assert len(got) == 20_500 and (got["prediction"] - got["y"]).abs().mean() < 0.12
