@@ -1,19 +1,27 @@
 """Kernel machines. Training solves the dual over all rows on the driver, by working sets: it holds the features and some numbers a
-row, and kernel values only block by block, so memory grows with the rows and time with rows times support vectors. Scoring is a
-kernel product with the support vectors, batch by batch on the executors."""
+row, and kernel values only block by block, so memory grows with the rows and time with rows times support vectors. Products of many
+rows with a working set are dealt to the executors, which hold the features, too. Scoring is a kernel product with the support vectors,
+batch by batch on the executors."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _decay(s: np.ndarray) -> np.ndarray:
+    """Exponentials in place, of 1 at most."""
+    return np.exp(np.minimum(s, 0, out=s), out=s)
+
+
 @dataclass
 class _Kernel:
     cols: list[str]
@@ -42,15 +50,24 @@ class _Kernel:
         self.gamma_ = {"scale": lambda: 1 / (x.shape[1] * (x.var() or 1.0)), "auto": lambda: 1 / x.shape[1]}[self.gamma]() if isinstance(self.gamma, str) else self.gamma
         return x, y
 
+    @staticmethod
+    def _distinct(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows as they come from _data, with equal ones (features and label) as one, and their numbers. Their weights count only by
+        their sum, so that one row with bounds as many times as wide has the same optimum."""
+        first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]).any(1) | (y[1:] != y[:-1]))[: len(x)])
+        return x[first], y[first], np.diff(np.append(first, len(x))).astype(float)
+
     def _gram(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if self.kernel == "rbf":  # the exponent is one matrix product, of the vectors with their lengths beside them
+            p = np.column_stack([a * (2 * self.gamma_), (a * a).sum(1) * -self.gamma_, np.ones(len(a))])
+            s = p @ np.column_stack([b, np.ones(len(b)), (b * b).sum(1) * -self.gamma_]).T
+            parts = [s[k : k + BLOCK] for k in range(0, len(s), BLOCK)]
+            if len(parts) == 1:
+                return _decay(s)
+            with ThreadPoolExecutor(4) as pool:  # a working set's, on the driver
+                list(pool.map(_decay, parts))
+            return s
         s = a @ b.T
-        if self.kernel == "rbf":
-            s *= -2
-            s += (a * a).sum(1)[:, None]
-            s += (b * b).sum(1)
-            np.maximum(s, 0, out=s)
-            s *= -self.gamma_
-            return np.exp(s, out=s)
         return {"linear": lambda: s, "poly": lambda: (self.gamma_ * s + self.coef0) ** self.degree, "sigmoid": lambda: np.tanh(self.gamma_ * s + self.coef0)}[self.kernel]()
 
     def _product(self, rows: np.ndarray, vectors: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -61,15 +78,43 @@ class _Kernel:
                 out[a : a + BLOCK] += self._gram(rows[a : a + BLOCK], vectors[b : b + BLOCK]) @ weights[b : b + BLOCK]
         return out
 
-    def _solve(self, x: np.ndarray, target: np.ndarray, low: np.ndarray, high: np.ndarray, epsilon: float) -> tuple[np.ndarray, float]:
-        """Weights and bias of the rows; at most max_iter pair steps a row."""
-        return dual(lambda at: self._gram(x[at], x[at]), lambda at, v: self._product(x, x[at], v), target, low, high, epsilon, self.tol, self.max_iter * len(x))
-
-    def _column(self, weights: np.ndarray, vectors: np.ndarray, bias: float) -> Column:
-        """The machine's value for each row, in Arrow batches: kernel products block by block, so memory stays bounded."""
+    def _bare(self) -> _Kernel:
+        """Without machines, to be sent to executors."""
         kernel = copy(self)
         for name in ("machine_", "machines_"):
             kernel.__dict__.pop(name, None)
+        return kernel
+
+    @contextmanager
+    def _products(self, x: np.ndarray, spark: SparkSession | None) -> Iterator[Callable]:
+        """_product of all rows with some of them, given by number. Of more than ALONE rows, each task takes a run of whole blocks, so
+        that values do not depend on the number of tasks."""
+        if spark is None or len(x) <= ALONE:
+            yield lambda at, v: self._product(x, x[at], v)
+            return
+        sc, kernel, blocks = spark.sparkContext, self._bare(), -(-len(x) // BLOCK)
+        shared, tasks = sc.broadcast(x), min(blocks, sc.defaultParallelism)
+
+        def product(at: np.ndarray, v: np.ndarray) -> np.ndarray:
+            def part(t: int) -> np.ndarray:
+                rows = shared.value
+                return kernel._product(rows[blocks * t // tasks * BLOCK : blocks * (t + 1) // tasks * BLOCK], rows[at], v)
+
+            return np.concatenate(sc.range(tasks, numSlices=tasks).map(part).collect())
+
+        try:
+            yield product
+        finally:
+            shared.destroy()
+
+    def _solve(self, x: np.ndarray, target: np.ndarray, low: np.ndarray, high: np.ndarray, epsilon: float, spark: SparkSession | None = None) -> tuple[np.ndarray, float]:
+        """Weights and bias of the rows; at most max_iter pair steps a row. Without spark, on the driver alone."""
+        with self._products(x, spark) as product:
+            return dual(lambda at: self._gram(x[at], x[at]), product, target, low, high, epsilon, self.tol, self.max_iter * len(x))
+
+    def _column(self, weights: np.ndarray, vectors: np.ndarray, bias: float) -> Column:
+        """The machine's value for each row, in Arrow batches: kernel products block by block, so memory stays bounded."""
+        kernel = self._bare()
 
         @F.pandas_udf("double")
         def value(x: pd.Series) -> pd.Series:
@@ -80,8 +125,11 @@ class _Kernel:
         return value(F.array(*[F.col(c).cast("double") for c in self.cols]))
 
 
-#: Rows and vectors of a block of kernel values (2 MB), and rows of a working set (33 MB of kernel values).
-BLOCK, WORKING = 512, 2048
+#: Rows and vectors of a block of kernel values (2 MB), and rows of a working set (134 MB of kernel values).
+BLOCK, WORKING = 512, 4096
+
+#: Rows whose products with a working set the driver takes on by itself.
+ALONE = 8192
 
 
 def _slopes(e: np.ndarray, w: np.ndarray, low: np.ndarray, high: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
@@ -134,14 +182,14 @@ class SVC(_Kernel):
     """Several classes: a machine for each pair, and a vote (ties to the first class)."""
 
     def fit(self, df: DataFrame):
-        x, y = self._data(df)
+        x, y, n = self._distinct(*self._data(df))
         self.classes_ = sorted(set(y.tolist()))
         self.machines_ = []
         for i, a in enumerate(self.classes_):
             for b in self.classes_[i + 1 :]:
                 pick = (y == a) | (y == b)
-                px, py = x[pick], np.where(y[pick] == b, 1.0, -1.0)
-                w, bias = self._solve(px, py, np.minimum(py, 0) * self.C, np.maximum(py, 0) * self.C, 0.0)
+                px, py, most = x[pick], np.where(y[pick] == b, 1.0, -1.0), n[pick] * self.C
+                w, bias = self._solve(px, py, np.minimum(py, 0) * most, np.maximum(py, 0) * most, 0.0, df.sparkSession)
                 sv = np.abs(w) > 1e-8
                 self.machines_.append((a, b, w[sv], px[sv], bias))
         return self
@@ -172,9 +220,9 @@ class SVR(_Kernel):
     epsilon: float = 0.1
 
     def fit(self, df: DataFrame):
-        x, y = self._data(df)
-        y = y.astype(float)
-        w, bias = self._solve(x, y, np.full(len(y), -float(self.C)), np.full(len(y), float(self.C)), self.epsilon)
+        x, y, n = self._distinct(*self._data(df))
+        y, most = y.astype(float), n * self.C
+        w, bias = self._solve(x, y, -most, most, self.epsilon, df.sparkSession)
         sv = np.abs(w) > 1e-10
         self.machine_ = (w[sv], x[sv], bias)
         return self

@@ -157,6 +157,31 @@ def test_kernel_machine_optimum_of_many_working_sets(monkeypatch, epsilon):
     assert up.max() < 2e-3 and down.min() > -2e-3 and up.max() - down.min() < 1.01e-3
 
 
+def test_kernel_products_on_executors_are_those_of_the_driver(spark, monkeypatch):
+    """Blocks are the same, however many tasks there are; so are weights and bias."""
+    rng = np.random.default_rng(2)
+    x, y, most = rng.normal(size=(700, 5)), rng.integers(0, 10, 700).astype(float), np.ones(700)
+    m = svm.SVR([], "y")
+    m.gamma_ = 0.1
+    want = m._solve(x, y, -most, most, 0.1)
+    monkeypatch.setattr(svm, "ALONE", 100)
+    got = m._solve(x, y, -most, most, 0.1, spark)
+    assert got[1] == pytest.approx(want[1], abs=1e-3) and np.allclose(got[0], want[0], atol=0.02)
+
+
+@pytest.mark.parametrize("make", [svm.SVR, svm.SVC])
+def test_copies_of_a_row_are_one_vector(spark, make):
+    """Copies weigh as one row with a bound as many times as large: the same machine, without more vectors."""
+    rng = np.random.default_rng(3)
+    one = pd.DataFrame(rng.normal(size=(60, 2)), columns=["a", "b"]).assign(y=rng.integers(0, 2, 60))
+    many, single = make(["a", "b"], "y", tol=1e-6).fit(spark.createDataFrame(pd.concat([one] * 3))), make(["a", "b"], "y", C=3.0, tol=1e-6).fit(spark.createDataFrame(one))
+    machine = (lambda m: m.machine_) if make is svm.SVR else (lambda m: m.machines_[0][2:])
+    assert len(machine(many)[0]) <= 60
+    at = rng.normal(size=(20, 2))
+    value = lambda m: m._product(at, machine(m)[1], machine(m)[0]) + machine(m)[2]
+    assert np.allclose(value(many), value(single), atol=1e-4)
+
+
 def _many(spark):
     """20,500 rows in two clouds apart."""
     rng = np.random.default_rng(1)
